@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import lines, media
+from . import bpe, lines, media, tokenfiles
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_token_files": tokenfiles.op2_token_files,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLES = {
