@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, lines, media, neardup, tokenfiles
+from . import bpe, lines, media, neardup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_token_files": tokenfiles.op2_token_files,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash_neardup": neardup.op4_minhash_neardup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
