@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -97,34 +98,38 @@ class PerfectHash:
 
 
 def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids after merging the pair of least rank, leftmost first, for as long as there is one."""
-    n = len(token)
-    part = [token[i : i + 1] for i in range(n)]
+    """Ids after merging the pair of least rank, leftmost first, for as long as there is one.
+
+    ``due[i]`` is the rank of the part at i with the part behind it, or -1; what the heap has of other ranks is stale.
+    """
+    n, get = len(token), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(token[i : i + 2])
-        if r is not None:
-            heap.append((r, i, 2))
+    due = [get(token[i : i + 2], -1) for i in range(n - 1)]
+    due.append(-1)
+    heap = [r * n + i for i, r in enumerate(due) if r >= 0]
     heapq.heapify(heap)
     while heap:
-        _, i, size = heapq.heappop(heap)
-        if part[i] is None or (j := after[i]) >= n or len(part[i]) + len(part[j]) != size:
-            continue  # one side has merged meanwhile
-        joined = part[i] = part[i] + part[j]
-        part[j] = None
+        rank, i = divmod(heapq.heappop(heap), n)
+        if due[i] != rank:
+            continue
+        j = after[i]
         k = after[i] = after[j]
+        due[i] = due[j] = -1
         if k < n:
             before[k] = i
-            r = ranks.get(joined + part[k])
-            if r is not None:
-                heapq.heappush(heap, (r, i, len(joined) + len(part[k])))
+            due[i] = r = get(token[i : after[k]], -1)
+            if r >= 0:
+                heapq.heappush(heap, r * n + i)
         h = before[i]
         if h >= 0:
-            r = ranks.get(part[h] + joined)
-            if r is not None:
-                heapq.heappush(heap, (r, h, len(part[h]) + len(joined)))
-    return [ranks[x] for x in part if x is not None]
+            due[h] = r = get(token[h:k], -1)
+            if r >= 0:
+                heapq.heappush(heap, r * n + h)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[token[i : after[i]]])
+        i = after[i]
+    return out
 
 
 class Codec:
@@ -139,16 +144,19 @@ class Codec:
         self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.table[rank] = token
-        self.memo = Memo(self._pieces)
+        self.memo, self.words, self.most = Memo(self._pieces), {}, 300_000
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        cuts = [[x.encode() for x in self.find(p)] for p in pieces]
-        distinct = list(dict.fromkeys(x for c in cuts for x in c))
-        ids = {
-            x: np.asarray([v] if v >= 0 else merge(x, self.ranks), "<u4").tobytes()
-            for x, v in zip(distinct, self.whole.find(distinct), strict=True)
-        }
-        return [b"".join([ids[x] for x in c]) for c in cuts]
+        cuts, known = [self.find(p) for p in pieces], self.words
+        if len(known) > self.most:
+            known.clear()
+        missing = list({x for c in cuts for x in c if x not in known})
+        raw = [x.encode() for x in missing]
+        known.update(
+            (x, struct.pack("<I", v) if v >= 0 else struct.pack(f"<{len(ids := merge(y, self.ranks))}I", *ids))
+            for x, y, v in zip(missing, raw, self.whole.find(raw), strict=True)
+        )
+        return [b"".join([known[x] for x in c]) for c in cuts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -20,19 +20,20 @@ def cut(text: str) -> list[str]:
 
 
 class Memo:
-    """Pieces' ids as bytes. It forgets all it has once it holds ``most`` pieces, so its memory is bounded."""
+    """Pieces' ids as bytes. Beyond ``most`` pieces it keeps those of the texts at hand, so its memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 500_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """For each text the bytes of its ids."""
         cuts = [cut(t) for t in texts]
         known = self.known
-        missing = list(dict.fromkeys(p for c in cuts for p in c if p not in known))
+        missing = list({p for c in cuts for p in c if p not in known})
         if missing:
             if len(known) + len(missing) > self.most:
+                recent = {p: known[p] for c in cuts for p in c if p in known}
                 known.clear()
-                missing = list(dict.fromkeys(p for c in cuts for p in c))
+                known.update(recent)
             known.update(zip(missing, self.encode(missing), strict=True))
         return [b"".join([known[p] for p in c]) for c in cuts]
