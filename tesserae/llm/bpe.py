@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,21 +146,22 @@ class Codec:
             self.table[rank] = token
         self.memo, self.words, self.most = Memo(self._pieces), {}, 300_000
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        cuts, known = [self.find(p) for p in pieces], self.words
+    def _pieces(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.words
         if len(known) > self.most:
             known.clear()
+        cuts = [self.find(p) for p in pieces]
         missing = list({x for c in cuts for x in c if x not in known})
         raw = [x.encode() for x in missing]
-        known.update(
-            (x, struct.pack("<I", v) if v >= 0 else struct.pack(f"<{len(ids := merge(y, self.ranks))}I", *ids))
-            for x, y, v in zip(missing, raw, self.whole.find(raw), strict=True)
-        )
-        return [b"".join([known[x] for x in c]) for c in cuts]
+        known.update((x, [v] if v >= 0 else merge(y, self.ranks)) for x, y, v in zip(missing, raw, self.whole.find(raw), strict=True))
+        found = [known[c[0]] if len(c) == 1 else [i for x in c for i in known[x]] for c in cuts]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self.memo.texts(texts)
+        ids, at = self.memo.texts(texts)
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * b : 4 * e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -185,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         c = codec(path, pattern)
         for t in tables:
             for texts, doc_ids in batches(t, ["text", "doc_id"]):
-                ids = c.encode([x or "" for x in texts])
+                ids = c.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
