@@ -1,16 +1,19 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, lines, media, neardup, tokenfiles, toxicity
+from . import bpe, lines, media, mixing, neardup, shards, tokenfiles, toxicity
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_token_files": tokenfiles.op2_token_files,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash_neardup": neardup.op4_minhash_neardup,
+    "op5_source_mix": mixing.op5_source_mix,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_shard_packing": shards.op8_shard_packing,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLES = {
     "op3_line_dedup": lines.OP3_SQL,
+    "op5_source_mix": mixing.OP5_SQL,
 }
