@@ -1,7 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's set of word shingles gives a signature of ``CHUNKS * ROWS`` minima, b = 16 bits of each. Two signatures
-differ in some number of places; split into chunks, by the pigeonhole principle at least one chunk differs in no more
+A document's set of word shingles gives minima; b = 16 bits of the first ``CHUNKS * ROWS`` are the signature, and 2 bits
+of all PLACES a sketch of a few longs. Two signatures differ in some number of places; split into chunks, by the pigeonhole principle at least one chunk differs in no more
 than ERRORS places if all differ in no more than ``CHUNKS * (ERRORS + 1) - 1``. So each chunk enters the index once for
 every choice of ERRORS places left out, and two documents meet if they agree on such a key. Places differ with
 probability 1 - J: at J = 0.8 a pair misses all keys with probability 2.4e-5, and every pair under the distance of 20
@@ -10,8 +10,9 @@ places is found with certainty.
 Documents of equal sets fall into classes first, so copies cost one member. Within a bucket of the index, members are
 compared with one leader of that chunk, on whole sets of shingles; links make components. Buckets that then still hold
 several components get their remaining pairs across components compared as well, so no link that meets in a bucket is
-lost, while groups of thousands of near copies never enumerate their pairs. Pairs whose signatures or sizes rule out the
-threshold (six standard deviations for signatures) are not verified.
+lost, while groups of thousands of near copies never enumerate their pairs. Pairs whose sketches or sizes rule out the
+threshold (SIGMAS standard deviations for sketches, under 1e-4 at the threshold) neither leave a join nor get verified:
+documents that share a long passage, and no more, meet in many buckets and part there.
 
 Shingles are 64-bit hashes; two different shingles of one document, or of a verified pair, collide with probability
 under 1e-9.
@@ -37,35 +38,58 @@ from .scratch import Scratch
 from .words import batches, encode, mix, shingle_sets
 
 CHUNKS, ROWS, ERRORS = 10, 6, 1
-PLACES = CHUNKS * ROWS
+PLACES, SIGMAS = 192, 4.5
+WORDS = PLACES // 32  # longs of a sketch, 2 bits a place
 SHINGLE, PERCENT = 5, 80
 
 _U, _V = np.uint64, np.uint32
 _seed = mix(np.arange(1, 2 * PLACES + 1, dtype=_U) * _U(0xD1342543DE82EF95))
 _A, _B = ((_seed[k::2] >> _U(31)).astype(_V) | _V(1) for k in (0, 1))
 _LEFT_OUT = list(combinations(range(ROWS), ERRORS))
+_SKETCH = [f"w{k}" for k in range(WORDS)]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray) -> np.ndarray:
     """16 bits of each of the minima over the set's hashes."""
     x = (s >> _U(32)).astype(_V) ^ s.astype(_V)
     least = np.full(PLACES, 0xFFFFFFFF, _V)
-    for begin in range(0, len(x), 4096):
-        y = x[None, begin : begin + 4096] * _A[:, None]
+    for begin in range(0, len(x), 1024):
+        y = x[None, begin : begin + 1024] * _A[:, None]
         y ^= y >> _V(15)
         y *= _B[:, None]
         np.minimum(least, y.min(axis=1), out=least)
     return (mix(least.astype(_U)) >> _U(48)).astype(np.uint16)
 
 
+def sketches(least: np.ndarray) -> np.ndarray:
+    """Rows of PLACES minima to rows of WORDS longs."""
+    two = (least & 3).astype(np.uint8).reshape(len(least), -1, 4)
+    return np.ascontiguousarray(two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6).view(np.int64)
+
+
 def distance_limit(percent: int) -> int:
-    """Places that may differ before a pair at the threshold is that unlikely: six standard deviations."""
-    j = percent / 100
-    return int(np.ceil(PLACES * (1 - j) + 6 * np.sqrt(PLACES * j * (1 - j))))
+    """Places of a sketch that may differ before a pair at the threshold is that unlikely."""
+    p = (1 - percent / 100) * 0.75
+    return int(np.ceil(PLACES * p + SIGMAS * np.sqrt(PLACES * p * (1 - p))))
+
+
+def may_reach(percent: int, a: str, b: str):
+    """Whether sizes and sketches, in columns with these suffixes, leave the threshold possible."""
+    differ = []
+    for w in _SKETCH:
+        x = F.col(w + a).bitwiseXOR(F.col(w + b))
+        differ.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    least, most = F.least("n" + a, "n" + b), F.greatest("n" + a, "n" + b)
+    return (least * 100 >= most * percent) & (sum(differ[1:], differ[0]) <= distance_limit(percent))
+
+
+def sides(df: DataFrame, id_: str, suffix: str, *more: str) -> DataFrame:
+    """The columns that may_reach compares, with a suffix."""
+    return df.select(F.col("rep").alias(id_), F.col("n_shingles").alias("n" + suffix), *[F.col(w).alias(w + suffix) for w in _SKETCH], *more)
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the signature (null for the empty set)."""
+    """doc_id, n_shingles, two hashes of the whole set, the signature and the sketch (null for the empty set)."""
     ship(docs.sparkSession)
 
     def run(tables):
@@ -74,18 +98,21 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(encode(texts), width)
                 marks = [[int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))] for s in sets]
                 marks = np.asarray(marks, dtype=_U).reshape(-1, 2).view(np.int64)
+                least = np.stack([minima(s) for s in sets])
+                none = np.array([len(s) == 0 for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(marks[:, 0]),
                         pa.array(marks[:, 1]),
-                        pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([x.tobytes() if len(s) else None for s, x in zip(sets, least[:, : CHUNKS * ROWS], strict=True)], pa.binary()),
+                        *[pa.array(w, mask=none) for w in sketches(least).T],
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "sig"],
+                    ["doc_id", "n_shingles", "f1", "f2", "sig", *_SKETCH],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, " + ", ".join(f"{w} long" for w in _SKETCH))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -114,21 +141,9 @@ def index_keys(classes: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a < b whose sizes and signatures don't rule out the threshold."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    limit = distance_limit(percent)
-
-    def run(tables):
-        for t in tables:
-            if t.num_rows:
-                get = lambda c: t.column(t.schema.get_field_index(c))
-                x, y = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint16).reshape(-1, PLACES) for c in ("sa", "sb"))
-                keep = pa.array((x != y).sum(axis=1) <= limit)
-                yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], ["a", "b"])
-
-    return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    """The pairs whose sizes and sketches don't rule out the threshold."""
+    both = pairs.join(sides(classes, "a", "_a"), "a").join(sides(classes, "b", "_b"), "b")
+    return both.where(may_reach(percent, "_a", "_b")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -163,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     described = scratch.save(describe(docs, width), "described")
     full = described.where("n_shingles > 0")
     same = ["f1", "f2", "n_shingles"]
-    classes = scratch.save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+    classes = scratch.save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("sig", *_SKETCH)]), "classes")
     # If a doc_id repeats with another text, its classes belong together.
     loops = full.join(classes.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
@@ -181,11 +196,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     placed = scratch.save(placed, "placed")
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
     split = split.where("low != high and n > 2").select("key")  # of two, one was the leader
-    open_ = placed.join(split, "key", "left_semi")
-    others = open_.select("key", F.col("rep").alias("rep2"), F.col("part").alias("part2"))
-    rest = open_.join(others, "key").where("rep < rep2 and part != part2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(verify(scratch.save(plausible(rest, classes, percent), "near-rest"), docs, width, percent), "links-rest")
+    open_ = placed.join(split, "key", "left_semi").join(classes.select("rep", "n_shingles", *_SKETCH), "rep")
+    one, two = (sides(open_, c, f"_{c}", "key", F.col("part").alias(f"part_{c}")) for c in "ab")
+    rest = one.join(two, "key").where("a < b and part_a != part_b").where(may_reach(percent, "_a", "_b")).select("a", "b").distinct()
+    rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    more = scratch.save(verify(rest, docs, width, percent), "links-rest")
 
     found = connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(loops), scratch, "all")
     out = described.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
