@@ -30,9 +30,9 @@ MAX_SOURCES = 1_000_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and the shuffle key of every row."""
+    """doc_id, source, size (words), the shuffle key and row (the hash of its text) of every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
+    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.xxhash64("text").alias("row"))
 
 
 def targets(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = EPOCHS) -> DataFrame:
@@ -100,12 +100,12 @@ def positions(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def segments(placed: DataFrame) -> DataFrame:
-    """number, block, doc_id, start, and the words first to last (exclusive, from the document's start) that are in the
+    """number, block, doc_id, row, start, and the words first to last (exclusive, from the document's start) that are in the
     block."""
     block = F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
-    cut = placed.where("size > 0").select("number", "doc_id", "start", "size", block.alias("block"))
+    cut = placed.where("size > 0").select("number", "doc_id", "row", "start", "size", block.alias("block"))
     first, last = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size"))
-    return cut.select("number", "block", "doc_id", "start", first.alias("first"), last.alias("last"))
+    return cut.select("number", "block", "doc_id", "row", "start", first.alias("first"), last.alias("last"))
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +129,16 @@ def taken(mixed: DataFrame, placed: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def documents_in_mix(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: each time that it takes the block with a document's first
+    word, the whole document comes. Documents without words never come."""
+    mixed, _ = mix(docs)
+    picks = mixed.where("first = 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    # Rows equal in doc_id and text are one row with the places of all of them.
+    one = docs.dropDuplicates(["doc_id", "text"])
+    return one.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))).select(*docs.columns)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of all documents."""
     return taken(*mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -19,7 +19,8 @@ under 1e-9.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing; they are kept. A
 text of fewer words than a shingle has the whole sequence as its one shingle. Repeated doc_ids act as one document with
-several texts: each row keeps its own set, and the component is that of the id. An empty table gives an empty result.
+several texts: each row keeps its own set, and the component is that of the id. Rows without a doc_id link with nothing,
+have no component and are kept. An empty table gives an empty result.
 Columns other than doc_id and text are not read.
 """
 
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
     described = scratch.save(describe(docs, width), "described")
-    full = described.where("n_shingles > 0")
+    full = described.where("n_shingles > 0 and doc_id is not null")
     same = ["f1", "f2", "n_shingles"]
     classes = scratch.save(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("sig", *_SKETCH)]), "classes")
     # If a doc_id repeats with another text, its classes belong together.
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     found = connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(loops), scratch, "all")
     out = described.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, lines, media, mixing, neardup, shards, tokenfiles, toxicity
+from . import bpe, embeddings, lines, media, mixing, neardup, quotes, shards, tokenfiles, toxicity
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -8,12 +8,16 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash_neardup": neardup.op4_minhash_neardup,
     "op5_source_mix": mixing.op5_source_mix,
+    "op6_quote_threads": quotes.op6_quote_threads,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_shard_packing": shards.op8_shard_packing,
+    "op9_embedding_neardup": embeddings.op9_embedding_neardup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLES = {
     "op3_line_dedup": lines.OP3_SQL,
     "op5_source_mix": mixing.OP5_SQL,
+    "op6_quote_threads": quotes.OP6_SQL,
+    "op9_embedding_neardup": embeddings.OP9_SQL,
 }

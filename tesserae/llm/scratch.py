@@ -37,7 +37,11 @@ class Scratch:
         """Writes ``df`` as Parquet (zstd) and reads it back with the schema it had, so that empty tables work too."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.load(name, df)
+
+    def load(self, name: str, like: DataFrame) -> DataFrame:
+        """A table that was saved, once more, with columns of its own: for joins of a table with itself."""
+        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -8,7 +8,7 @@ ranks at once by numpy. ``ranks.npy`` beside the files maps ranks to ids.
 Files are written under a temporary name and renamed, so a repeated task replaces what it wrote before.
 
 Edge cases: null and empty texts hold the end id alone. Documents of equal doc_id follow each other in the order of
-their ids' bytes. An empty table makes no files and an empty result. Extra columns are not read.
+their ids' bytes; null ids come first. An empty table makes no files and an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from .words import batches
 MAGIC = b"TKVB\1\0\0\0"
 BLOCK_IDS = 1 << 20
 FILE_IDS = 8 << 20
+NO_ID = -(1 << 63)  # in files, for a null doc_id
 
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _MASK = np.arange(4) < np.arange(1, 5)[:, None]
@@ -176,7 +177,7 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
         for t in tables:
             for d, x in zip(t.column(0).to_pylist(), t.column(1), strict=True):
                 ids = _ids(x.as_py(), expand)
-                docs.append(d)
+                docs.append(NO_ID if d is None else d)
                 counts.append(len(ids))
                 held.append(shared.value[ids])
                 size += len(ids)
@@ -214,7 +215,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     for docs, counts, ranks in read_blocks(stream):
                         ids, ends = vocabulary[ranks], np.cumsum(counts)
                         crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(ends[-1])
 
     n = max(1, manifest.count())

@@ -105,33 +105,65 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     return features.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(fit, "index long, weight double")
 
 
-def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id and score, the probability of label 1 in 0 to 1."""
-    ship(docs.sparkSession)
+def scorer(spark: SparkSession, weights: DataFrame, bits: int):
+    """A function of texts on executors that gives their scores."""
+    ship(spark)
     table = weights.toPandas()  # 2**bits + 1 rows at most
     dense = np.zeros(1 << bits, np.float32)
     own = table["index"] >= 0
     dense[table["index"][own].to_numpy()] = table["weight"][own].to_numpy()
     bias = float(table["weight"][~own].sum())
     index = np.flatnonzero(dense).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((index, dense[index], bias))
+    shared = spark.sparkContext.broadcast((index, dense[index], bias))
 
-    def run(tables):
+    def prepare():
         index, values, bias = shared.value
         w = np.zeros(1 << bits)
         w[index] = values
         matters = w != 0
+
+        def scores(texts: list) -> np.ndarray:
+            at, doc = grams(encode(texts), bits)
+            hit = matters[at]
+            pairs = np.unique(doc[hit] << bits | at[hit])
+            logit = bias + np.bincount(pairs >> bits, w[pairs & (1 << bits) - 1], len(texts))
+            return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
+
+        return scores
+
+    return prepare
+
+
+def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id and score, the probability of label 1 in 0 to 1."""
+    prepare = scorer(docs.sparkSession, weights, bits)
+
+    def run(tables):
+        scores = prepare()
         for t in tables:
             for texts, ids in batches(t, ["text", "doc_id"]):
-                at, doc = grams(encode(texts), bits)
-                hit = matters[at]
-                pairs = np.unique(doc[hit] << bits | at[hit])
-                logit = bias + np.bincount(pairs >> bits, w[pairs & (1 << bits) - 1], len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores(texts))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    prepare = scorer(docs.sparkSession, weights, bits)
+    at = docs.columns.index("text")
+
+    def run(tables):
+        scores = prepare()
+        for t in tables:
+            begin = 0
+            for (texts,) in batches(t, ["text"]):
+                part = t.slice(begin, len(texts))
+                begin += len(texts)
+                yield part.filter(pa.array(scores(part.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """Whether the row is kept from training: CRC-32 of the id's digits divisible by 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
