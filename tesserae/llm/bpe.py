@@ -185,7 +185,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(tables):
         c = codec(path, pattern)
         for t in tables:
-            for texts, doc_ids in batches(t, ["text", "doc_id"]):
+            for texts, doc_ids in batches(t, ["text", "doc_id"], 1 << 20):
                 ids = c.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [

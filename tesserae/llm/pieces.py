@@ -42,7 +42,7 @@ class Memo:
     space, and gives ids and their counts. Beyond ``most`` pieces only those of the batch at hand stay, so memory is
     bounded."""
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self._clear()
 

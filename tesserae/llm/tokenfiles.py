@@ -122,7 +122,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     def run(tables):
         memo, squeeze = _memo(tokenizer), zstandard.ZstdCompressor(level=1)
         for t in tables:
-            for texts, doc_ids in batches(t, ["text", "doc_id"]):
+            for texts, doc_ids in batches(t, ["text", "doc_id"], 1 << 20):
                 ids, at = memo.texts(texts)
                 made = [np.append(ids[b:e], np.uint32(end_id)) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 # Bytes of equal weight side by side compress better.
