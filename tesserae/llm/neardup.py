@@ -8,9 +8,12 @@ probability 1 - J: at J = 0.8 a pair misses all keys with probability 2.4e-5, an
 places is found with certainty.
 
 Documents of equal sets fall into classes first, so copies cost one member. Within a bucket of the index, members are
-compared with one leader of that chunk, on whole sets of shingles; links make components. Buckets that then still hold
-several components get their remaining pairs across components compared as well, so no link that meets in a bucket is
-lost, while groups of thousands of near copies never enumerate their pairs. Pairs whose sketches or sizes rule out the
+compared with one leader of that chunk, on whole sets of shingles; links make components. Members then outside are
+compared with the member of the bucket that has most links, in a group of near copies often the text they all come from.
+Buckets that still hold several components get their remaining pairs across components compared as well: one by one
+between small components, and for a component of more than BIG in blocks of sets, against the documents that meet it in
+a bucket. So no link that meets in a bucket is lost, while groups of thousands of near copies never give out their
+pairs. Pairs whose sketches or sizes rule out the
 threshold (SIGMAS standard deviations for sketches, under 1e-4 at the threshold) neither leave a join nor get verified:
 documents that share a long passage, and no more, meet in many buckets and part there.
 
@@ -29,6 +32,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +46,7 @@ CHUNKS, ROWS, ERRORS = 10, 6, 1
 PLACES, SIGMAS = 192, 4.5
 WORDS = PLACES // 32  # longs of a sketch, 2 bits a place
 SHINGLE, PERCENT = 5, 80
+BIG, CELL = 32, 256  # members of a component compared in blocks, and rows of a block
 
 _U, _V = np.uint64, np.uint32
 _seed = mix(np.arange(1, 2 * PLACES + 1, dtype=_U) * _U(0xD1342543DE82EF95))
@@ -172,6 +177,45 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
+def verify_blocks(against: DataFrame, own: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """For components big with members ``own``: of the documents in ``against``, those linked to a member, one link for
+    each block of members. Both have big and rep."""
+    texts = docs.join(against.select("rep").unionByName(own.select("rep")).distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    texts = texts.select(F.col("doc_id").alias("rep"), "text").groupBy("rep").agg(F.first("text").alias("text"))
+    n_own = own.groupBy("big").agg(F.ceil(F.count("*") / CELL).cast("int").alias("own_blocks"))
+    n_against = against.groupBy("big").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    sizes = n_own.join(n_against, "big")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = against.join(sizes, "big").select("big", "rep", deal("blocks").alias("x"), all_("own_blocks").alias("y")).join(texts, "rep")
+    right = own.join(sizes, "big").select("big", "rep", deal("own_blocks").alias("y"), all_("blocks").alias("x"))
+    right = right.join(texts.toDF("rep2", "text2"), F.col("rep") == F.col("rep2")).select("big", "y", "x", "rep", F.col("text2").alias("text"))
+
+    def run(key, q, m):
+        out = []
+        if len(q) and len(m):
+            sets = shingle_sets(encode(m["text"].tolist()), width)
+            n = np.array([len(s) for s in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for rep, s in zip(q["rep"].tolist(), shingle_sets(encode(q["text"].tolist()), width), strict=True):
+                low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
+                shared = np.bincount(owner[at], minlength=len(sets))
+                linked = np.flatnonzero(100 * shared >= percent * (n + len(s) - shared))
+                if len(linked):
+                    out.append((rep, int(m["rep"].iloc[linked[0]])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return left.groupBy("big", "x", "y").cogroup(right.groupBy("big", "x", "y")).applyInPandas(run, "a long, b long")
+
+
+def place(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, rep and part, the component that rep is in so far."""
+    return members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept, of every row."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -192,17 +236,38 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     links = scratch.save(verify(scratch.save(plausible(stars, classes, percent), "near"), docs, width, percent), "links")
     parts = connected(links, scratch, "parts")
 
-    # What the stars leave open: pairs in a bucket that are in different components and weren't compared yet.
-    placed = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    placed = scratch.save(placed, "placed")
+    placed = scratch.save(place(members, parts), "placed")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    ranked = placed.join(degrees, "rep", "left").select("key", "rep", "part", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("rep").alias("h"), "rep", "part").alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
+    spokes = placed.join(hubs, "key").where("part != hub.part").select(*ordered("rep", "hub.rep")).distinct().join(stars, ["a", "b"], "left_anti")
+    spokes = scratch.save(spokes, "spokes")
+    hub_links = scratch.save(verify(scratch.save(plausible(spokes, classes, percent), "near-hubs"), docs, width, percent), "links-hubs")
+    as_links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = connected(as_links.unionByName(hub_links), scratch, "parts-hubs")
+
+    # What is left open: pairs in a bucket that are in different components and weren't compared yet.
+    placed = scratch.save(place(members, parts), "placed-hubs")
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
     split = split.where("low != high and n > 2").select("key")  # of two, one was the leader
-    open_ = placed.join(split, "key", "left_semi").join(classes.select("rep", "n_shingles", *_SKETCH), "rep")
-    one, two = (sides(open_, c, f"_{c}", "key", F.col("part").alias(f"part_{c}")) for c in "ab")
+    open_ = scratch.save(placed.join(split, "key", "left_semi"), "open")
+    sizes = open_.select("part", "rep").distinct().groupBy("part").agg(F.count("*").alias("n_part"))
+    big = scratch.save(sizes.where(F.col("n_part") > BIG), "big").select("part")
+
+    small = open_.join(big, "part", "left_anti").join(classes.select("rep", "n_shingles", *_SKETCH), "rep")
+    one, two = (sides(small, c, f"_{c}", "key", F.col("part").alias(f"part_{c}")) for c in "ab")
     rest = one.join(two, "key").where("a < b and part_a != part_b").where(may_reach(percent, "_a", "_b")).select("a", "b").distinct()
-    rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti"), "near-rest")
     more = scratch.save(verify(rest, docs, width, percent), "links-rest")
 
+    of_big = open_.join(big, "part", "left_semi").select("key", F.col("part").alias("big")).distinct()
+    against = scratch.load("open", open_).join(of_big, "key").where("part != big").select("big", "part", "rep").distinct()
+    both_big = big.select(F.col("part"), F.lit(True).alias("both"))
+    against = against.join(both_big, "part", "left").where("both is null or part < big").select("big", "rep")
+    own = open_.join(big, "part", "left_semi").select(F.col("part").alias("big"), "rep").distinct()
+    blocks = scratch.save(verify_blocks(scratch.save(against, "against"), scratch.save(own, "own"), docs, width, percent), "links-blocks")
+    more = more.unionByName(blocks)
+
     found = connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(loops), scratch, "all")
     out = described.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
