@@ -5,7 +5,8 @@ of four ranks. A file is a run of blocks, each with its header, its table of doc
 so that a reader needs one block in memory. Decoding looks the control bytes up in a table of lengths and fills all
 ranks at once by numpy. ``ranks.npy`` beside the files maps ranks to ids.
 
-Files are written under a temporary name and renamed, so a repeated task replaces what it wrote before.
+Every attempt of a task writes a file of its own name. The manifest, which Spark commits, lists those of the attempts
+that count, so a repeated or lost task leaves no trace in the result; each file's ids lie apart from all others'.
 
 Edge cases: null and empty texts hold the end id alone. Documents of equal doc_id follow each other in the order of
 their ids' bytes; null ids come first. An empty table makes no files and an empty result. Extra columns are not read.
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +85,7 @@ def library_encoder(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    one = lambda x: np.asarray(t.encode(x, add_special_tokens=False).ids, np.uint32)
+    one = lambda x: np.asarray(t.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32)
     mark = one("\n")
 
     def encode(pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
 
 def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes token files in ascending doc_id order under ``folder`` (a URI that executors reach) and returns part, file,
+    """Writes token files in ascending doc_id order under ``folder`` (a URI that executors reach) and returns first_id, file,
     n_docs and n_tokens of each. The table of ranks is as long as the vocabulary at most, whatever the corpus."""
     total, = tokens.agg(F.sum("n_tokens")).first()
     counts = frequencies(tokens).orderBy(F.desc("n"), "token").select("token").toPandas()["token"].to_numpy()
@@ -171,39 +171,38 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
 
     def run(tables):
         fs, top = pyarrow.fs.FileSystem.from_uri(folder)
-        part, expand = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        name, draft = f"{top}/part-{part:06d}.tkv", f"{top}/_draft-{uuid.uuid4().hex}"
+        expand, name, first = zstandard.ZstdDecompressor(), f"{uuid.uuid4().hex}.tkv", None
         docs, counts, held, size, n_docs, n_ids, out = [], [], [], 0, 0, 0, None
         for t in tables:
             for d, x in zip(t.column(0).to_pylist(), t.column(1), strict=True):
                 ids = _ids(x.as_py(), expand)
                 docs.append(NO_ID if d is None else d)
+                first = docs[0] if first is None else first
                 counts.append(len(ids))
                 held.append(shared.value[ids])
                 size += len(ids)
                 if size >= BLOCK_IDS:
-                    out = out or fs.open_output_stream(draft)
+                    out = out or fs.open_output_stream(f"{top}/{name}")
                     write_block(out, docs, counts, np.concatenate(held))
                     n_docs, n_ids = n_docs + len(docs), n_ids + size
                     docs, counts, held, size = [], [], [], 0
         if docs:
-            out = out or fs.open_output_stream(draft)
+            out = out or fs.open_output_stream(f"{top}/{name}")
             write_block(out, docs, counts, np.concatenate(held))
             n_docs, n_ids = n_docs + len(docs), n_ids + size
         if out:
             out.close()
-            fs.move(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name.rpartition("/")[2], n_docs, n_ids)], ["part", "file", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, name, n_docs, n_ids)], ["first_id", "file", "n_docs", "n_tokens"])
 
     files = max(1, -(-(total or 0) // file_ids))
     dealt = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return dealt.mapInArrow(run, "part long, file string, n_docs long, n_tokens long")
+    return dealt.mapInArrow(run, "first_id long, file string, n_docs long, n_tokens long")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document in the files; ``start`` counts the ids before it."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    placed = manifest.select("first_id", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
     def run(tables):
         fs, top = pyarrow.fs.FileSystem.from_uri(folder)
@@ -219,7 +218,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                         start += int(ends[-1])
 
     n = max(1, manifest.count())
-    return placed.repartitionByRange(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartitionByRange(n, "first_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
