@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from .pieces import Memo
-from .words import batches, mix
+from .words import batches, mix, tidy
 
 _U = np.uint64
 
@@ -144,16 +144,13 @@ class Codec:
         self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.table[rank] = token
-        self.memo, self.words, self.most = Memo(self._pieces), {}, 300_000
+        self.memo = Memo(self._pieces, 500_000)
 
     def _pieces(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.words
-        if len(known) > self.most:
-            known.clear()
         cuts = [self.find(p) for p in pieces]
-        missing = list({x for c in cuts for x in c if x not in known})
-        raw = [x.encode() for x in missing]
-        known.update((x, [v] if v >= 0 else merge(y, self.ranks)) for x, y, v in zip(missing, raw, self.whole.find(raw), strict=True))
+        distinct = list({x for c in cuts for x in c})
+        raw = [x.encode() for x in distinct]
+        known = {x: [v] if v >= 0 else merge(y, self.ranks) for x, y, v in zip(distinct, raw, self.whole.find(raw), strict=True)}
         found = [known[c[0]] if len(c) == 1 else [i for x in c for i in known[x]] for c in cuts]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
@@ -185,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(tables):
         c = codec(path, pattern)
         for t in tables:
-            for texts, doc_ids in batches(t, ["text", "doc_id"], 1 << 20):
+            for texts, doc_ids in batches(t, ["text", "doc_id"]):
                 ids = c.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -198,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> tuple[str, str]:

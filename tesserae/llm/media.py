@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from .scratch import Scratch
-from .words import batches, encode
+from .words import batches, encode, tidy
 
 WIDTH = 64  # of the grey images that payload_to_media makes
 TILE = 16  # side of the NPY tiles
@@ -163,7 +163,7 @@ def texts_to_media(docs: DataFrame, image_format: str = "pgm") -> DataFrame:
                     ["doc_id", "n_bytes", "media"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
@@ -196,7 +196,7 @@ def features(media: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in keys] + made, [*keys, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [made])
-    return media.select(*keys, "media").mapInArrow(run, schema)
+    return media.select(*keys, "media").mapInArrow(tidy(run), schema)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .components import connected
 from .scratch import Scratch
-from .words import batches, encode, mix, shingle_sets
+from .words import batches, encode, mix, shingle_sets, tidy
 
 CHUNKS, ROWS, ERRORS = 10, 6, 1
 PLACES, SIGMAS = 192, 4.5
@@ -100,7 +100,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
     def run(tables):
         for t in tables:
-            for texts, ids in batches(t, ["text", "doc_id"], 2 << 20):
+            for texts, ids in batches(t, ["text", "doc_id"]):
                 sets = shingle_sets(encode(texts), width)
                 marks = [[int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))] for s in sets]
                 marks = np.asarray(marks, dtype=_U).reshape(-1, 2).view(np.int64)
@@ -118,7 +118,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "n_shingles", "f1", "f2", "sig", *_SKETCH],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, " + ", ".join(f"{w} long" for w in _SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, " + ", ".join(f"{w} long" for w in _SKETCH))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
                     ["rep", "chunk", "key"],
                 )
 
-    return classes.select("rep", "sig").mapInArrow(run, "rep long, chunk int, key long")
+    return classes.select("rep", "sig").mapInArrow(tidy(run), "rep long, chunk int, key long")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     def run(tables):
         known: dict[int, np.ndarray] = {}  # leaders come again and again
         for t in tables:
-            for ta, tb, a, b in batches(t, ["ta", "tb", "a", "b"], 1 << 20):
+            for ta, tb, a, b in batches(t, ["ta", "tb", "a", "b"]):
                 if len(known) + 2 * len(a) > 2000 or sum(map(len, known.values())) > 4_000_000:
                     known.clear()
                 new = {k: x for ks, xs in ((a, ta), (b, tb)) for k, x in zip(ks, xs, strict=True) if k not in known}
@@ -174,7 +174,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def verify_blocks(against: DataFrame, own: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

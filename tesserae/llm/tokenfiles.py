@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .pieces import Memo
 from .scratch import Scratch
-from .words import batches
+from .words import batches, tidy
 
 MAGIC = b"TKVB\1\0\0\0"
 BLOCK_IDS = 1 << 20
@@ -122,7 +122,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     def run(tables):
         memo, squeeze = _memo(tokenizer), zstandard.ZstdCompressor(level=1)
         for t in tables:
-            for texts, doc_ids in batches(t, ["text", "doc_id"], 1 << 20):
+            for texts, doc_ids in batches(t, ["text", "doc_id"]):
                 ids, at = memo.texts(texts)
                 made = [np.append(ids[b:e], np.uint32(end_id)) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 # Bytes of equal weight side by side compress better.
@@ -132,7 +132,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
                     ["doc_id", "n_tokens", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def _ids(packed: bytes, expand) -> np.ndarray:
@@ -153,7 +153,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
@@ -196,7 +196,7 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
 
     files = max(1, -(-(total or 0) // file_ids))
     dealt = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return dealt.mapInArrow(run, "first_id long, file string, n_docs long, n_tokens long")
+    return dealt.mapInArrow(tidy(run), "first_id long, file string, n_docs long, n_tokens long")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -218,7 +218,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                         start += int(ends[-1])
 
     n = max(1, manifest.count())
-    return placed.repartitionByRange(n, "first_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartitionByRange(n, "first_id").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .scratch import Scratch
-from .words import batches, encode, mix, word_hashes
+from .words import batches, encode, mix, tidy, word_hashes
 
 BITS, MAX_ROWS = 20, 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.0, 4
@@ -82,27 +82,28 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
                 yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(label, pa.float64()), features], ["turn", "doc_id", "label", "features"])
 
     def fit(tables):
-        x, y = [], []
+        flat, sizes, y = [], [], []
         for t in tables:
-            x += [f.values.to_numpy() for f in t.column(3)]
+            flat.append(t.column(3).flatten().to_numpy().copy())  # else each view keeps its whole batch
+            sizes += [len(f) for f in t.column(3)]
             y += t.column(2).to_pylist()
+        flat, ends = np.concatenate([*flat, np.zeros(0, np.int32)]), np.cumsum([0, *sizes])
         model, share = Ftrl(bits), (sum(y) + 0.5) / (len(y) + 1)
         model.bias = float(np.log(share / (1 - share)))
         if len(set(y)) > 1:
-            seen = np.zeros(1 << bits, np.int32)
-            for at in x:
-                seen[at] += 1
-            x = [at[seen[at] >= MIN_DOCS] for at in x]
+            often = np.bincount(flat, minlength=1 << bits)[flat] >= MIN_DOCS
+            kept = np.concatenate([[0], np.cumsum(often)])[ends]
+            flat = flat[often]
             rare = max(1.0, np.sqrt(len(y) / (2 * sum(y))))  # the rarer label 1, the more each of its rows counts
             for _ in range(epochs):
-                for at, label in zip(x, y, strict=True):
-                    model.learn(at, label, rare if label else 1.0)
+                for b, e, label in zip(kept[:-1].tolist(), kept[1:].tolist(), y, strict=True):
+                    model.learn(flat[b:e], label, rare if label else 1.0)
         w = model.weights(slice(None))
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(w[kept], model.bias))], ["index", "weight"])
 
-    features = rows.mapInArrow(cut, "turn long, doc_id long, label double, features array<int>")
-    return features.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(fit, "index long, weight double")
+    features = rows.mapInArrow(tidy(cut), "turn long, doc_id long, label double, features array<int>")
+    return features.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(tidy(fit), "index long, weight double")
 
 
 def scorer(spark: SparkSession, weights: DataFrame, bits: int):
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
             for texts, ids in batches(t, ["text", "doc_id"]):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores(texts))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
@@ -161,7 +162,7 @@ def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5, bits: in
                 begin += len(texts)
                 yield part.filter(pa.array(scores(part.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 def _grow(n: int) -> None:
     if len(_powers[0]) <= n:
-        n = 1 << n.bit_length()
+        n += n >> 3
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(n + 1, base, dtype=_U)
             p[0] = 1
@@ -82,7 +82,24 @@ def shingle_sets(raw: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def batches(table, columns: list[str], at_most: int = 4 << 20):
+def tidy(run):
+    """``run``, a function of Arrow batches, with memory given back to the system behind it: workers live on between
+    tasks, and what one task needed at its peak should not weigh on the next."""
+
+    def tidied(tables):
+        yield from run(tables)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
+
+
+def batches(table, columns: list[str], at_most: int = 1 << 20):
     """Splits an Arrow batch into lists of rows whose text, the first of ``columns``, sums up to about ``at_most``
     bytes, so that memory follows the longest text and not the batch."""
     data = [table.column(table.schema.get_field_index(c)).to_pylist() for c in columns]
