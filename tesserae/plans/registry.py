@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics, documents, extraction, mining, relational, scoring  # noqa: F401  they register themselves
+from .base import ORACLES, QUERIES  # noqa: F401
 
 
 def FLAGSHIP(spark, sf_dir):
