@@ -1,33 +1,66 @@
 """Greedy algorithms whose order of choices matters, run group by group.
 
-A group here is what one company states for one metric, so its size follows a document and not the corpus.
+A group here is what one company states for one metric, so its size follows a document and not the corpus. Groups lie
+side by side in sorted partitions and are cut out of Arrow batches, so millions of groups cost no call each; groups of
+one row need no Python loop at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
 
+def _side_by_side(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` with a hash of its keys, partitioned by it and sorted by it and ``order``."""
+    return df.withColumn("_g", F.xxhash64(*keys)).repartition("_g").sortWithinPartitions("_g", *order)
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups, with the bounds of each; a group that a batch cuts waits for its rest."""
+
+    def bounds(df):
+        g = df["_g"].to_numpy()
+        return np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+
+    held = None
+    for df in frames:
+        df = df if held is None else pd.concat([held, df], ignore_index=True)
+        if not len(df):
+            continue
+        b = bounds(df)
+        held = df.iloc[b[-2] :].reset_index(drop=True)
+        if b[-2]:
+            yield df.iloc[: b[-2]], b[:-1]
+    if held is not None and len(held):
+        yield held, bounds(held)
+
+
 def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
     """Pairs by score (then ids), each id used once on its side."""
     ship(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, keep = set(), set(), []
-        df = df.sort_values([score, left, right], ascending=[False, True, True])
-        for k, (a, b) in enumerate(zip(df[left], df[right], strict=True)):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                keep.append(k)
-        return df.iloc[keep][[group, left, right]]
+    def run(frames):
+        for df, at in _whole_groups(frames):
+            a, b, keep = df[left].to_numpy(), df[right].to_numpy(), np.zeros(len(df), bool)
+            for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                used_left, used_right = set(), set()
+                for k in range(begin, end):
+                    if a[k] not in used_left and b[k] not in used_right:
+                        used_left.add(a[k])
+                        used_right.add(b[k])
+                        keep[k] = True
+            yield df.loc[keep, [group, left, right]]
 
-    return pairs.groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right)))
+    dealt = _side_by_side(pairs.select(group, left, right, score), [group], [F.desc(score), left, right])
+    return dealt.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right)))
 
 
 def within(value: float, other: float, tolerance: float) -> bool:
@@ -40,16 +73,19 @@ def group_within_tolerance(df: DataFrame, keys: list[str], id_: str, value: str,
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order or id_, kind="stable")
-        ids, values = part[id_].to_numpy(), part[value].to_numpy(float)
-        owner = np.full(len(ids), -1)
-        for i in range(len(ids)):
-            if owner[i] < 0:
-                rest = owner[i:] < 0
-                near = np.where(values[i:] == 0, values[i] == 0, np.abs(values[i] - values[i:]) <= tolerance * np.abs(values[i:]))
-                near[0] = True
-                owner[i:][rest & near] = i
-        return pd.DataFrame({id_: ids, "group_id": ids[owner]})
-
-    return df.groupBy(*keys).applyInPandas(run, f"{id_} {kinds[id_]}, group_id {kinds[id_]}")
+    def run(frames):
+        for part, at in _whole_groups(frames):
+            ids, values, owner = part[id_].to_numpy(), part[value].to_numpy(float), np.arange(len(part))
+            for b, e in zip(at[:-1][np.diff(at) > 1].tolist(), at[1:][np.diff(at) > 1].tolist(), strict=True):
+                v, own = values[b:e], np.full(e - b, -1)
+                for i in range(e - b):
+                    if own[i] < 0:
+                        near = np.where(v[i:] == 0, v[i] == 0, np.abs(v[i] - v[i:]) <= tolerance * np.abs(v[i:]))
+                        near[0] = True
+                        own[i:][(own[i:] < 0) & near] = i
+                owner[b:e] = own + b
+            yield pd.DataFrame({id_: ids, "group_id": ids[owner]})
+
+    used = list(dict.fromkeys([*keys, id_, value, order or id_]))
+    dealt = _side_by_side(df.select(*used), keys, list(dict.fromkeys([order or id_, id_])))
+    return dealt.select("_g", id_, value).mapInPandas(run, f"{id_} {kinds[id_]}, group_id {kinds[id_]}")
