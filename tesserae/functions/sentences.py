@@ -10,8 +10,11 @@ import difflib
 import re
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = {"inc", "corp", "co", "ltd", "mr", "mrs", "ms", "dr", "no", "vs", "approx", "u.s", "e.g", "i.e", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec"}
 
@@ -47,6 +50,8 @@ def bounds_at(text: str, at: int) -> tuple[int, int]:
 def sentence_bounds(text, at):
     """Column of structs (start, end) for the 0-based offset in ``at``."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("start int, end int")
     def run(texts: pd.Series, offsets: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([bounds_at(t or "", int(o)) for t, o in zip(texts, offsets.fillna(0), strict=True)], columns=["start", "end"])
@@ -77,6 +82,8 @@ def respectively_pairs(text: str) -> list[tuple[str, str]]:
 def respectively(text):
     """Column of arrays of (value, period)."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<struct<value:string,period:string>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"value": v, "period": p} for v, p in respectively_pairs(t or "")])
@@ -87,6 +94,8 @@ def respectively(text):
 def similarity(a, b):
     """The ratio of matching characters in longest matching blocks."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, extraction, mining, relational, scoring  # noqa: F401  they register themselves
+from . import analytics, documents, extraction, mining, relational, scoring, values  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES  # noqa: F401
 
 

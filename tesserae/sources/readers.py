@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
 from ..functions.text import collapse, escape_html, speaker_role
 
 
@@ -33,6 +34,7 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
     """path and decoded html of each file."""
     from .html import decode
 
+    ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     return raw.mapInPandas(lambda frames: (f.assign(html=f["content"].map(decode))[["path", "html"]] for f in frames), "path string, html string")
 
