@@ -63,6 +63,7 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in connected(df, Scratch(spark, "t"), "c").collect()}
     assert got == want
+    assert {r.node: r.component for r in connected(df, Scratch(spark, "t"), "c", local=10).collect()} == want
     assert connected(df.limit(0), Scratch(spark, "t"), "c").count() == 0
 
 
