@@ -160,11 +160,11 @@ def infer_period(header: Column, sentence: Column, as_of: Column) -> Column:
 def parse_cohort_label(label: Column) -> Column:
     """Struct of kind (acquisition, tenure, other) and normalised bucket."""
     part = lambda p, k=1: F.nullif(F.regexp_extract(label, p, k), F.lit(""))
-    year = part(r"(?i)\b((?:19|20)\d{2})\b\s*cohort|(?i)cohort\s*(?:of\s*)?\b((?:19|20)\d{2})\b")
-    year = F.coalesce(year, part(r"(?i)\b((?:19|20)\d{2})\b\s*cohort|(?i)cohort\s*(?:of\s*)?\b((?:19|20)\d{2})\b", 2))
+    cohort = r"(?i)\b((?:19|20)\d{2})\b\s*cohort|cohort\s*(?:of\s*)?\b((?:19|20)\d{2})\b"
+    year = F.coalesce(part(cohort), part(cohort, 2))
     months, years = r"(?i)(\d+)\s*-\s*(\d+)\s*months?", r"(?i)(\d+)\s*-\s*(\d+)\s*years?"
     plus, less = r"(?i)(\d+)\s*\+\s*years?", r"(?i)(?:less\s+than|<)\s*(\d+)"
-    in_years = lambda c: F.expr("1") * (c.try_cast("int") / 12).cast("int")
+    in_years = lambda c: (c.try_cast("int") / 12).cast("int")
     bucket = F.coalesce(
         F.concat(in_years(part(months)).cast("string"), F.lit("-"), in_years(part(months, 2)).cast("string"), F.lit("y")),
         F.concat(part(years), F.lit("-"), part(years, 2), F.lit("y")),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,7 +108,7 @@ IN_SCOPE_FORMS = ["S-1", "S-1/A", "F-1", "F-1/A"]
 def is_blank_check(name: Column, sic: Column, text: Column) -> Column:
     head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 10_000))
     strong = F.contains(head, F.lit("blank check company")) | F.contains(head, F.lit("special purpose acquisition")) | F.contains(head, F.lit("blank checks [6770]"))
-    has = lambda *words: __import__("functools").reduce(lambda a, b: a & b, [F.contains(head, F.lit(w)) for w in words]).cast("int")
+    has = lambda *words: reduce(and_, [F.contains(head, F.lit(w)) for w in words]).cast("int")
     weak = has("initial business combination") + has("target business", "acquisition") + has("sponsor", "founder shares")
     return F.coalesce(sic == "6770", F.lit(False)) | F.coalesce(name.rlike(r"(?i)\bacquisition\s+(corp|company|co|inc|holdings)\b|\bSPAC\b|\bblank\s+check\b"), F.lit(False)) | strong | (weak >= 2)
 
