@@ -107,13 +107,13 @@ def suppression_tags(spark, d):  # B15
     return facts(spark, d).withColumn("tags", tags).where(F.size("tags") > 0).select("fact_id", F.array_join("tags", "|").alias("tags"))
 
 
-@query("reviewer_listing", """+ o AS (SELECT DISTINCT img_id FROM decisions WHERE decision = 'correct') SELECT decision_id, metric_id, img_id FROM decisions t
+@query("reviewer_listing", """+ o AS (SELECT DISTINCT img_id FROM decisions WHERE decision = 'correct' AND k >= 90) SELECT decision_id, metric_id, img_id FROM decisions t
 WHERE decision = 'reject' AND metric_id IN ('m1', 'm2') AND EXISTS (SELECT 1 FROM decisions a WHERE a.img_id = t.img_id AND a.decision = 'accept') AND NOT EXISTS (SELECT 1 FROM o WHERE o.img_id = t.img_id)""", "decisions")
 def reviewer_listing(spark, d):  # B16, C7, C9
     all_ = decisions(spark, d)
     kept = all_.where((F.col("decision") == "reject") & F.col("metric_id").isin("m1", "m2"))
     kept = kept.join(all_.where("decision = 'accept'").select("img_id").distinct(), "img_id", "left_semi")
-    return kept.join(all_.where("decision = 'correct'").select("img_id").distinct(), "img_id", "left_anti").select("decision_id", "metric_id", "img_id")
+    return kept.join(all_.where("decision = 'correct' and k >= 90").select("img_id").distinct(), "img_id", "left_anti").select("decision_id", "metric_id", "img_id")
 
 
 PATTERN = {"logic": "and", "conditions": [{"field": "confidence", "op": "gte", "value": 0.95}, {"field": "source_type", "op": "in", "value": ["text", "chart"]}, {"field": "metric_id", "op": "contains", "value": "#2"}]}
