@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "tesserae-scratch"
+_own: dict[str, str] = {}  # of applications in local mode that set no folder
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,9 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
