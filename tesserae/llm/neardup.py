@@ -8,7 +8,7 @@ probability 1 - J: at J = 0.8 a pair misses all keys with probability 2.4e-5, an
 places is found with certainty.
 
 Documents of equal sets fall into classes first, so copies cost one member. Within a bucket of the index, members are
-compared with one leader of that chunk, on whole sets of shingles; links make components. Members then outside are
+compared with one leader, on whole sets of shingles; links make components. Members then outside are
 compared with the member of the bucket that has most links, in a group of near copies often the text they all come from.
 Buckets that still hold several components get their remaining pairs across components compared as well: one by one
 between small components, and for a component of more than BIG in blocks of sets, against the documents that meet it in
@@ -43,7 +43,7 @@ from .scratch import Scratch
 from .words import batches, encode, mix, shingle_sets, tidy
 
 CHUNKS, ROWS, ERRORS = 10, 6, 1
-PLACES, SIGMAS = 192, 4.5
+PLACES, SIGMAS = 512, 4.0
 WORDS = PLACES // 32  # longs of a sketch, 2 bits a place
 SHINGLE, PERCENT = 5, 80
 BIG, CELL = 32, 256  # members of a component compared in blocks, and rows of a block
@@ -59,8 +59,8 @@ def minima(s: np.ndarray) -> np.ndarray:
     """16 bits of each of the minima over the set's hashes."""
     x = (s >> _U(32)).astype(_V) ^ s.astype(_V)
     least = np.full(PLACES, 0xFFFFFFFF, _V)
-    for begin in range(0, len(x), 1024):
-        y = x[None, begin : begin + 1024] * _A[:, None]
+    for begin in range(0, len(x), 512):
+        y = x[None, begin : begin + 512] * _A[:, None]
         y ^= y >> _V(15)
         y *= _B[:, None]
         np.minimum(least, y.min(axis=1), out=least)
@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     loops = full.join(classes.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
     keys = scratch.save(index_keys(classes), "keys")
-    leader = F.min(F.struct(F.xxhash64("chunk", "rep").alias("h"), "rep"))["rep"]
+    # The order is the same in all buckets, so a document has few leaders, and few pairs of texts meet.
+    leader = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"]
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), leader.alias("leader")).where("n > 1").select("key", "leader")
     members = scratch.save(keys.join(buckets, "key").select("key", "rep", "leader"), "members")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -254,9 +255,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     sizes = open_.select("part", "rep").distinct().groupBy("part").agg(F.count("*").alias("n_part"))
     big = scratch.save(sizes.where(F.col("n_part") > BIG), "big").select("part")
 
-    small = open_.join(big, "part", "left_anti").join(classes.select("rep", "n_shingles", *_SKETCH), "rep")
-    one, two = (sides(small, c, f"_{c}", "key", F.col("part").alias(f"part_{c}")) for c in "ab")
-    rest = one.join(two, "key").where("a < b and part_a != part_b").where(may_reach(percent, "_a", "_b")).select("a", "b").distinct()
+    small = scratch.save(open_.join(big, "part", "left_anti"), "small")
+    keys_of = scratch.load("small", small).groupBy("rep").agg(F.collect_list("key").alias("keys"))  # PLACES at most
+    small = small.join(keys_of, "rep").join(classes.select("rep", "n_shingles", *_SKETCH), "rep")
+    one, two = (sides(small, c, f"_{c}", "key", F.col("part").alias(f"part_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "ab")
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # a pair that shares several keys comes once
+    rest = one.join(two, "key").where("a < b and part_a != part_b").where(may_reach(percent, "_a", "_b")).where(first).select("a", "b").distinct()
     rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti"), "near-rest")
     more = scratch.save(verify(rest, docs, width, percent), "links-rest")
 
