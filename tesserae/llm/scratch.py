@@ -36,8 +36,10 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet (zstd) and reads it back with the schema it had, so that empty tables work too."""
         path = f"{self.path}/{name}"
-        # A few files for each core: small tables dealt over many partitions would cost more files than bytes.
-        df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+        # A few files for each core: small tables dealt over many partitions would cost more files than bytes. Merged
+        # partitions are worked on one after the other, so a task needs no more memory.
+        shuffles = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, shuffles // 8))
         df.write.option("compression", "zstd").parquet(path)
         return self.load(name, df)
 
