@@ -23,7 +23,7 @@ SELECT c_custkey AS company_id, m.p_brand AS metric_id, n IS NOT NULL AS has_fac
 def coverage_matrix(spark, d):  # C5, C2, D1: every company by every metric; the metrics are a fixed catalogue
     metrics = table(spark, d, "part").select(F.col("p_brand").alias("metric_id")).distinct()
     a = facts(spark, d).where("source_type = 'text'").groupBy("company_id", "metric_id").agg(F.count("*").alias("n"), F.max("confidence").alias("best"), F.bool_or(F.col("review_status") == "accepted").alias("acc"))
-    grid = table(spark, d, "customer").select(F.col("c_custkey").alias("company_id")).crossJoin(F.broadcast(metrics.limit(1000)))  # a catalogue of 1,000 at most
+    grid = table(spark, d, "customer").select(F.col("c_custkey").alias("company_id")).crossJoin(metrics)  # the matrix is the product
     return grid.join(a, ["company_id", "metric_id"], "left").select("company_id", "metric_id", F.col("n").isNotNull().alias("has_fact"), F.col("acc").alias("has_accepted_fact"), F.coalesce("n", F.lit(0)).alias("n_facts"), "best")
 
 
