@@ -6,6 +6,11 @@ integers; the cumulative weights map it to a source, so that every stretch of sl
 A slot's rank among those of its source names the block: the blocks in order, then again for the next epoch, three
 epochs at most. Joined with the blocks, the schedule says which words of which documents come when.
 
+Slots count as BLOCK words, which the last block of a source has not. That is little for a source of many blocks, but
+would starve a short one; so a source under SHORT words takes its target to the word instead: whole epochs and the first
+words of one more, in slots spread evenly over the row, which other sources share with it. From SHORT words on a source
+misses at most a block an epoch for that, besides the few blocks of the points' discrepancy.
+
 Nothing is ordered in one task: ranks and positions are counts per chunk of slots, or per cell of hashes, summed up in
 order, plus a rank within the chunk or cell. A source with a third of all rows has its cells like any other. Only one
 row for each source reaches the driver; MAX_SOURCES is checked.
@@ -26,6 +31,7 @@ from .scratch import Scratch
 
 BLOCK, CHUNK, EPOCHS, SEED = 128, 65_536, 3, "mix:"
 GOLDEN, POINTS = 1_327_217_885, 1 << 31  # 2**31 / phi, odd
+SHORT = 16 * BLOCK
 MAX_SOURCES = 1_000_000
 
 
@@ -62,7 +68,7 @@ def targets(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = EPO
 
 
 def schedule(spark: SparkSession, sources: DataFrame, scratch: Scratch, most: int = EPOCHS) -> DataFrame:
-    """slot, number (of the source), epoch and block."""
+    """slot, number (of the source), epoch, block and upto, the words of the block that the slot takes at most."""
     table = sources.orderBy("number").limit(MAX_SOURCES + 1).toPandas()
     if len(table) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -82,8 +88,21 @@ def schedule(spark: SparkSession, sources: DataFrame, scratch: Scratch, most: in
     counts = counts.select("number", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1
     ranked = placed.withColumn("rank", rank).join(counts, ["number", "chunk"]).withColumn("rank", F.col("rank") + F.col("base"))
-    ranked = ranked.join(sources.select("number", "n_blocks"), "number").where(F.col("rank") < F.col("n_blocks") * most)
-    return ranked.select("slot", "number", F.expr("rank div n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block"))
+    long_ = sources.where(F.col("source_size") >= SHORT).select("number", "n_blocks")
+    ranked = ranked.join(long_, "number").where(F.col("rank") < F.col("n_blocks") * most).withColumn("upto", F.lit(BLOCK).cast("long"))
+    ranked = ranked.select("slot", "number", "n_blocks", "rank", "upto").unionByName(short_slots(sources, slots))
+    return ranked.select("slot", "number", F.expr("rank div n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block"), "upto")
+
+
+def short_slots(sources: DataFrame, slots: int) -> DataFrame:
+    """slot, number, n_blocks, rank and upto of the sources under SHORT words, whose slots give their target to the word."""
+    short = sources.where((F.col("source_size") > 0) & (F.col("source_size") < SHORT)).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
+    short = short.withColumn("rest", F.expr("words % source_size")).withColumn("n", F.expr(f"(words div source_size) * n_blocks + (rest + {BLOCK - 1}) div {BLOCK}"))
+    short = short.where("n > 0").select("number", "n_blocks", "rest", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rank"))
+    upto = F.when((F.col("rank") == F.col("n") - 1) & (F.expr(f"rest % {BLOCK}") > 0), F.expr(f"rest % {BLOCK}")).otherwise(F.lit(BLOCK))
+    shift = (F.col("number").cast("long") * GOLDEN % POINTS) / float(POINTS)  # so that sources of equal targets don't meet in the same slots
+    slot = F.least(F.floor((F.col("rank") + shift) / F.col("n") * slots), F.lit(slots - 1))
+    return short.select(slot.cast("long").alias("slot"), "number", "n_blocks", "rank", upto.cast("long").alias("upto"))
 
 
 def positions(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -118,7 +137,9 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame,
     rows = scratch.save(sized(docs), "rows")
     sources = scratch.save(targets(rows, cycle), "sources")
     placed = scratch.save(positions(rows, sources), "positions")
-    return schedule(docs.sparkSession, sources, scratch).join(segments(placed), ["number", "block"]), placed
+    mixed = schedule(docs.sparkSession, sources, scratch).join(segments(placed), ["number", "block"])
+    last = F.least(F.col("last"), F.col("block") * BLOCK + F.col("upto") - F.col("start"))
+    return mixed.withColumn("last", last).where("first < last").drop("upto"), placed
 
 
 def taken(mixed: DataFrame, placed: DataFrame) -> DataFrame:

@@ -66,6 +66,28 @@ def test_mix_of_awkward_rows(spark):
     assert {r.taken for r in mixing.taken(*mixing.mix(blank)).collect()} == {0}
 
 
+def test_short_sources_reach_their_targets(spark):
+    # Many at three times their size, some of few words, some below their size; documents of uneven lengths.
+    sizes = {f"a{i:03}": 20 for i in range(150)} | {f"b{i:03}": 60 for i in range(150)} | {"c": 130, "d": 300, "e": 1, "f": 1900, "z": 100_000}
+    rows = [(1000 * k + i, " ".join(["w"] * n), s) for k, (s, size) in enumerate(sizes.items()) for i, n in enumerate([size // 3, size - size // 3])]
+    few = [(k, " ".join(["w"] * n), f"s{k:02}") for k, n in enumerate([20] * 30 + [100] * 30 + [700] * 3)]
+    for docs in (rows, few):
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+        source = {r[0]: r[2] for r in docs}
+        target, got = {}, {}
+        mixed, placed = mixing.mix(df)
+        for r in mixing.taken(mixed, placed).collect():
+            assert r.taken <= 3 * r.size
+            target[source[r.doc_id]] = r.target
+            got[source[r.doc_id]] = got.get(source[r.doc_id], 0) + r.taken
+        short = [s for s in target if s != "z"]
+        assert all(abs(got[s] - target[s]) <= 0.5 for s in short)
+        assert all(abs(got[s] - target[s]) <= 0.05 * target[s] for s in short if target[s] >= 10)
+        assert abs(sum(got.values()) - sum(target.values())) <= 0.02 * sum(target.values())
+        assert {r.source for r in mixing.documents_in_mix(df).select("source").distinct().collect()} == set(target)
+        assert mixed.agg(F.max("slot")).first()[0] < -(-sum(len(t.split()) for _, t, _ in docs) // mixing.BLOCK)
+
+
 def test_mix_query_equals_sql(spark, sf_dir):
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     out = mixing.op5_source_mix(spark, sf_dir).select(*cols).collect()
