@@ -65,6 +65,37 @@ def word_context(spark, d):  # H5
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.slice(F.split(X.collapse(F.col("text")), " "), 1, 6), " ")).alias("around"))
 
 
+def hits(text, word: str):
+    """1-based positions of every occurrence of ``word``, which doesn't overlap itself."""
+    ends = F.transform(F.split(text, word), lambda x: F.length(x).cast("long"))
+    upto = lambda i: F.aggregate(F.slice(ends, 1, i + 1), F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.when(F.size(ends) > 1, F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda i: upto(i) + i * len(word) + 1))
+
+
+#: All occurrences of a word, from the lengths of the parts between them.
+HITS_SQL = "q AS (SELECT doc_id, text, string_split({of}, '{word}') AS parts FROM documents), n AS (SELECT doc_id, text, unnest(range(1, len(parts))) AS i, unnest(parts) AS part FROM q), p AS (SELECT doc_id, text, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * length('{word}') + 1 AS BIGINT) AS pos FROM n WHERE i IS NOT NULL)"
+EVERY = lambda of, word: HITS_SQL.format(of=of, word=word)
+
+
+@query("exclusion_windows", f"WITH {EVERY('lower(text)', 'the ')} SELECT doc_id, pos FROM p WHERE NOT contains(lower(substr(text, greatest(1, pos - 50), pos + 50 - greatest(1, pos - 50))), 'with')")
+def exclusion_windows(spark, d):  # H4, M8: every hit
+    p = table(spark, d, "documents").select("doc_id", "text", F.explode(hits(F.lower("text"), "the ")).alias("pos"))
+    return p.where(~F.contains(F.lower(X.window(F.col("text"), F.col("pos").cast("int"), 50, 50)), F.lit("with"))).select("doc_id", "pos")
+
+
+@query("context_windows", f"WITH {EVERY('text', 'tion')} SELECT doc_id, pos, md5(substr(text, greatest(1, pos - 100), pos + 100 - greatest(1, pos - 100))) AS context FROM p")
+def context_windows(spark, d):  # H4: every hit
+    p = table(spark, d, "documents").select("doc_id", "text", F.explode(hits(F.col("text"), "tion")).alias("pos"))
+    return p.select("doc_id", "pos", F.md5(X.window(F.col("text"), F.col("pos").cast("int"), 100, 100)).alias("context"))
+
+
+@query("word_windows", "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), ' ') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT doc_id, i AS word, md5(array_to_string(w[greatest(1, i - 6):i + 6], ' ')) AS around FROM p WHERE lower(w[i]) = 'the'")
+def word_windows(spark, d):  # H5: six words on either side of every hit
+    p = table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split(X.collapse(F.col("text")), " ")).alias("i", "w")).where("lower(w) = 'the'")
+    at = F.col("i") + 1
+    return p.select("doc_id", at.cast("long").alias("word"), F.md5(X.word_window(F.col("text"), at, 6)).alias("around"))
+
+
 @query("normalize_ws", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS clean FROM documents")
 def normalize_ws(spark, d):  # H1
     return table(spark, d, "documents").select("doc_id", F.md5(X.collapse(F.col("text"))).alias("clean"))

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, sentences
 from .base import facts, query, table
+from .documents import hits
 from .extraction import _values
 
 
 @query("sentence_bounds")
-def sentence_bounds(spark, d):  # H2, H3: the sentence around the first "the" of each turn
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.instr("text", "the ") - 1).alias("at")).where("at >= 0")
-    return c.select("conv_id", "turn", sentences.sentence_bounds("text", "at").alias("s")).select("conv_id", "turn", "s.start", "s.end")
+def sentence_bounds(spark, d):  # H2, H3: the sentence around every "the" of each turn
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(hits(F.col("text"), "the ")).alias("at")).withColumn("at", (F.col("at") - 1).cast("int"))
+    return c.select("conv_id", "turn", "at", sentences.sentence_bounds("text", "at").alias("s")).select("conv_id", "turn", "at", "s.start", "s.end")
 
 
 SAID = "Revenue was $10 million, $12 million and $15 million in 2021, 2022 and 2023, respectively."

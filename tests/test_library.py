@@ -1,5 +1,6 @@
 """Functions, sources, sinks, matching and streams on hand-worked cases."""
 
+import hashlib
 import random
 
 import pytest
@@ -160,3 +161,20 @@ def test_streams(spark, tmp_path):
     assert anchors.since_last_run(rows(0, 8), runs).count() == 4
     assert anchors.since_last_run(rows(0, 8), runs.where("status = 'none'")).count() == 8
     assert anchors.counts_by_window(rows(0, 8), "ts", "k", "4 hours").count() == 2
+
+
+def test_every_hit_is_judged(spark, tmp_path):
+    from tesserae.plans.registry import QUERIES
+
+    text = "the x with y. " + "pad " * 40 + "the end of it. " + "pad " * 40 + "over the hill, station nation"
+    spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "the ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name, *cols: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("doc_id", *cols).collect())
+    at = lambda word: [i + 1 for i in range(len(text)) if text.startswith(word, i)]
+    assert got("exclusion_windows", "pos") == [(1, p) for p in at("the ")[1:]] + [(4, 1)]
+    assert got("context_windows", "pos", "context") == [(1, p, hashlib.md5(text[max(0, p - 101) : p + 99].encode()).hexdigest()) for p in at("tion")]
+    w = text.split()
+    around = [(1, i + 1, hashlib.md5(" ".join(w[max(0, i - 6) : i + 7]).encode()).hexdigest()) for i, x in enumerate(w) if x == "the"]
+    assert got("word_windows", "word", "around") == [*around, (4, 1, hashlib.md5(b"the").hexdigest())]
+    spark.createDataFrame([(1, 1, "On the hill. Under the old tree the cat sat. No.", "user"), (1, 2, None, "user")], "conv_id long, turn int, text string, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    bounds = QUERIES["sentence_bounds"](spark, str(tmp_path)).select("turn", "at", "start", "end").collect()
+    assert sorted(map(tuple, bounds)) == [(1, 3, 0, 12), (1, 19, 13, 44), (1, 32, 13, 44)]
