@@ -197,6 +197,30 @@ def span_containment(spark, d):  # C17: spans inside a longer one of the same me
     return s.join(o, inside, "left_anti").select("fact_id")
 
 
+@query("cohort_siblings_all", "+ m AS (SELECT DISTINCT metric_id FROM facts WHERE tier LIKE 'S%') SELECT fact_id FROM facts WHERE metric_id IN (SELECT metric_id FROM m)", "facts")
+def cohort_siblings_all(spark, d):  # C22: of all facts
+    m = facts(spark, d).where(F.col("tier").startswith("S")).select("metric_id").distinct()
+    return facts(spark, d).join(m, "metric_id", "left_semi").select("fact_id")
+
+
+@query("span_containment_all", """+ s AS (SELECT fact_id, company_id, metric_id, fact_id % 50 AS a, fact_id % 50 + CAST(quantity AS BIGINT) AS b FROM facts) SELECT fact_id FROM s i WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.company_id = i.company_id AND o.metric_id = i.metric_id AND o.fact_id <> i.fact_id AND i.a >= o.a AND i.b <= o.b AND i.b - i.a < o.b - o.a)""", "facts")
+def span_containment_all(spark, d):  # C17: of all facts
+    return outermost(facts(spark, d).select("fact_id", "company_id", "metric_id", (F.col("fact_id") % 50).alias("a"), (F.col("fact_id") % 50 + F.col("quantity").cast("long")).alias("b")))
+
+
+def outermost(spans):
+    """fact_id of the spans [a, b] that are inside no longer one of another fact of the same company and metric.
+
+    Inside means that a span of smaller a ends at b or later, or one of equal a later: running and group maxima, no pairs.
+    As a follows from fact_id, only among spans of equal a a fact can meet itself."""
+    group, same = Window.partitionBy("company_id", "metric_id"), Window.partitionBy("company_id", "metric_id", "a")
+    s = spans.withColumn("top", F.max(F.struct("b", "fact_id")).over(same))
+    s = s.withColumn("next", F.max(F.when(F.col("fact_id") != F.col("top.fact_id"), F.col("b"))).over(same))
+    other = F.when(F.col("fact_id") == F.col("top.fact_id"), F.col("next")).otherwise(F.col("top.b"))
+    s = s.withColumn("other", other).withColumn("earlier", F.max("b").over(group.orderBy("a").rangeBetween(Window.unboundedPreceding, -1)))
+    return s.where("(earlier is null or earlier < b) and (other is null or other <= b)").select("fact_id")
+
+
 @query("review_dedup", "SELECT fact_id FROM (SELECT fact_id, row_number() OVER (PARTITION BY metric_id, period_end, source_type ORDER BY CASE WHEN quantity < 25 THEN 0 ELSE 1 END, confidence DESC, fact_id) AS rn FROM facts) WHERE rn = 1", "facts")
 def review_dedup(spark, d):  # M23: same sentence first, then confidence, then order
     order = [F.when(F.col("quantity") < 25, 0).otherwise(1), F.desc("confidence"), "fact_id"]

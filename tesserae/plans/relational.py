@@ -293,6 +293,13 @@ def universe_gaps(spark, d):  # G3, G4: a small grid of years and forms, less th
     return grid.join(present, ["year", "form"], "left_anti")
 
 
+@query("universe_gaps_all", """SELECT y AS year, p AS form FROM range(1992, 2003) r(y), (SELECT DISTINCT o_orderpriority AS p FROM orders) EXCEPT SELECT year(o_orderdate), o_orderpriority FROM orders""")
+def universe_gaps_all(spark, d):  # G3, G4: less those of all orders
+    present = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("form")).distinct()
+    grid = present.select("form").distinct().select(F.explode(F.sequence(F.lit(1992).cast("long"), F.lit(2002).cast("long"))).alias("year"), "form")
+    return grid.join(present, ["year", "form"], "left_anti")
+
+
 @query("facet_industry", """SELECT n_name AS industry, count(o_orderkey) AS filings FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY n_name""")
 def facet_industry(spark, d):  # C3: predicates in the join keep empty groups
     o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")

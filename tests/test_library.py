@@ -163,6 +163,18 @@ def test_streams(spark, tmp_path):
     assert anchors.counts_by_window(rows(0, 8), "ts", "k", "4 hours").count() == 2
 
 
+def test_outermost_spans(spark):
+    from tesserae.plans.extraction import outermost
+
+    rng = random.Random(5)
+    # Facts of one a for each id, some ids with several spans.
+    rows = [(i, rng.randrange(2), f"m{rng.randrange(2)}", i % 9, i % 9 + rng.randrange(1, 12)) for i in [rng.randrange(60) for _ in range(90)]]
+    inside = lambda x, o: o[0] != x[0] and o[1:3] == x[1:3] and x[3] >= o[3] and x[4] <= o[4] and x[4] - x[3] < o[4] - o[3]
+    want = sorted(x[0] for x in rows if not any(inside(x, o) for o in rows))
+    df = spark.createDataFrame(rows, "fact_id long, company_id long, metric_id string, a long, b long")
+    assert 0 < len(want) < len(rows) and sorted(r.fact_id for r in outermost(df).collect()) == want
+
+
 def test_every_hit_is_judged(spark, tmp_path):
     from tesserae.plans.registry import QUERIES
 
