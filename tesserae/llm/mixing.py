@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal blocks of words.
 
-Every source's documents are laid end to end in a shuffled order (that of the MD5 of a seed and the id) and cut into
-blocks of BLOCK words. The mix is a row of slots. Slot i has the golden-ratio point i * phi mod 1, in exact 31-bit
-integers; the cumulative weights map it to a source, so that every stretch of slots has the sources near their weights.
-A slot's rank among those of its source names the block: the blocks in order, then again for the next epoch, three
-epochs at most. Joined with the blocks, the schedule says which words of which documents come when.
+Every source's documents are laid end to end in a shuffled order (that of the MD5 of a seed, the id, the source and the
+text) and cut into blocks of BLOCK words. The mix is a row of slots. Slot i has the golden-ratio point i * phi mod 1, in
+exact 31-bit integers; the cumulative weights map it to a source, so that every stretch of slots has the sources near
+their weights. A slot's rank among those of its source names the block: the blocks in order, then again for the next
+epoch, three epochs at most. Joined with the blocks, the schedule says which words of which documents come when.
 
 Slots count as BLOCK words, which the last block of a source has not. That is little for a source of many blocks, but
 would starve a short one; so a source under SHORT words takes its target to the word instead: whole epochs and the first
@@ -12,41 +12,47 @@ words of one more, in slots spread evenly over the row, which other sources shar
 misses at most a block an epoch for that, besides the few blocks of the points' discrepancy.
 
 Nothing is ordered in one task: ranks and positions are counts per chunk of slots, or per cell of hashes, summed up in
-order, plus a rank within the chunk or cell. A source with a third of all rows has its cells like any other. Only one
-row for each source reaches the driver; MAX_SOURCES is checked.
+order over coarse cells and then within them, plus a rank within the chunk or cell. A source with a third of all rows has
+its cells like any other, and rows that repeat are counted first. Slots meet their source in a join on cells of points,
+whose number grows with that of the sources. Only totals reach the driver.
 
 Edge cases: a null source is a source of its own, the last. Null and empty texts have size 0 and are never taken. Rows
-that repeat a doc_id are rows of their own, told apart by their position. An empty table gives an empty result; sources
-without words have target 0. Extra columns are not read.
+that repeat are rows of their own, each with its position. An empty table gives an empty result; sources without words
+have target 0. Extra columns are not read by the mix, and documents_in_mix keeps them.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import before, bounded, copies, one_of_each, unpacked
 from .scratch import Scratch
 
 BLOCK, CHUNK, EPOCHS, SEED = 128, 65_536, 3, "mix:"
 GOLDEN, POINTS = 1_327_217_885, 1 << 31  # 2**31 / phi, odd
 SHORT = 16 * BLOCK
-MAX_SOURCES = 1_000_000
+
+
+def row_key() -> Column:
+    """The same for rows equal in doc_id, source and text, and in a shuffled order."""
+    id_, source, text = F.col("doc_id").cast("string"), F.concat(F.lit("s"), F.col("source")), F.col("text")
+    return F.md5(F.concat(F.lit(SEED), F.coalesce(id_, F.lit("")), F.lit("|"), F.coalesce(source, F.lit("n")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), the shuffle key and row (the hash of its text) of every row."""
+    """doc_id, source, size (words), the shuffle key and n, the number of rows equal in these."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.xxhash64("text").alias("row"))
+    rows = docs.select("doc_id", "source", size.alias("size"), row_key().alias("key"))
+    return rows.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n"))
 
 
 def targets(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = EPOCHS) -> DataFrame:
-    """source, number, source_size, n_blocks, target and the end of its stretch of points, for each source.
+    """source, number, source_size, n_blocks, target and its stretch of points, begin to end, for each source.
 
     Targets share the total by weight; none exceeds ``most`` times its source, and what is cut off goes to the others by
     weight. That is min(cap, level * weight), with the level at which the total comes out."""
-    total = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     total = total.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("number") % len(cycle) + 1).cast("int")).cast("long")
     total = total.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
@@ -64,28 +70,22 @@ def targets(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = EPO
     upto, all_ = F.sum(part).over(in_order), F.sum(part).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     end = F.floor(upto.cast("double") / F.nullif(all_, F.lit(0)).cast("double") * float(POINTS)).cast("long")
     n_blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
-    return total.select("source", "number", "source_size", n_blocks.alias("n_blocks"), "target", F.coalesce(end, F.lit(0)).alias("end"))
+    total = total.select("source", "number", "source_size", n_blocks.alias("n_blocks"), "target", F.coalesce(end, F.lit(0)).alias("end"))
+    return total.withColumn("begin", F.coalesce(F.lag("end").over(in_order), F.lit(0)))
 
 
 def schedule(spark: SparkSession, sources: DataFrame, scratch: Scratch, most: int = EPOCHS) -> DataFrame:
     """slot, number (of the source), epoch, block and upto, the words of the block that the slot takes at most."""
-    table = sources.orderBy("number").limit(MAX_SOURCES + 1).toPandas()
-    if len(table) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    slots = -(-int(table["source_size"].sum()) // BLOCK)
-    ends = table["end"].to_numpy(np.int64)
-
-    def place(tables):
-        for t in tables:
-            slot = t.column(0).to_numpy()
-            point = (slot % POINTS) * GOLDEN % POINTS
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.searchsorted(ends, point, side="right").astype(np.int32))], ["slot", "number"])
-
-    placed = spark.range(slots).mapInArrow(place, "slot long, number int").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    words, n = sources.agg(F.sum("source_size"), F.count("*")).first()
+    slots = -(-(words or 0) // BLOCK)
+    width = POINTS >> max(12, min(24, n.bit_length()))  # of a cell of points: a few sources meet in each
+    cell = F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"(end - 1) div {width}")))
+    stretches = scratch.save(sources.where("begin < end").select("number", "begin", "end", cell.alias("cell")), "stretches")
+    point = F.expr(f"(id % {POINTS}) * {GOLDEN} % {POINTS}")
+    placed = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.expr(f"id div {CHUNK}").alias("chunk")).withColumn("cell", F.expr(f"point div {width}"))
+    placed = placed.join(bounded(stretches), "cell").where("point >= begin and point < end").select("slot", "number", "chunk")
     placed = scratch.save(placed, "placed")
-    before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("number", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.select("number", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = before(placed.groupBy("number", "chunk").agg(F.count("*").alias("n")), ["number"], "chunk", F.expr("chunk div 1024")).drop("n")
     rank = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1
     ranked = placed.withColumn("rank", rank).join(counts, ["number", "chunk"]).withColumn("rank", F.col("rank") + F.col("base"))
     long_ = sources.where(F.col("source_size") >= SHORT).select("number", "n_blocks")
@@ -106,33 +106,30 @@ def short_slots(sources: DataFrame, slots: int) -> DataFrame:
 
 
 def positions(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` with their source's number and start, the words before them in the source's shuffled order."""
-    rows = rows.withColumn("cell", F.substring("key", 1, 4))
-    own = F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(sources.select(F.col("source").alias("_source"), "number", "source_size", "target"), own).drop("_source")
-    before = Window.partitionBy("number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 cells
-    base = rows.groupBy("number", "cell").agg(F.sum("size").alias("n"))
-    base = base.select("number", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("number", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, ["number", "cell"])
-    return rows.withColumn("start", F.col("start") + F.col("base")).drop("base", "cell")
+    """Every row, copies one by one, with its source's number and start, the words before it in the source's shuffled
+    order."""
+    of = sources.select(F.col("source").alias("_source"), "number", "source_size", "target")
+    rows = rows.join(of, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("cell", F.substring("key", 1, 4))
+    words = F.col("size") * F.col("n")
+    base = before(rows.groupBy("number", "cell").agg(F.sum(words).alias("n")), ["number"], "cell", F.substring("cell", 1, 2)).drop("n")
+    inner = Window.partitionBy("number", "cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(words).over(inner), F.lit(0))).join(base, ["number", "cell"])
+    start = F.col("start") + F.col("base") + F.col("copy") * F.col("size")
+    return copies(rows, "n", "copy").select("number", "key", "doc_id", "size", "source_size", "target", F.col("n").alias("n_copies"), start.alias("start"))
 
 
 def segments(placed: DataFrame) -> DataFrame:
-    """number, block, doc_id, row, start, and the words first to last (exclusive, from the document's start) that are in the
-    block."""
+    """number, block, doc_id, key, n_copies, start, and the words first to last (exclusive, from the document's start) that
+    are in the block."""
     block = F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
-    cut = placed.where("size > 0").select("number", "doc_id", "row", "start", "size", block.alias("block"))
+    cut = placed.where("size > 0").select("number", "doc_id", "key", "n_copies", "start", "size", block.alias("block"))
     first, last = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size"))
-    return cut.select("number", "block", "doc_id", "row", "start", first.alias("first"), last.alias("last"))
+    return cut.select("number", "block", "doc_id", "key", "n_copies", "start", first.alias("first"), last.alias("last"))
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
-    """The mix, a row for each piece of a document in each slot (slot, epoch, number, block, doc_id, start, first, last);
-    and the documents with number, start, size, source_size and target."""
-    from ..shipping import ship
-
-    ship(docs.sparkSession)
+    """The mix, a row for each piece of a document in each slot (slot, epoch, number, block, doc_id, key, n_copies, start,
+    first, last); and the documents with number, key, start, size, source_size, target and n_copies."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(sized(docs), "rows")
     sources = scratch.save(targets(rows, cycle), "sources")
@@ -144,7 +141,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame,
 
 def taken(mixed: DataFrame, placed: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes of each row."""
-    words = mixed.groupBy("number", "start", "doc_id").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    words = mixed.groupBy("number", "start").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     words = words.select(F.col("number").alias("_n"), F.col("start").alias("_s"), "taken")
     out = placed.join(words, (F.col("number") == F.col("_n")) & (F.col("start") == F.col("_s")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -152,12 +149,12 @@ def taken(mixed: DataFrame, placed: DataFrame) -> DataFrame:
 
 def documents_in_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: each time that it takes the block with a document's first
-    word, the whole document comes. Documents without words never come."""
-    mixed, _ = mix(docs)
-    picks = mixed.where("first = 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    # Rows equal in doc_id and text are one row with the places of all of them.
-    one = docs.dropDuplicates(["doc_id", "text"])
-    return one.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))).select(*docs.columns)
+    word, the whole document comes. Documents without words never come. Rows equal in doc_id, source and text are one
+    row with the places of all of them; if they differ in other columns, the one with the least hash of these stands."""
+    mixed, placed = mix(docs)
+    picks = mixed.where("first = 0").select(F.col("key").alias("k"))
+    repeated = placed.where("n_copies > 1").select(F.col("key").alias("k")).distinct()
+    return unpacked(one_of_each(docs, row_key(), repeated, ["doc_id", "source", "text"]).join(picks, "k"), docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +165,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = f"""
 WITH rows_ AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+         md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce('s' || source, 'n') || '|' || md5(coalesce(text, ''))) AS key FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
   FROM rows_ GROUP BY source
@@ -194,7 +191,7 @@ slots AS (
   SELECT number, rank % n_blocks AS block, count(*) AS n FROM ranked WHERE rank < 3 * n_blocks GROUP BY ALL
 ), pos AS (
   SELECT r.*, s.number, s.source_size, s.target,
-         CAST(sum(size) OVER (PARTITION BY s.number ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+         CAST(sum(size) OVER (PARTITION BY s.number ORDER BY key ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
   FROM rows_ r JOIN src s ON r.source IS NOT DISTINCT FROM s.source
 ), seg AS (
   SELECT number, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM pos WHERE size > 0

@@ -4,13 +4,19 @@ Groups are sorted by size, and each enters the shard with the least room that st
 (a treap) of remaining capacities; a new shard opens when none does. For a given number of shards the least capacity
 that suffices is searched for.
 
-The packing sees a bounded number of items, whatever the corpus: groups of at least 1/1024 of a shard, of which there
-are 1024 for each shard at most, one by one, and all smaller ones in BUNDLES bundles by hash. A group larger than a
-shard cannot stay whole; only such a group is cut into parts, by hash of doc_id. So equal texts share a shard unless
-they overflow it. Slots are counts per cell of hashes, summed up in order, plus a rank within the cell.
-
-Edge cases: null and empty texts are groups of size 1 a row. Rows that repeat are rows of their own. Ties in size go by
-group hash, so reruns agree. An empty table gives an empty result. Extra columns are not read.
+Groups of one size are alike to best fit: the tightest shard that holds one of them takes them until it has no room for
+another. So the packing works on the histogram of sizes, exactly as it would on the groups one by one. The histogram has
+no more than sqrt(2 * bytes) rows, since distinct sizes add up; that is all the driver sees. Its result says which
+stretch of the groups of each size goes where, and groups find their stretch by their rank within the size, counted per
+cell of hashes.
+
+A group larger than a shard's share cannot stay whole; only of such a group, of which there are fewer than shards, each
+row is an item of its own. So equal texts share a shard unless they overflow it. Slots are counts per cell of hashes,
+summed up in order, plus a rank within the cell.
+
+Edge cases: null and empty texts are one group, of size 1 a row. Rows that repeat are counted first and are rows of their
+own in the result. Ties in size go by group hash, so reruns agree. An empty table gives an empty result. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import before, bounded, copies
 from .scratch import Scratch
 
-SHARDS, FINE, BUNDLES, CELL_ROWS = 16, 1024, 4096, 10_000
+SHARDS, CELL_ROWS = 16, 10_000
 
 
 class Treap:
@@ -71,81 +78,103 @@ class Treap:
         return b
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The shard of each item. ``sizes`` must not exceed ``capacity``; equal sizes go in their order."""
-    shard, tree, opened = [0] * len(sizes), Treap(), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if sizes[i] > capacity:
+def best_fit_runs(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """Best-fit decreasing over (size, count) pairs of descending sizes: (index of the pair, shard, number of its items)
+    in the order of placing. No size may exceed the capacity."""
+    runs, tree, opened = [], Treap(), 0
+    for i, (size, count) in enumerate(sizes):
+        if size > capacity:
             raise ValueError("an item exceeds the capacity")
-        found = tree.remove_least_from((sizes[i], -1))
-        room, k = found if found else (capacity, opened)
-        opened += not found
-        shard[i] = k
-        tree.add((room - sizes[i], k))
-    return shard
-
-
-def pack_into(sizes: list[int], shards: int) -> list[int]:
+        while count:
+            found = tree.remove_least_from((size, -1))
+            room, k = found if found else (capacity, opened)
+            opened += not found
+            n = min(count, room // size)  # none has less room and holds one, so it stays the tightest
+            runs.append((i, k, n))
+            count -= n
+            tree.add((room - n * size, k))
+    return runs
+
+
+def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
     """Best-fit decreasing at the least capacity, to 1 in 4096, that needs no more than ``shards``."""
-    low = max([-(-sum(sizes) // shards), *sizes], default=1)
-    best = None
-    for bits in range(0, 40):  # a capacity that surely suffices comes within a few doublings of the excess
-        trial = best_fit_decreasing(sizes, low + ((low >> 12) << bits) + bits)
-        if max(trial, default=0) < shards:
-            best = low + ((low >> 12) << bits) + bits
-            break
-    high, least = best, low
-    while high - least > max(1, low >> 12):
+    if not sizes:
+        return []
+    least = max(-(-sum(s * n for s, n in sizes) // shards), sizes[0][0])
+    fits = lambda runs: max(k for _, k, _ in runs) < shards
+    step, runs = max(1, least >> 12), best_fit_runs(sizes, least)
+    high = least
+    while not fits(runs):  # a capacity that surely suffices comes within a few doublings of the excess
+        least, high = high, high + step
+        step *= 2
+        runs = best_fit_runs(sizes, high)
+    while high - least > max(1, least >> 12):
         middle = (least + high) // 2
-        if max(best_fit_decreasing(sizes, middle), default=0) < shards:
-            high = middle
+        trial = best_fit_runs(sizes, middle)
+        if fits(trial):
+            high, runs = middle, trial
         else:
             least = middle
-    return best_fit_decreasing(sizes, high)
+    return runs
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the group, two hashes of the text, of every row."""
+    """doc_id, size, text_crc32, the group, two hashes of the text, and n, the number of rows equal in these."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("g1"),
         F.xxhash64(F.lit(1), text).alias("g2"),
     )
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def ranked(items: DataFrame, total: int) -> DataFrame:
+    """``items`` (bytes, over, h1, h2, id, n) with rank, that of an item's first copy among those of equal bytes and over."""
+    cells = max(1, total // CELL_ROWS)
+    items = items.withColumn("cell", F.pmod(F.xxhash64("h1", "h2", "id"), F.lit(cells)))
+    same = ["bytes", "over"]
+    base = before(items.groupBy(*same, "cell").agg(F.sum("n").alias("n")), same, "cell", F.expr("cell div 1024")).drop("n")
+    inner = Window.partitionBy(*same, "cell").orderBy("h1", "h2", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("n").over(inner), F.lit(0))
+    return items.withColumn("rank", rank).join(base, [*same, "cell"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "cell")
 
 
 def assign(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """``rows`` with shard. rows: size, g1, g2 and doc_id."""
-    groups = scratch.save(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    fine, whole = max(1, total // shards // FINE), -(-total // shards)
-    large = groups.where(F.col("bytes") >= fine)  # FINE a shard at most, so no more than shards * (FINE + 1)
-    over = large.where(F.col("bytes") > whole)  # fewer than shards
-    parts = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FINE)).cast("int")
-    mark = large.select("g1", "g2", F.lit(True).alias("large"), (F.col("bytes") > whole).alias("over"))
-    rows = rows.join(F.broadcast(mark), ["g1", "g2"], "left")
-    bundle = F.pmod(F.col("g2"), F.lit(BUNDLES)).cast("int")
-    one, two = F.when(F.col("large"), F.col("g1")).otherwise(0), F.when(F.col("large"), F.col("g2")).otherwise(0)
-    three = F.when(F.col("over"), parts).when(F.col("large"), -1).otherwise(bundle)
-    rows = rows.select("doc_id", "size", "text_crc32", "g1", one.alias("i1"), two.alias("i2"), three.alias("i3"))
-    key = ["i1", "i2", "i3"]
-    items = rows.groupBy(*key).agg(F.sum("size").alias("bytes")).orderBy(*key).toPandas()  # bounded, see above
-    items["shard"] = pack_into(items["bytes"].tolist(), shards) if len(items) else []
-    table = rows.sparkSession.createDataFrame(items[[*key, "shard"]].astype("int64"), "i1 long, i2 long, i3 long, shard int")
-    return rows.join(F.broadcast(table.withColumn("i3", F.col("i3").cast("int"))), key).select("doc_id", "size", "text_crc32", "g1", "shard")
-
-
-def slotted(rows: DataFrame) -> DataFrame:
-    """``rows`` with slot, gapless from 0 within each shard."""
-    cells = max(1, rows.count() // (SHARDS * CELL_ROWS))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
-    base = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    base = base.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "g1")) - 1
-    return rows.withColumn("rank", rank).join(base, ["shard", "cell"]).withColumn("slot", F.col("rank") + F.col("base"))
+    """doc_id, size, text_crc32, g1, n and shard of ``rows``; a row that repeats may come in several parts."""
+    spark = rows.sparkSession
+    groups = scratch.save(rows.groupBy("g1", "g2").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), "groups")
+    total, n_groups = groups.agg(F.sum("bytes"), F.count("*")).first()
+    whole = -(-(total or 0) // shards)
+    over = F.broadcast(groups.where(F.col("bytes") > whole).select("g1", "g2"))  # fewer than shards
+    lone = rows.join(over, ["g1", "g2"], "left_semi").select(F.col("size").alias("bytes"), F.col("g1").alias("over"), F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "n", "doc_id")
+    alike = groups.where(F.col("bytes") <= whole).select("bytes", F.lit(0).cast("long").alias("over"), F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.lit(0).cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("doc_id"))
+    items = scratch.save(alike.unionByName(lone), "items")
+    histogram = items.groupBy("bytes", "over").agg(F.sum("n").alias("n")).orderBy(F.desc("bytes"), "over").collect()  # bounded, see above
+    upto, made = [0] * len(histogram), []
+    for i, k, n in pack_into([(r["bytes"], r["n"]) for r in histogram], shards):
+        made.append((histogram[i]["bytes"], histogram[i]["over"], upto[i], upto[i] + n, k))
+        upto[i] += n
+    runs = spark.createDataFrame(made, "bytes long, over long, first long, last long, shard int")
+    placed = ranked(items, n_groups).join(bounded(runs), ["bytes", "over"]).where("rank < last and rank + n > first")
+    part = F.least(F.col("rank") + F.col("n"), F.col("last")) - F.greatest("rank", "first")
+    placed = scratch.save(placed.select("over", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "doc_id", part.alias("part"), "shard"), "places")
+    of_groups = rows.join(placed.where("over = 0").select("g1", "g2", "shard"), ["g1", "g2"]).select("doc_id", "size", "text_crc32", "g1", "n", "shard")
+    facts = rows.join(over, ["g1", "g2"], "left_semi").select("g1", "g2", "size", "text_crc32").distinct()
+    of_rows = placed.where("over != 0").join(F.broadcast(facts), ["g1", "g2"]).select("doc_id", "size", "text_crc32", "g1", F.col("part").alias("n"), "shard")
+    return of_groups.unionByName(of_rows)
+
+
+def slotted(rows: DataFrame, n_rows: int) -> DataFrame:
+    """``rows``, copies one by one, with slot, gapless from 0 within each shard."""
+    cells = max(1, n_rows // (SHARDS * CELL_ROWS))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(cells)))
+    base = before(rows.groupBy("shard", "cell").agg(F.sum("n").alias("n")), ["shard"], "cell", F.expr("cell div 1024")).drop("n")
+    inner = Window.partitionBy("shard", "cell").orderBy("doc_id", "g1").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(base, ["shard", "cell"])
+    return copies(rows, "n", "copy").withColumn("slot", F.col("first") + F.col("base") + F.col("copy"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -153,7 +182,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.save(described(docs), "rows")
     placed = scratch.save(assign(rows, shards, scratch), "placed")
-    return slotted(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return slotted(placed, placed.count()).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

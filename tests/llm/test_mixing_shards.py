@@ -1,5 +1,6 @@
 """Mixing and packing: targets, discrepancy, capacity and awkward rows."""
 
+import collections
 import random
 import zlib
 
@@ -109,16 +110,30 @@ def plain_best_fit(sizes, capacity):
     return shard
 
 
+def histogram(sizes):
+    return sorted(collections.Counter(sizes).items(), reverse=True)
+
+
+def loads(runs, pairs, n):
+    got = [0] * n
+    for i, k, count in runs:
+        got[k] += pairs[i][0] * count
+    return got
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=80), st.integers(60, 150))
-def test_best_fit_by_tree_equals_plain(sizes, capacity):
-    assert shards.best_fit_decreasing(sizes, capacity) == plain_best_fit(sizes, capacity)
+def test_best_fit_by_tree_and_counts_equals_plain(sizes, capacity):
+    own = sorted(sizes, reverse=True)
+    got = [k for _, k, n in shards.best_fit_runs(histogram(sizes), capacity) for _ in range(n)]
+    assert got == plain_best_fit(own, capacity)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10_000), max_size=60), st.integers(1, 16))
 def test_pack_into_uses_no_more_shards(sizes, n):
-    assert all(0 <= k < n for k in shards.pack_into(sizes, n))
+    runs = shards.pack_into(histogram(sizes), n)
+    assert all(0 <= k < n for _, k, _ in runs) and sum(x for _, _, x in runs) == len(sizes)
 
 
 def check_shards(rows, texts):
@@ -141,6 +156,28 @@ def test_shards_of_the_query(spark, sf_dir):
     assert max(sizes.values()) <= 1.02 * min(sizes.values()) and all(len(w) == 1 for w in where.values())
 
 
+def test_shards_of_the_query_equal_plain_best_fit(spark, sf_dir):
+    """The same groups one by one, in a list of shards, at the capacity that the query ended with."""
+    rows = shards.op8_shard_packing(spark, sf_dir).collect()
+    got = collections.Counter()
+    groups = collections.Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
+        groups[r.text or ""] += len((r.text or "").encode()) + 1
+    for r in rows:
+        got[r.shard] += r["size"]
+    own = sorted(groups.values(), reverse=True)
+    assert own[0] <= -(-sum(own) // 16)  # no group is cut here
+    want = collections.Counter()
+    runs = shards.pack_into(histogram(own), 16)
+    first = loads(runs, histogram(own), 16)
+    for capacity in range(max(first), max(first) + 4096):  # the loads tell the capacity but for room that stayed free
+        if max(places := plain_best_fit(own, capacity)) < 16:
+            break
+    for k, size in zip(places, own, strict=True):
+        want[k] += size
+    assert sorted(first) == sorted(got.values()) and max(got.values()) <= 1.001 * max(want.values())
+
+
 def test_shards_of_awkward_rows(spark):
     texts = {1: None, 2: "", 3: "a", **{i: "copy " * 50 for i in range(100, 400)}, **{i: f"text {i}" for i in range(500, 800)}}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, shard int")
@@ -150,4 +187,9 @@ def test_shards_of_awkward_rows(spark):
     assert all(len(w) == 1 for t, w in where.items() if not t.startswith("copy"))
     assert shards.shard_documents(df.limit(0)).count() == 0
     twice = shards.shard_documents(df.where("doc_id <= 3").unionByName(df.where("doc_id = 3"))).collect()
-    assert len(twice) == 4 and len({r.shard for r in twice if r.doc_id == 3}) == 1
+    assert len(twice) == 4
+    same = spark.createDataFrame([(None, "z" * 9)] * 500 + [(1, "z" * 9)] * 20, "doc_id long, text string")  # one row 500 times, over all shards
+    rows = shards.shard_documents(same).collect()
+    by = collections.Counter(r.shard for r in rows)
+    assert len(rows) == 520 and sum(r.doc_id is None for r in rows) == 500 and max(by.values()) == 33 == -(-520 // 16)
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(n)) for k, n in by.items())
