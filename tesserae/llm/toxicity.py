@@ -4,29 +4,30 @@ Features are the distinct words, word pairs and pairs with one word between them
 coordinates. Each coordinate has its own learning rate, and L1 regularisation keeps most weights at zero; the others are
 a table that is at most ``2**bits`` rows long, whatever the corpus, and is broadcast for scoring.
 
-Training takes at most ``max_rows`` labelled rows (those of least hash of doc_id; the documented bound), cut to features
-by all executors and learned from in one task, in the order of that hash. Labels join by doc_id; of several labels for
-one document the largest holds, and null labels teach nothing.
+Training takes at most ``max_rows`` labelled documents (those of least hash of doc_id that are in the corpus) and
+``max_features`` features of them, whichever ends first: the documented bounds of rows and of memory. They are broadcast to
+the scan of the documents, cut to features by all executors and learned from in one task, in the order of that hash.
+Features of fewer than ``min_docs`` of these documents would be learnt by heart and are left out. Labels join by doc_id; of
+several labels for one document the largest holds, and null labels teach nothing.
 
 Edge cases: null and empty texts have no features and score as the bias says. Without any labelled row, or with labels
-of one class only, the score is the smoothed share of label 1 for every text. Equal texts get equal scores. An empty
-table gives an empty result. Other columns are not read.
+of one class only, the score is the smoothed share of label 1 for every text. Equal texts get equal scores. A row without
+doc_id has no label and counts as held out. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .scratch import Scratch
 from .words import batches, encode, mix, tidy, word_hashes
 
-BITS, MAX_ROWS = 20, 20_000
+BITS, MAX_ROWS, MAX_FEATURES, MIN_DOCS = 20, 20_000, 60_000_000, 3
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.0, 4
-MIN_DOCS = 3  # of the training rows; a feature of fewer would be learnt by heart
 
 _U = np.uint64
 
@@ -64,12 +65,16 @@ class Ftrl:
         self.bias -= self.alpha * g / (self.beta + np.sqrt(self.bias_n))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> DataFrame:
+def train(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS
+) -> DataFrame:
     """index and weight of the coordinates that matter; index -1 is the bias. ``labels`` has doc_id and label."""
     ship(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     chosen = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = chosen.withColumn("turn", F.xxhash64(F.lit(7), "doc_id")).orderBy("turn", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "label", "turn", "doc_id")
+    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids only; a label without document takes no place
+    chosen = scratch.save(chosen.withColumn("turn", F.xxhash64(F.lit(7), "doc_id")).orderBy("turn", "doc_id").limit(max_rows), "chosen")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "turn", "doc_id")  # max_rows at most
 
     def cut(tables):
         for t in tables:
@@ -91,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         model, share = Ftrl(bits), (sum(y) + 0.5) / (len(y) + 1)
         model.bias = float(np.log(share / (1 - share)))
         if len(set(y)) > 1:
-            often = np.bincount(flat, minlength=1 << bits)[flat] >= MIN_DOCS
+            often = np.bincount(flat, minlength=1 << bits)[flat] >= min_docs
             kept = np.concatenate([[0], np.cumsum(often)])[ends]
             flat = flat[often]
             rare = max(1.0, np.sqrt(len(y) / (2 * sum(y))))  # the rarer label 1, the more each of its rows counts
@@ -102,8 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(w[kept], model.bias))], ["index", "weight"])
 
-    features = rows.mapInArrow(tidy(cut), "turn long, doc_id long, label double, features array<int>")
-    return features.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(tidy(fit), "index long, weight double")
+    features = scratch.save(rows.mapInArrow(tidy(cut), "turn long, doc_id long, label double, features array<int>"), "features")
+    # Of a doc_id that repeats, the texts follow each other by their features, so reruns agree.
+    sizes = features.select("turn", "doc_id", F.xxhash64("features").alias("h"), F.size("features").cast("long").alias("n")).groupBy("turn", "doc_id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    ends = Window.orderBy("turn", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)  # max_rows, and what repeats
+    fitting = sizes.withColumn("upto", F.sum("n").over(ends)).withColumn("nth", F.sum("rows").over(ends)).where((F.col("upto") <= max_features) & (F.col("nth") <= max_rows)).select("turn", "doc_id", "h")
+    features = features.withColumn("h", F.xxhash64("features")).join(F.broadcast(fitting), ["turn", "doc_id", "h"]).select("turn", "doc_id", "label", "features", "h")
+    return features.repartition(1).sortWithinPartitions("turn", "doc_id", "h").mapInArrow(tidy(fit), "index long, weight double")
 
 
 def scorer(spark: SparkSession, weights: DataFrame, bits: int):
@@ -167,12 +177,13 @@ def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5, bits: in
 
 def held_out(doc_id="doc_id"):
     """Whether the row is kept from training: CRC-32 of the id's digits divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def fit_on_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out())
-    return Scratch(spark, "toxicity").save(train(docs, labels), "weights")
+    scratch = Scratch(spark, "toxicity")
+    return scratch.save(train(docs, labels, scratch), "weights")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

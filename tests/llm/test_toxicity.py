@@ -1,5 +1,7 @@
 """FTRL toxicity: held-out accuracy, leakage, awkward rows."""
 
+import collections
+import math
 import random
 import zlib
 
@@ -47,6 +49,53 @@ def test_weights_are_sparse_and_ignore_held_out_labels(spark):
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, toxicity.fit_on_labels(spark, docs, flipped).collect()))
 
 
+def plain_ftrl(rows, bits, epochs, min_docs):
+    """The update rule put down for one coordinate at a time, in Python floats. ``rows``: text and label in order."""
+    features = [sorted(set(toxicity.grams([t.encode()], bits)[0].tolist())) for t, _ in rows]
+    often = collections.Counter(i for f in features for i in f)
+    features = [[i for i in f if often[i] >= min_docs] for f in features]
+    z, n, alpha, beta, l1 = collections.defaultdict(float), collections.defaultdict(float), toxicity.ALPHA, toxicity.BETA, toxicity.L1
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha)
+    ones = sum(y for _, y in rows)
+    share, rare, bias_n = (ones + 0.5) / (len(rows) + 1), max(1.0, math.sqrt(len(rows) / (2 * ones))), 0.0
+    bias = math.log(share / (1 - share))
+    for _ in range(epochs):
+        for (_, y), own in zip(rows, features, strict=True):
+            now = {i: w(i) for i in own}
+            g = (rare if y else 1.0) * (1 / (1 + math.exp(-(bias + sum(now.values())))) - y)
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * now[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    return {i: w(i) for i in n if w(i)} | {-1: bias}
+
+
+def test_weights_and_scores_equal_a_plain_loop(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["index"]: r.weight for r in toxicity.fit_on_labels(spark, docs, labels).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic", F.xxhash64(F.lit(7), "doc_id").alias("turn")).collect()
+    rows = [(r.text or "", r.toxic) for r in sorted(rows, key=lambda r: (r.turn, r.doc_id)) if r.toxic is not None and not held(r.doc_id)]
+    want = plain_ftrl(rows, toxicity.BITS, toxicity.EPOCHS, toxicity.MIN_DOCS)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in got)
+    scores = {r.doc_id: r.score for r in toxicity.op7_toxicity(spark, sf_dir).collect()}
+    for r in docs.collect():
+        own = set(toxicity.grams([(r.text or "").encode()], toxicity.BITS)[0].tolist())
+        x = want[-1] + sum(want.get(i, 0.0) for i in own)
+        assert math.isclose(scores[r.doc_id], 1 / (1 + math.exp(-max(-35, min(35, x)))), rel_tol=1e-4)
+
+
+def test_bounds_hold(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(60)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1000 + i, 1) for i in range(500)], "doc_id long, label int")
+    assert toxicity.train(docs, labels, max_rows=30).where("index = -1").first().weight == toxicity.train(docs, labels.where("doc_id < 1000"), max_rows=30).where("index = -1").first().weight
+    none = toxicity.score(docs, toxicity.train(docs, labels, max_features=0))  # no row fits
+    assert {r.score for r in none.collect()} == {0.5}
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 61
+    assert docs.where("doc_id is null").select(toxicity.held_out()).first()[0] is True
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (4, "y " * 200000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, label int")
