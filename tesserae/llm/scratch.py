@@ -27,20 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A fresh folder for one call of an operator. ``drop()`` removes it once its results aren't needed."""
+    """A fresh folder for one call of an operator. ``drop()`` removes it once its results aren't needed; what is left goes
+    when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._place()
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _place(self):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` as Parquet (zstd) and reads it back with the schema it had, so that empty tables work too."""
-        path = f"{self.path}/{name}"
-        # A few files for each core: small tables dealt over many partitions would cost more files than bytes. Merged
-        # partitions are worked on one after the other, so a task needs no more memory.
-        shuffles = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, shuffles // 8))
-        df.write.option("compression", "zstd").parquet(path)
+        """Writes ``df`` as Parquet (zstd) and reads it back with the schema it had, so that empty tables work too. Files
+        follow the partitions: those of the scan, or those that adaptive execution sized after a shuffle."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
@@ -48,6 +53,5 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._place()
+        fs.delete(path, True)
