@@ -51,6 +51,23 @@ def _union_find(tables):
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], ["node", "component"])
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The links among 0 to n - 1 that a union-find needs to join what all of them join."""
+    up, out = list(range(n)), []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = i, j
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        while up[y] != y:
+            up[y] = up[up[y]]
+            y = up[y]
+        if x != y:
+            up[x] = y
+            out.append((i, j))
+    return out
+
+
 def connected(edges: DataFrame, scratch: Scratch, name: str, local: int = LOCAL) -> DataFrame:
     """node and component, the smallest node reachable, for each node with an edge. ``edges`` has a and b, any order;
     loops and repeats do no harm."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .components import connected
+from .components import connected, forest
 from .scratch import Scratch
 
 COSINE, SAMPLE, SUBSPACES, CODES, ROUNDS = 0.93, 20_000, 8, 256, 8
@@ -86,23 +86,6 @@ class Index:
         return np.sqrt(total)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The links among 0 to n - 1 that a union-find needs to join what all of them join."""
-    up, out = list(range(n)), []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = i, j
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        while up[y] != y:
-            up[y] = up[up[y]]
-            y = up[y]
-        if x != y:
-            up[x] = y
-            out.append((i, j))
-    return out
-
-
 def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     return x, x / np.sqrt((x * x).sum(1, keepdims=True))

@@ -99,13 +99,13 @@ def tidy(run):
     return tidied
 
 
-def batches(table, columns: list[str], at_most: int = 1 << 20):
-    """Splits an Arrow batch into lists of rows whose text, the first of ``columns``, sums up to about ``at_most``
+def batches(table, columns: list[str], at_most: int = 1 << 20, texts: int = 1):
+    """Splits an Arrow batch into lists of rows whose texts, the first of ``columns``, sum up to about ``at_most``
     bytes, so that memory follows the longest text and not the batch."""
     data = [table.column(table.schema.get_field_index(c)).to_pylist() for c in columns]
     begin, size = 0, 0
-    for k, text in enumerate(data[0]):
-        size += len(text or "")
+    for k, found in enumerate(zip(*data[:texts], strict=True)):
+        size += sum(len(x or "") for x in found)
         if size >= at_most or k == len(data[0]) - 1:
             yield [x[begin : k + 1] for x in data]
             begin, size = k + 1, 0

@@ -89,6 +89,37 @@ def test_near_duplicates_of_awkward_rows(spark, width):
     assert got == brute(rows, width, 80)
 
 
+def test_repeated_ids_keep_all_their_texts(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " extra"), (3, a + " more"), (4, "of its own entirely"), (4, None), (None, a)]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, None: None}
+    for order in (rows, rows[::-1], rows * 40):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = neardup.near_duplicates(df, 2).collect()
+        assert len(got) == len(order) and all(r.component_id == want[r.doc_id] for r in got)
+
+
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """Template pages near the threshold, in small components, share buckets by hundreds."""
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        w = base[:]
+        for k in rng.sample(range(120), rng.choice([3, 6, 8, 9, 10])):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2, 80)
+    for hot, big, cell in ((2, 1000, 20), (64, 1000, 256), (2, 4, 20)):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "BIG", big)
+        monkeypatch.setattr(neardup, "CELL", cell)
+        got = sorted(tuple(r) for r in neardup.near_duplicates(df, 2).select("doc_id", "n_shingles", "component_id", "kept").collect())
+        assert got == want
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
