@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, lines, mixing, neardup, toxicity
+from tesserae.llm import bpe, lines, mixing, neardup, ranks, toxicity
 from tesserae.llm.scratch import Scratch
 
 
@@ -24,15 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = lines.remove_boilerplate(docs)
+    clean = lines.remove_boilerplate(docs, counts=False)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows equal in doc_id and text, the one with the least hash of its other columns stays."""
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")))
+    repeated = docs.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return ranks.unpacked(ranks.one_of_each(rest, key, repeated, ["doc_id", "text"]), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
