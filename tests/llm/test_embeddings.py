@@ -55,18 +55,59 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=str) == want
 
 
+def isotropic(rng, n, dims):
+    x = rng.normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_probes_are_sufficient():
+    """In few dimensions with certainty; in many, next to all of the pairs at the threshold, from few lists."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(2000, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = embeddings.Index(x, 20)
-    own, codes, error = index.encode(x)
-    probed = index.probes(x, own, 0.374)
-    near = embeddings.squared(x, x) <= 0.374**2
-    i, j = np.nonzero(near)
-    assert probed[i, own[j]].all() and 0 < probed.mean() < 1
-    for which in range(3):
-        part = np.flatnonzero(own == which)
-        d = index.distances(x[:50], which, codes[part])
-        true = np.sqrt(embeddings.squared(x[:50], x[part]))
-        assert (np.abs(d - true) <= error[part][None, :] + 1e-3).all()
+    for dims, n in ((3, 2000), (64, 20_000)):
+        x = isotropic(rng, n, dims)
+        index = embeddings.Index(x, ["a"] * n, 1.0)
+        own, codes, error = index.encode(x, "a")
+        u = isotropic(rng, n, dims)
+        u -= (u * x).sum(1, keepdims=True) * x
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * u
+        there = embeddings.nearest(y, index.of("a"))
+        found = index.probes(x, own, "a", 0.93)[np.arange(n), there] | index.probes(y, there, "a", 0.93)[np.arange(n), own]
+        assert found.all() if dims == 3 else found.mean() > 0.9995
+        assert index.probes(x, own, "a", 0.93).mean() < 0.35
+        for which in range(3):
+            part = np.flatnonzero(own == which)
+            d = index.distances(x[:50], "a", which, codes[part])
+            true = np.sqrt(embeddings.squared(x[:50], x[part]))
+            assert (np.abs(d - true) <= error[part][None, :] + 1e-3).all()
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of cosine 0.93 to 0.95 among vectors without structure, held against brute force."""
+    rng = np.random.default_rng(8)
+    x = isotropic(rng, 1500, 64)
+    u = isotropic(rng, 1500, 64)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.93, 0.95, size=(1500, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * u])
+    df = spark.createDataFrame([(i, v.tolist(), f"label {i % 1500 % 2}") for i, v in enumerate(both)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    want = sum((both[g::2] @ both[g::2].T >= 0.93).sum() - len(both[g::2]) for g in (0, 1))
+    assert want >= 2990 and want * 0.99 <= sum(got.values()) <= want
+
+
+def test_double_precision_and_labels_of_any_type(spark):
+    # As floats the first pair would reach 0.93; its cosine in double precision is just below. Large values must not overflow.
+    t = np.arccos(0.93) + 1e-9
+    rows = [(1, [1.0, 0.0], "x"), (2, [float(np.cos(t)), float(np.sin(t))], "x"), (3, [1e300, 1e300], "y"), (4, [2e300, 2e300], "y"), (5, [1e-310, 1e-310], "y")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+    numbers = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [1.0, 0.0], -0.0), (3, [1.0, 0.0], 0.5)], "vec_id int, embedding array<double>, label double")
+    assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(numbers).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (3, [1.0, 0.01], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
