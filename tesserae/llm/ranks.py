@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +23,11 @@ def before(counts: DataFrame, group: list[str], fine: str, coarse: Column) -> Da
     counts = counts.withColumn("_coarse", coarse)
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     tops = counts.groupBy(*group, "_coarse").agg(F.sum("n").alias("_m"))
-    tops = tops.select(*group, "_coarse", F.coalesce(F.sum("_m").over(upto(*group).orderBy("_coarse")), F.lit(0)).alias("_above"))
+    tops = tops.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_coarse").alias("_top"), F.coalesce(F.sum("_m").over(upto(*group).orderBy("_coarse")), F.lit(0)).alias("_above"))
     inner = F.coalesce(F.sum("n").over(upto(*group, "_coarse").orderBy(fine)), F.lit(0))
-    both = counts.withColumn("base", inner).join(tops, [*group, "_coarse"])
-    return both.withColumn("base", F.col("base") + F.col("_above")).drop("_coarse", "_above")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], F.col("_coarse") == F.col("_top"))
+    both = counts.withColumn("base", inner).join(tops, same)
+    return both.select(*group, fine, "n", (F.col("base") + F.col("_above")).alias("base"))
 
 
 def copies(df: DataFrame, n: str, k: str) -> DataFrame:
