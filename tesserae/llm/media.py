@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .scratch import Scratch
@@ -148,16 +149,17 @@ def payload(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % WIDTH or (WIDTH if not raw else 0))
 
 
-def texts_to_media(docs: DataFrame, image_format: str = "pgm") -> DataFrame:
-    """doc_id, n_bytes and media: each text's bytes, zero-padded to whole rows of 64, as a grey image."""
-    make = {"pgm": encode_pgm, "bmp": encode_bmp}[image_format]
+def texts_to_media(docs: DataFrame, image_format: str = "both") -> DataFrame:
+    """doc_id, n_bytes and media: each text's bytes, zero-padded to whole rows of 64, as a grey image. "both" makes a BMP
+    of texts with an odd checksum and a PGM of the others, so equal texts have equal images."""
+    makes = {"pgm": (encode_pgm,) * 2, "bmp": (encode_bmp,) * 2, "both": (encode_pgm, encode_bmp)}[image_format]
     ship(docs.sparkSession)
 
     def run(tables):
         for t in tables:
             for texts, ids in batches(t, ["text", "doc_id"]):
                 raw = encode(texts)
-                media = [make(np.frombuffer(payload(x), np.uint8).reshape(-1, WIDTH)) for x in raw]
+                media = [makes[zlib.crc32(x) & 1](np.frombuffer(payload(x), np.uint8).reshape(-1, WIDTH)) for x in raw]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())],
                     ["doc_id", "n_bytes", "media"],
@@ -199,10 +201,16 @@ def features(media: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     return media.select(*keys, "media").mapInArrow(tidy(run), schema)
 
 
+def tile_hashes(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, feature and the SHA-256 of the NPY tiles (lowercase hex), as read from their table."""
+    return tiles.select(*keys, "feature", F.sha2("tile", 256).alias("tile_sha256"))
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every text as a PGM in a media table, reads it back and returns the digests of what was read."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stored = Scratch(spark, "op1").save(texts_to_media(docs), "media")
-    return features(stored, ["doc_id", "n_bytes"]).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
+    """Stores every text as a PGM or BMP in a media table, reads it back, writes the NPY tiles and difference hashes as a
+    table, and returns the digests of what was read."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op1")
+    stored = scratch.save(texts_to_media(docs), "media")
+    made = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    tiles = scratch.save(features(stored, ["doc_id", "n_bytes"]).select(*made, "feature", "tile"), "tiles")
+    return tile_hashes(tiles, made)

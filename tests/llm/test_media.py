@@ -44,6 +44,25 @@ def test_resize_is_the_mean_over_areas():
         assert np.allclose(media.resize(a, h, w), want)
 
 
+def shares(n, m):
+    """Overlaps of n pixels with m equal stretches, as parts of a stretch."""
+    at = np.arange(m + 1) * n / m
+    low, high = np.maximum(at[:-1, None], np.arange(n)), np.minimum(at[1:, None], np.arange(n) + 1)
+    return np.maximum(0, high - low) * m / n
+
+
+def test_tiles_and_hashes_by_overlaps():
+    rng = np.random.default_rng(6)
+    for h in (1, 3, 17, 40):
+        a = rng.integers(0, 256, (h, 64)).astype(np.uint8)
+        tile = np.load(io.BytesIO(media.tile_bytes(a)))
+        assert tile.dtype == np.uint8 and (np.abs(tile - shares(h, 16) @ a @ shares(64, 16).T) <= 0.5 + 1e-9).all()
+        small = shares(h, 8) @ a @ shares(64, 9).T
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(media.difference_hash(a)), np.uint8)).reshape(8, 8).astype(bool)
+        rise = small[:, 1:] - small[:, :-1]
+        assert (bits == (rise > 0))[np.abs(rise) > 0.01].all()
+
+
 def test_query_against_plain_python(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in media.op1_media_columns(spark, sf_dir).collect()}
@@ -52,7 +71,9 @@ def test_query_against_plain_python(spark, sf_dir):
         full = raw + b"\0" * (-len(raw) % 64)
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256) == (len(raw), len(full), hashlib.sha256(full).hexdigest())
-        stored = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        pixels = np.frombuffer(full, np.uint8).reshape(-1, 64)
+        stored = media.encode_bmp(pixels) if zlib.crc32(raw) % 2 else b"P5\n64 %d\n255\n" % len(pixels) + full
+        assert g.tile_sha256 == hashlib.sha256(media.tile_bytes(pixels)).hexdigest()
         assert (g.tail_crc32, g.media_bytes, g.media_sha256) == (zlib.crc32(full[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
         assert len(g.feature) == 16
 
