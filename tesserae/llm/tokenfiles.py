@@ -156,6 +156,16 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def arrow_uri(folder: str) -> str:
+    """A URI as Spark writes it in the form that Arrow knows: Hadoop's names of S3 are mapped."""
+    scheme, _, rest = folder.partition("://")
+    return f"s3://{rest}" if scheme in ("s3a", "s3n") else folder
+
+
+def filesystem(folder: str):
+    return pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
+
+
 def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes token files in ascending doc_id order under ``folder`` (a URI that executors reach) and returns first_id, file,
     n_docs and n_tokens of each. The table of ranks is as long as the vocabulary at most, whatever the corpus."""
@@ -163,14 +173,14 @@ def write_files(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
     counts = frequencies(tokens).orderBy(F.desc("n"), "token").select("token").toPandas()["token"].to_numpy()
     ranks = np.zeros(int(counts.max(initial=0)) + 1, np.uint32)
     ranks[counts] = np.arange(len(counts), dtype=np.uint32)
-    fs, top = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, top = filesystem(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/ranks.npy") as out:
         np.save(out, counts.astype(np.uint32))
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
 
     def run(tables):
-        fs, top = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, top = filesystem(folder)
         expand, name, first = zstandard.ZstdDecompressor(), f"{uuid.uuid4().hex}.tkv", None
         docs, counts, held, size, n_docs, n_ids, out = [], [], [], 0, 0, 0, None
         for t in tables:
@@ -205,7 +215,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     placed = manifest.select("first_id", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
     def run(tables):
-        fs, top = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, top = filesystem(folder)
         with fs.open_input_file(f"{top}/ranks.npy") as f:
             vocabulary = np.load(f).astype("<u4")
         for t in tables:

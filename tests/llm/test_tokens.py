@@ -148,3 +148,9 @@ def test_bpe_query(spark, sf_dir):
     for r in bpe.op10_byte_bpe(spark, sf_dir).collect():
         assert r.n_tokens == len(ref.encode_ordinary(docs[r.doc_id]))
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_uris_of_shared_folders():
+    assert tokenfiles.arrow_uri("s3a://bucket/some/place") == "s3://bucket/some/place"
+    assert tokenfiles.arrow_uri("hdfs://host:1/place") == "hdfs://host:1/place"
+    assert tokenfiles.filesystem("file:///tmp/place")[1] == "/tmp/place"
