@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .components import connected, forest
+from .ranks import bounded
 from .scratch import Scratch
 from .words import batches, encode, mix, shingle_sets, tidy
 
@@ -161,7 +162,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def texts_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """rep and one text of each class in ``reps``, that of the document which stands for it."""
-    at = reps.join(classes.select("rep", "at_id", "at_row"), "rep")
+    at = bounded(reps.join(classes.select("rep", "at_id", "at_row"), "rep"))  # if few, the documents aren't shuffled
     found = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(at, (F.col("doc_id") == F.col("at_id")) & (F.col("row") == F.col("at_row")))
     return found.groupBy("rep").agg(F.first("text").alias("text"))  # the same text, if rows repeat
 
