@@ -144,17 +144,33 @@ def parse_relative_quarter(text: Column, as_of: Column) -> Column:
     return F.when(start.isNotNull(), _period("quarterly", start, F.last_day(F.add_months(start, 2))))
 
 
-def infer_period(header: Column, sentence: Column, as_of: Column) -> Column:
+PERIOD = "struct<period_type:string,start:date,end:date>"
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` takes from it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def first_period(*parsed: Column) -> Column:
+    """The first of these periods that isn't null, each computed once."""
+    return F.get(F.filter(F.array(*[p.cast(PERIOD) for p in parsed]), lambda p: p.isNotNull()), 0)
+
+
+def infer_period(header: Column | None, sentence: Column, as_of: Column) -> Column:
     """Header first (0.9), then the sentence (0.7), then the document's date (0.3)."""
-    kind = "struct<period_type:string,start:date,end:date>"
 
     def any_of(text):
-        return F.coalesce(*[p.cast(kind) for p in (parse_quarter(text), parse_period_ended(text), parse_fiscal_year(text), parse_ytd(text, as_of), parse_trailing(text, as_of), parse_as_of(text), parse_relative_quarter(text, as_of))])
+        return [parse_quarter(text), parse_period_ended(text), parse_fiscal_year(text), parse_ytd(text, as_of), parse_trailing(text, as_of), parse_as_of(text), parse_relative_quarter(text, as_of)]
+
+    def sure(period, confidence):
+        return F.struct(period.cast(PERIOD).alias("p"), F.lit(confidence).alias("confidence"))
 
-    head = F.coalesce(any_of(header), parse_date(header).cast(kind), parse_plain_year(header).cast(kind))
-    body = any_of(sentence)
-    p = F.coalesce(head, body, _period("point_in_time", as_of, as_of).cast(kind))
-    return F.struct(p["period_type"].alias("period_type"), p["start"].alias("start"), p["end"].alias("end"), F.when(head.isNotNull(), 0.9).when(body.isNotNull(), 0.7).otherwise(0.3).alias("confidence"))
+    found = [sure(first_period(*any_of(sentence)), 0.7), sure(_period("point_in_time", as_of, as_of), 0.3)]
+    if header is not None:
+        found.insert(0, sure(first_period(*any_of(header), parse_date(header), parse_plain_year(header)), 0.9))
+    best = F.get(F.filter(F.array(*found), lambda x: x["p"].isNotNull()), 0)
+    return let(best, lambda x: F.struct(x["p"]["period_type"].alias("period_type"), x["p"]["start"].alias("start"), x["p"]["end"].alias("end"), x["confidence"].alias("confidence")))
 
 
 def parse_cohort_label(label: Column) -> Column:

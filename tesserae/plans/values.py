@@ -60,10 +60,10 @@ CANDIDATES = [
     (1, "cm_customers_period_end", 2021.0, "2021", "other", "text", 0.5, "in 2021 we had customers", "year_value"),
     (2, "cm_net_revenue_retention", 900.0, "900%", "percent", "text", 0.9, "900% retention", "percent_range"),
     (3, "cm_customers_period_end", 500.0, "500", "count", "text", 0.5, "we serve 80% of the Fortune 500", "ranking_name"),
-    (4, "cm_customers_period_end", 12.0, "12", "count", "table", 0.9, "[ROW] [CELL] 12", None),
-    (5, "cm_customers_period_end", 12.0, "12", "count", "table", 0.5, "[ROW] [CELL] 12", "linearized_table"),
+    (4, "cm_customers_period_end", 12.0, "12", "count", "table_header", 0.9, "[ROW] [CELL] 12", None),
+    (5, "cm_customers_period_end", 12.0, "12", "count", "table_header", 0.5, "[ROW] [CELL] 12", "linearized_table"),
     (6, "cm_customers_period_end", 5000.0, "5,000", "count", "text", 0.5, "we had 5,000 customers", None),
-    (7, "cm_gmv", 5e9, "5 billion", "currency", "text", 0.5, "a market opportunity of 5 billion dollars", "tam_market_size"),
+    (7, "cm_customers_period_end", 5e9, "5 billion", "count", "text", 0.5, "a market opportunity of 5 billion dollars", "tam_market_size"),
     (8, "cm_customer_retention_rate", 130.0, "130%", "percent", "text", 0.9, "retention of 130%", "retention_rate_over_100"),
 ]
 
@@ -71,7 +71,7 @@ CANDIDATES = [
 @query("located_rules", _values([(r[0], r[-1]) for r in CANDIDATES], "id, tag"))
 def located_rules(spark, d):  # M11: all registered rules in order
     names = "id int, metric_id string, value double, raw string, unit string, binding string, confidence double, text string"
-    return spark.createDataFrame([r[:-1] for r in CANDIDATES], names).select("id", rules.reason().alias("tag"))
+    return spark.createDataFrame([r[:-1] for r in CANDIDATES], names).withColumn("at", F.instr("text", F.col("raw"))).select("id", rules.reason().alias("tag"))
 
 
 @query("allowed_units", "SELECT CAST(27 AS BIGINT) AS metrics, CAST(60 AS BIGINT) AS pairs")

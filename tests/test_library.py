@@ -53,21 +53,89 @@ def test_rule_language(spark):
     assert got({"conditions": [c("v", "gt", 1), c("s", "ne", "a")]}) == [2] and got({"conditions": [c("s", "contains", "b")]}) == [2]
 
 
+# metric, value, raw, unit, binding, confidence, text, tag; each rule fires once and holds back once where that is telling
+RULE_CASES = [
+    ("cm_customers_period_end", 2021.0, "2021", "other", "text", 0.5, "in 2021 we had customers", "year_value"),
+    ("cm_customers_period_end", 2021.0, "2,021", "count", "text", 0.5, "we had 2,021 customers", "year_value"),
+    ("cm_customers_period_end", 2150.0, "2150", "other", "text", 0.5, "we had 2150 customers", None),
+    ("cm_net_revenue_retention", 900.0, "900%", "percent", "text", 0.9, "900% retention", "percent_range"),
+    ("cm_gmv", 2e10, "20 billion", "currency", "text", 0.5, "volume of 20 billion", "garbage_value"),
+    ("cm_net_revenue_retention", -3.0, "-3%", "other", "text", 0.5, "retention moved -3%", "percent_range"),
+    ("cm_monthly_active_users", -3.0, "-3", "count", "text", 0.5, "users moved -3", "negative_value"),
+    ("cm_customers_period_end", 18.0, "018", "count", "text", 0.5, "in 2018 customers", "year_fragment"),
+    ("cm_customers_period_end", 12.0, "12", "count", "text", 0.5, "since 2012 our customers", "truncated_year"),
+    ("cm_customers_period_end", 21.0, "21", "count", "table_header", 0.9, "[CELL] 20 [CELL] 21 [CELL] 22", "truncated_year"),
+    ("cm_customers_period_end", 12.0, "12", "count", "table_header", 0.9, "[ROW] [CELL] 12", None),
+    ("cm_customers_period_end", 12.0, "12", "count", "table_header", 0.5, "[ROW] [CELL] 12", "linearized_table"),
+    ("cm_gmv", 5.0, "5", "currency", "text", 0.5, "volume ($ in thousands) of 5", "financial_annotation"),
+    ("cm_gmv", 5.0, "5", "currency", "text", 0.5, "stock-based compensation of 5", "financial_sbc"),
+    ("cm_customers_period_end", 500.0, "500", "count", "text", 0.5, "we serve 80% of the Fortune 500", "ranking_name"),
+    ("cm_average_order_value", 7.0, "$7", "currency", "text", 0.5, "earned $7 per share", "per_share"),
+    ("cm_revenue_concentration", 20.0, "20%", "percent", "text", 0.5, "20% of revenue is international", "revenue_concentration_context"),
+    ("cm_revenue_concentration", 20.0, "20%", "percent", "text", 0.5, "our largest customer was 20%", None),
+    ("cm_revenue_concentration", 20.0, "20%", "percent", "text", 0.5, "value elsewhere", "revenue_concentration_context"),
+    ("cm_daily_active_users", 900.0, "900", "other", "text", 0.5, "900 registered developers use it daily", "developer_count"),
+    ("cm_customers_period_end", 300.0, "300", "other", "text", 0.5, "300 of the Fortune 500", "fortune_subset"),
+    ("cm_customers_period_end", 30000.0, "30,000", "count", "text", 0.5, "30,000 with many of the Fortune 500", None),
+    ("cm_customers_period_end", 70.0, "70", "other", "text", 0.5, "70 Enterprise customers", "tier_qualifier"),
+    ("cm_customers_period_end", 70.0, "70", "other", "text", 0.5, "number of Enterprise customers: 70", None),
+    ("cm_active_customers_total", 70.0, "70", "other", "text", 0.5, "Paid Customers >$100,000 were 70", "dollar_threshold_customer"),
+    ("cm_net_revenue_retention", 110.0, "110%", "percent", "text", 0.5, "Customers >$100,000 retain 110%", None),
+    ("cm_active_customers_total", 70.0, "70", "other", "text", 0.5, "70 video views", "content_engagement"),
+    ("cm_active_customers_total", 57.6, "57.6", "count", "text", 0.5, "transactions per active account rose to 57.6", "transactions_per_account"),
+    ("cm_active_customers_total", 300.0, "300", "other", "text", 0.5, "customers increased by 300", "delta_count_value"),
+    ("cm_new_customers_acquired", 300.0, "300", "other", "text", 0.5, "customers increased by 300", None),
+    ("cm_monthly_active_users", 30.0, "30%", "percent", "text", 0.5, "monthly actives grew 30%", "growth_rate_percent"),
+    ("cm_revenue_per_customer", 3.0, "3%", "percent", "text", 0.5, "ARPA grew 3%", "arpu_percent"),
+    ("cm_average_order_value", 9.0, "$9", "currency", "text", 0.5, "ARPU of $9", "arpu_as_aov"),
+    ("cm_customers_period_end", 30.0, "30%", "percent", "text", 0.5, "30% of customers", "percent_on_count"),
+    ("cm_monthly_active_users", 23.0, "23%", "percent", "text", 0.5, "users rising 23% year-over-year", None),
+    ("cm_customer_retention_rate", 130.0, "130%", "percent", "text", 0.9, "retention of 130%", "retention_rate_over_100"),
+    ("cm_customer_retention_rate", 95.0, "95%", "percent", "text", 0.9, "NRR of 95%", "retention_rate_over_100"),
+    ("cm_net_revenue_retention", 30.0, "30%", "percent", "text", 0.9, "retention of 30%", "magnitude_sanity"),
+    ("cm_ltv_to_cac_ratio", 26.0, "26x", "ratio", "text", 0.9, "a ratio of 26x", "magnitude_sanity"),
+    ("cm_revenue_per_customer", 6789.0, "6,789", "count", "table_stub", 0.9, "revenue per customer (in thousands) 6,789", "revenue_per_customer_fin_annotation"),
+    ("cm_revenue_concentration", 33.9, "33.9x", "ratio", "text", 0.9, "concentration 33.9x", "revenue_concentration_ratio_suffix"),
+    ("cm_customers_period_end", 3.0, "3x", "ratio", "text", 0.5, "grew 3x", "ratio_suffix_on_count_metric"),
+    ("cm_large_customers_period_end", 13000.0, "13,000", "count", "text", 0.9, "13,000 with $5,000 in ARR", "large_customers_small_arr_threshold"),
+    ("cm_active_customers_total", 88.0, "88", "other", "table_stub", 0.5, "ARPU 88", "arpu_context_on_customer_count"),
+    ("cm_active_customers_total", 88.0, "88", "other", "text", 0.5, "net loss of 88", "financial_context_customer_metric"),
+    ("cm_gmv", 100000.0, "$100,000", "currency", "text", 0.5, "customers with over $100,000", "metric_definition_value"),
+    ("cm_gmv", 12.0, "$12", "currency", "chart_label", 0.5, "$12 per seat", "chart_pricing_label"),
+    ("cm_customers_period_end", 9000.0, "9,000", "count", "text", 0.5, "a market opportunity of 9,000", "tam_market_size"),
+    ("cm_net_revenue_retention", 70.0, "70", "other", "table_header", 0.9, "Net revenue retention Number of customers 70", "stub_metric_contradiction"),
+    ("cm_gmv", 70.0, "70", "other", "table_header", 0.9, "Volume Accounts payable 70", "stub_financial_line_item"),
+    ("cm_customers_period_end", 5000.0, "5,000", "count", "text", 0.5, "we had 5,000 customers", None),
+]
+
+
 def test_false_positive_rules(spark):
-    rows = [
-        ("cm_customers_period_end", 2021.0, "2021", "other", "text", 0.5, "in 2021 we had customers"),
-        ("cm_net_revenue_retention", 900.0, "900%", "percent", "text", 0.9, "900% retention"),
-        ("cm_customers_period_end", 500.0, "500", "count", "text", 0.5, "we serve 80% of the Fortune 500"),
-        ("cm_customers_period_end", 12.0, "12", "count", "table", 0.9, "[ROW] [CELL] 12"),
-        ("cm_customers_period_end", 12.0, "12", "count", "table", 0.5, "[ROW] [CELL] 12"),
-        ("cm_customers_period_end", 3.0, "3x", "ratio", "text", 0.5, "grew 3x"),
-        ("cm_customers_period_end", 5000.0, "5,000", "count", "text", 0.5, "we had 5,000 customers"),
-    ]
-    df = spark.createDataFrame(rows, "metric_id string, value double, raw string, unit string, binding string, confidence double, text string")
-    assert [r[0] for r in df.select(rules.reason()).collect()] == ["year_value", "percent_range", "ranking_name", None, "linearized_table", "ratio_suffix_on_count_metric", None]
+    from pyspark.sql import functions as F
+
+    names = "metric_id string, value double, raw string, unit string, binding string, confidence double, text string, tag string"
+    df = spark.createDataFrame(RULE_CASES, names).withColumn("at", F.instr("text", F.col("raw")))
+    got = df.select("raw", "text", "tag", rules.reason().alias("got"), rules.reason(F.lit(True)).alias("talk")).collect()
+    assert [(r.text, r.got) for r in got] == [(r.text, r.tag) for r in got]
+    assert {r.tag for r in got if r.talk != r.got} == set(rules.SKIPPED_IN_TALKS)
+    assert {t for t, _, _ in rules.registry()} == {r.tag for r in got} - {None}  # every rule has a case
     assert len(rules.registry()) == 36 and rules.allowed_units()["cm_tcv"] == ["currency", "other"]
 
 
+def test_value_place_is_that_of_extraction(spark):
+    df = spark.createDataFrame([("cm_customers_period_end", 12.0, "12", "count", "text", 0.5, "since 2012 we had 12", 19)], "metric_id string, value double, raw string, unit string, binding string, confidence double, text string, at int")
+    assert df.select(rules.reason()).first()[0] is None
+
+
+def test_candidates_and_spans(spark):
+    from tesserae.functions import catalogue
+
+    df = spark.createDataFrame([("MAU of 3 and MAUs of 4; employee churn rate; churn rate",), ("",), (None,)], "text string")
+    hits = df.selectExpr("*").select(catalogue.candidates(df["text"]).alias("h")).collect()
+    got = [(h.metric_id, h.match, h.start, h.end, h.specific) for h in hits[0].h]
+    assert got == [("cm_monthly_active_users", "MAU", 0, 3, False), ("cm_monthly_active_users", "MAUs", 13, 17, False)]  # employees are near both others
+    assert hits[1].h == [] and not hits[2].h
+
+
 def test_cross_metric_dedup(spark):
     rows = [(1, "12", "cm_a", 0.5), (1, "12", "cm_b", 0.9), (1, "12", "cm_b_by_cohort", 0.4), (2, "12", "cm_a", 0.1)]
     df = spark.createDataFrame(rows, "segment_id int, raw string, metric_id string, confidence double")
