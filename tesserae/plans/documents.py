@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources import html, readers
 from .base import query, table
+from .dataflow import filings
 
 #: metric, pattern; one alternation tests all before each is tried.
 KEYWORDS = [("retention", "(of the|with and)"), ("churn", "(was by|are with)"), ("revenue", "(que de|ein der)"), ("growth", "(la de|el los)")]
@@ -201,8 +202,8 @@ def html_segments(spark, d):  # A4, M1
 
 
 @query("table_grid")
-def table_grid(spark, d):  # M3
-    return html.table_grid(table(spark, d, "pages"), "page_id").drop("header_path", "stub_path")
+def table_grid(spark, d):  # M3: of the tables in filings, as pages have none; filing_tables is its counterpart with SQL
+    return html.table_grid(filings(spark, d).select("filing_id", "html"), "filing_id").drop("header_path", "stub_path")
 
 
 GRID = "<table><tr><th rowspan=2>Metric</th><th colspan=2>Year</th></tr><tr><th>2023</th><th>2024</th></tr><tr><td>Customers</td><td>10</td><td>12</td></tr></table>"

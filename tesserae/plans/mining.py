@@ -10,11 +10,11 @@ from ..operators.ranking import top_per_group
 from .base import decisions, pct, pct_sql, query, table
 
 STOP = ["the", "and", "that", "with", "for", "was", "are"]
-TOKENS_SQL = "t AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'that', 'with', 'for', 'was', 'are')) AS w FROM documents WHERE lang = 'en')"
+TOKENS_SQL = "t AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'that', 'with', 'for', 'was', 'are')) AS w FROM documents)"
 
 
 def _tokens(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", X.tokens(F.col("text"), STOP).alias("w"))
+    return table(spark, d, "documents").select("doc_id", "source", X.tokens(F.col("text"), STOP).alias("w"))
 
 
 @query("tokens", f"WITH {TOKENS_SQL} SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS words FROM t")
@@ -32,8 +32,9 @@ PHRASES_SQL = TOKENS_SQL + ", g AS (SELECT source, doc_id, unnest([w[i] || ' ' |
 
 
 def _phrases(spark, d):
-    g = _tokens(spark, d).select("source", "doc_id", F.explode(X.ngrams(F.col("w"), 2)).alias("phrase"))
-    return g.groupBy("source", "phrase").agg(F.count_distinct("doc_id").alias("n"))
+    # A document, of which doc_id is the key, counts once: its repeats go before the shuffle, and counts combine there.
+    g = _tokens(spark, d).select("source", F.explode(F.array_distinct(X.ngrams(F.col("w"), 2))).alias("phrase"))
+    return g.groupBy("source", "phrase").agg(F.count("*").alias("n"))
 
 
 @query("top_phrases", f"WITH {PHRASES_SQL} SELECT source, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, phrase) AS rn FROM p WHERE n >= 2) WHERE rn <= 15")

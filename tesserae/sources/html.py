@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 
 from ..shipping import ship
 
-# A paragraph has this many characters at least and at most; context of images.
-LEAST, MOST, AROUND = 50, 10_000, 500
+# A paragraph has this many characters at least; a longer one than the second goes on in a further segment.
+LEAST, MOST = 50, 10_000
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "body", "blockquote", "pre", "td", "th", "tr", "table", "ul", "ol", "br"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -36,7 +36,7 @@ class _Segments(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text and (self.kind != "paragraph" or len(text) >= LEAST):
-            self.out.append((self.kind, text[:MOST]))
+            self.out += [(self.kind, text[k : k + MOST]) for k in range(0, len(text), MOST)]
         self.kind = "paragraph"
 
     def handle_starttag(self, tag, attrs):

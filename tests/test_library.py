@@ -145,6 +145,7 @@ def test_cross_metric_dedup(spark):
 def test_html_segments_and_grids():
     page = "<html><body><h2>Key  metrics</h2><p>" + "word " * 20 + "</p><p>short</p><script>x()</script><table><tr><th>A</th></tr><tr><td>1</td></tr></table><img src='a.png' alt='chart'>"
     assert html.segments_of(page) == [("heading", "Key metrics"), ("paragraph", ("word " * 20).strip()), ("table", "[ROW] [CELL] A [ROW] [CELL] 1"), ("image", "a.png|chart")]
+    assert [len(t) for _, t in html.segments_of("<p>" + "x" * 25_000 + "</p>")] == [10_000, 10_000, 5_000]
     assert html.segments_of("") == [] and html.segments_of(None) == []
     (cells,) = html.tables_of("<table><tr><th rowspan=2>Metric</th><th colspan=2>Year</th></tr><tr><th>2023</th><th>2024</th></tr><tr><td>Users</td><td>10</td><td>12</td></tr></table>")
     body = {(c["row"], c["col"]): c for c in cells}

@@ -37,7 +37,22 @@ def test_equals_sql(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_table_grid_has_every_cell(spark, sf_dir):
+    rows = registry.QUERIES["table_grid"](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert rows.count() == 2 * (lines.count() + lines.select("l_orderkey").distinct().count())
+
+
+def test_optional_parts_that_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "tesserae.llm.registry", None)  # as if it needed a module that isn't there
+    assert set(__spark_entry__.queries()) == set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) == set(registry.ORACLES)
 
 
 def test_entry(spark):
