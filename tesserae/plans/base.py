@@ -49,6 +49,13 @@ def query(name: str, sql: str | None = None, with_: str = ""):
     return keep
 
 
+def also(name: str, same: str) -> None:
+    """Registers a query of whole tables under a second name, which once had a narrower query."""
+    QUERIES[name] = QUERIES[same]
+    if same in ORACLES:
+        ORACLES[name] = ORACLES[same]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources import html, readers
-from .base import query, table
+from .base import also, query, table
 from .dataflow import filings
 
 #: metric, pattern; one alternation tests all before each is tried.
@@ -49,23 +49,6 @@ def keyword_counts(spark, d):  # H10
     return table(spark, d, "documents").select("doc_id", F.regexp_count(low, F.lit("(the|and)")).cast("long").alias("n_common"), F.regexp_count(low, F.lit("tion")).cast("long").alias("n_tion"))
 
 
-@query("exclusion_window", "WITH p AS (SELECT doc_id, text, strpos(lower(text), 'the ') AS pos FROM documents) SELECT doc_id, pos FROM p WHERE pos > 0 AND NOT contains(lower(substr(text, greatest(1, pos - 50), pos + 50 - greatest(1, pos - 50))), 'with')")
-def exclusion_window(spark, d):  # H4, M8
-    p = table(spark, d, "documents").select("doc_id", "text", F.instr(F.lower("text"), "the ").cast("long").alias("pos")).where("pos > 0")
-    return p.where(~F.contains(F.lower(X.window(F.col("text"), F.col("pos").cast("int"), 50, 50)), F.lit("with"))).select("doc_id", "pos")
-
-
-@query("context_window", "WITH p AS (SELECT doc_id, text, strpos(text, 'tion') AS pos FROM documents) SELECT doc_id, md5(substr(text, greatest(1, pos - 100), pos + 100 - greatest(1, pos - 100))) AS context FROM p WHERE pos > 0")
-def context_window(spark, d):  # H4
-    p = table(spark, d, "documents").select("doc_id", "text", F.instr("text", "tion").alias("at")).where("at > 0")
-    return p.select("doc_id", F.md5(X.window(F.col("text"), F.col("at"), 100, 100)).alias("context"))
-
-
-@query("word_context", "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), ' ') AS w FROM documents) SELECT doc_id, md5(array_to_string(w[1:6], ' ')) AS around FROM w")
-def word_context(spark, d):  # H5
-    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.slice(F.split(X.collapse(F.col("text")), " "), 1, 6), " ")).alias("around"))
-
-
 def hits(text, word: str):
     """1-based positions of every occurrence of ``word``, which doesn't overlap itself."""
     ends = F.transform(F.split(text, word), lambda x: F.length(x).cast("long"))
@@ -84,12 +67,18 @@ def exclusion_windows(spark, d):  # H4, M8: every hit
     return p.where(~F.contains(F.lower(X.window(F.col("text"), F.col("pos").cast("int"), 50, 50)), F.lit("with"))).select("doc_id", "pos")
 
 
+also("exclusion_window", "exclusion_windows")
+
+
 @query("context_windows", f"WITH {EVERY('text', 'tion')} SELECT doc_id, pos, md5(substr(text, greatest(1, pos - 100), pos + 100 - greatest(1, pos - 100))) AS context FROM p")
 def context_windows(spark, d):  # H4: every hit
     p = table(spark, d, "documents").select("doc_id", "text", F.explode(hits(F.col("text"), "tion")).alias("pos"))
     return p.select("doc_id", "pos", F.md5(X.window(F.col("text"), F.col("pos").cast("int"), 100, 100)).alias("context"))
 
 
+also("context_window", "context_windows")
+
+
 @query("word_windows", "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), ' ') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT doc_id, i AS word, md5(array_to_string(w[greatest(1, i - 6):i + 6], ' ')) AS around FROM p WHERE lower(w[i]) = 'the'")
 def word_windows(spark, d):  # H5: six words on either side of every hit
     p = table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split(X.collapse(F.col("text")), " ")).alias("i", "w")).where("lower(w) = 'the'")
@@ -97,6 +86,9 @@ def word_windows(spark, d):  # H5: six words on either side of every hit
     return p.select("doc_id", at.cast("long").alias("word"), F.md5(X.word_window(F.col("text"), at, 6)).alias("around"))
 
 
+also("word_context", "word_windows")
+
+
 @query("normalize_ws", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS clean FROM documents")
 def normalize_ws(spark, d):  # H1
     return table(spark, d, "documents").select("doc_id", F.md5(X.collapse(F.col("text"))).alias("clean"))

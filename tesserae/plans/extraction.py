@@ -9,7 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators.filters import any_of, first_of
 from ..operators.ranking import latest
-from .base import facts, mapped, query, table
+from .base import also, facts, mapped, query, table
 
 NUMBERS = [
     ("$1,234.5 million", 1234.5e6, "currency"), ("112%", 112.0, "percent"), ("1.42x", 1.42, "ratio"), ("50,000", 50000.0, "count"),
@@ -183,31 +183,23 @@ def cross_source_confirm(spark, d):  # M19
     return facts(spark, d).withColumn("n", F.size(F.collect_set("source_type").over(w))).where("n >= 2").select("fact_id")
 
 
-@query("cohort_siblings", "+ m AS (SELECT DISTINCT metric_id FROM facts WHERE tier LIKE 'S%') SELECT fact_id FROM facts WHERE metric_id || '' IN (SELECT metric_id FROM m) AND quantity = 50", "facts")
-def cohort_siblings(spark, d):  # C22
-    m = facts(spark, d).where(F.col("tier").startswith("S")).select("metric_id").distinct()
-    return facts(spark, d).where("quantity = 50").join(m, "metric_id", "left_semi").select("fact_id")
-
-
-@query("span_containment", """+ s AS (SELECT fact_id, company_id, metric_id, fact_id % 50 AS a, fact_id % 50 + CAST(quantity AS BIGINT) AS b FROM facts WHERE confidence >= 0.98) SELECT fact_id FROM s i WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.company_id = i.company_id AND o.metric_id = i.metric_id AND o.fact_id <> i.fact_id AND i.a >= o.a AND i.b <= o.b AND i.b - i.a < o.b - o.a)""", "facts")
-def span_containment(spark, d):  # C17: spans inside a longer one of the same metric go
-    s = facts(spark, d).where("confidence >= 0.98").select("fact_id", "company_id", "metric_id", (F.col("fact_id") % 50).alias("a"), (F.col("fact_id") % 50 + F.col("quantity").cast("long")).alias("b"))
-    o = s.select("company_id", "metric_id", F.col("fact_id").alias("oid"), F.col("a").alias("oa"), F.col("b").alias("ob"))
-    inside = (s["company_id"] == o["company_id"]) & (s["metric_id"] == o["metric_id"]) & (F.col("fact_id") != F.col("oid")) & (F.col("a") >= F.col("oa")) & (F.col("b") <= F.col("ob")) & (F.col("b") - F.col("a") < F.col("ob") - F.col("oa"))
-    return s.join(o, inside, "left_anti").select("fact_id")
-
-
 @query("cohort_siblings_all", "+ m AS (SELECT DISTINCT metric_id FROM facts WHERE tier LIKE 'S%') SELECT fact_id FROM facts WHERE metric_id IN (SELECT metric_id FROM m)", "facts")
 def cohort_siblings_all(spark, d):  # C22: of all facts
     m = facts(spark, d).where(F.col("tier").startswith("S")).select("metric_id").distinct()
     return facts(spark, d).join(m, "metric_id", "left_semi").select("fact_id")
 
 
+also("cohort_siblings", "cohort_siblings_all")
+
+
 @query("span_containment_all", """+ s AS (SELECT fact_id, company_id, metric_id, fact_id % 50 AS a, fact_id % 50 + CAST(quantity AS BIGINT) AS b FROM facts) SELECT fact_id FROM s i WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.company_id = i.company_id AND o.metric_id = i.metric_id AND o.fact_id <> i.fact_id AND i.a >= o.a AND i.b <= o.b AND i.b - i.a < o.b - o.a)""", "facts")
 def span_containment_all(spark, d):  # C17: of all facts
     return outermost(facts(spark, d).select("fact_id", "company_id", "metric_id", (F.col("fact_id") % 50).alias("a"), (F.col("fact_id") % 50 + F.col("quantity").cast("long")).alias("b")))
 
 
+also("span_containment", "span_containment_all")
+
+
 def outermost(spans):
     """fact_id of the spans [a, b] that are inside no longer one of another fact of the same company and metric.
 
