@@ -109,12 +109,39 @@ def latest_classification(spark, d):  # D9
     return latest(decisions(spark, d), ["img_id"], [F.desc("ts"), F.desc("decision_id")]).select("img_id", "decision", "metric_id")
 
 
+TIER_1 = ["Brand#11", "Brand#12", "Brand#23", "Brand#34", "Brand#45"]
+
+
+@query("metric_tiers", f"SELECT DISTINCT p_brand AS metric_id, replace(p_brand, '#', ' ') AS metric_name, CASE WHEN p_brand IN ({str(TIER_1)[1:-1]}) THEN 1 ELSE 2 END AS tier FROM part")
+def metric_tiers(spark, d):  # M30: 1 is what must not be missed
+    brand = F.col("p_brand")
+    tier = F.when(brand.isin(TIER_1), 1).otherwise(2)
+    return table(spark, d, "part").select(brand.alias("metric_id"), F.replace(brand, F.lit("#"), F.lit(" ")).alias("metric_name"), tier.alias("tier")).distinct()
+
+
+@query("metric_presence", """+ t AS (SELECT filing_id, metric_id, array_to_string(list_sort(list(DISTINCT fact_id)), '|') AS segments FROM facts WHERE source_type = 'text' GROUP BY ALL),
+c AS (SELECT *, CASE WHEN quantity < 10 THEN fact_id - 1 END AS supersedes FROM facts WHERE source_type = 'chart'),
+i AS (SELECT filing_id, metric_id, array_to_string(list_sort(list(DISTINCT fact_id)), '|') AS images FROM c WHERE review_status = 'accepted' AND NOT EXISTS (SELECT 1 FROM c AS later WHERE later.supersedes = c.fact_id) GROUP BY ALL)
+SELECT coalesce(t.filing_id, i.filing_id) AS filing_id, coalesce(t.metric_id, i.metric_id) AS metric_id, t.filing_id IS NOT NULL AS text_disclosed, i.filing_id IS NOT NULL AS image_disclosed, coalesce(segments, '') AS segments, coalesce(images, '') AS images
+FROM t FULL OUTER JOIN i ON t.filing_id = i.filing_id AND t.metric_id = i.metric_id""", "facts")
+def metric_presence(spark, d):  # M30: text and confirmed images by filing and metric, with their evidence; superseded decisions don't count
+    f = facts(spark, d).select("filing_id", "metric_id", "fact_id", "source_type", "review_status", "quantity")
+    key = ["filing_id", "metric_id"]
+    ids = F.array_join(F.array_sort(F.collect_set("fact_id")), "|")
+    charts = f.where("source_type = 'chart'")
+    superseded = charts.where("quantity < 10").select((F.col("fact_id") - 1).alias("fact_id"))
+    images = charts.where("review_status = 'accepted'").join(superseded, "fact_id", "left_anti").groupBy(*key).agg(ids.alias("images"))
+    both = f.where("source_type = 'text'").groupBy(*key).agg(ids.alias("segments")).join(images, key, "full_outer")
+    shown = lambda c: F.col(c).isNotNull()
+    return both.select(*key, shown("segments").alias("text_disclosed"), shown("images").alias("image_disclosed"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("segments", "images")])
+
+
 def create_views(spark, sf_dir) -> list[str]:
     """The views under the names that dashboards query."""
     views = {
         "v_fact_wide": fact_wide, "v_coverage_matrix": coverage_matrix, "v_company_metric_disclosure": company_disclosure,
         "v_company_tier1_summary": tier1_summary, "v_image_review_progress": review_progress, "v_facts_pending_review": facts_pending_review,
-        "v_extraction_summary": extraction_summary,
+        "v_extraction_summary": extraction_summary, "v_metric_tiers": metric_tiers, "v_metric_presence": metric_presence,
     }
     for name, build in views.items():
         build(spark, sf_dir).createOrReplaceTempView(name)

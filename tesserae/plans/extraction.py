@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..functions.issuers import industry
 from ..operators.filters import any_of, first_of
 from ..operators.ranking import latest
 from .base import also, facts, mapped, query, table
@@ -235,6 +236,42 @@ def issuer_classify(spark, d):  # M22
     return c.select("c_custkey", X.is_blank_check(F.col("name"), F.col("sic"), F.col("text")).alias("blank_check"), X.is_fund(F.col("name"), fund_sic).alias("fund"))
 
 
+# Issuers made of the customers: names, codes and closing sentences go round, behind the whole text of a document.
+NAMES = ["Cloud Bakery Inc", "Harbor Software Ltd", "Blockchain Payment Corp", "Crypto Exchange Trust", "Crowdfunding Wallet Co", "Digital Health Labs", "Clinical Partners", "Wireless Network Group", "Mining Rigs Inc", "Streaming Video Co", "Retail Trading AG"]
+CODES = ["7372", "7990", "6199", "6211", "5961", "8090", "4899", "7380", "3570"]
+ENDS = ["Our SaaS plans bring recurring revenue.", "GMV grew, and our take rate with it.", "A digital wallet on blockchain rails.", "We sell mining equipment.", "Telehealth visits doubled.", "Streaming subscribers and viewers rose.", "Network effects help us."]
+
+
+def _tells(*groups: list[str]) -> str:
+    return " AND ".join("(" + " OR ".join(f"contains(head, '{x}')" for x in group) + ")" for group in groups)
+
+
+def _named(words: str) -> str:
+    return "(" + " OR ".join(f"contains(low, '{x}')" for x in words.split("|")) + ")"
+
+
+@query("industry_classes", f"""WITH i AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN ({NAMES})[c_custkey % {len(NAMES)} + 1] END AS name, CASE WHEN c_custkey % 5 <> 0 THEN ({CODES})[c_custkey % {len(CODES)} + 1] END AS code,
+         CASE WHEN c_custkey % 3 <> 0 THEN coalesce(text, '') || ' ' || ({ENDS})[c_custkey % {len(ENDS)} + 1] END AS text FROM customer LEFT JOIN documents ON doc_id = c_custkey
+), h AS (SELECT c_custkey, coalesce(code, '') AS code, lower(coalesce(name, '')) AS low, lower(left(coalesce(text, ''), 10000)) AS head FROM i)
+SELECT c_custkey,
+  CASE WHEN code IN ('7370', '7371', '7372', '7373', '7374') THEN 'code' WHEN code LIKE '7%' AND {_named("saas|software|cloud")} THEN 'name' WHEN {_tells(["software as a service", "saas"], ["subscription", "recurring revenue"])} THEN 'text' END AS saas,
+  CASE WHEN code IN ('5900', '5940', '5961') THEN 'code' WHEN {_named("marketplace|commerce|retail|shop|store|merchant|seller|buyer|trading")} THEN 'name' WHEN {_tells(["gross merchandise value", "gmv", "take rate"])} OR ({_tells(["marketplace"], ["commission"])}) THEN 'text' END AS ecommerce,
+  CASE WHEN {_named("etf|fund|trust")} AND NOT contains(low, 'funding') OR contains(low, 'canaan') OR contains(low, 'mining') AND code <> '' AND code NOT LIKE '6%' OR {_tells(["mining equipment", "asic manufacturer", "hardware manufacturer"])} THEN NULL
+       WHEN code = '6199' THEN 'code' WHEN code LIKE '6%' AND {_named("fintech|financial technology|payment|wallet|exchange|blockchain|crypto")} THEN 'name' WHEN {_tells(["cryptocurrency", "blockchain"], ["payment processing", "digital wallet"])} THEN 'text' END AS fintech,
+  CASE WHEN code IN ('8000', '8071', '8090') THEN 'code' WHEN {_named("health|medical|telemedicine|patient|clinical|therapeutics")} AND {_named("tech|digital|platform|software|data")} THEN 'name' WHEN {_tells(["digital health", "health technology", "telemedicine", "telehealth", "patient platform"])} THEN 'text' END AS health,
+  CASE WHEN code IN ('4899', '7380') THEN 'code' WHEN {_named("media|streaming|content|entertainment|publishing|video|music|podcast")} THEN 'name' WHEN ({_tells(["streaming"], ["subscribers"])}) OR {_tells(["content platform"])} OR ({_tells(["subscription revenue"], ["viewers"])}) THEN 'text' END AS media,
+  CASE WHEN code IN ('4813', '4833', '4899') THEN 'code' WHEN {_named("telecom|wireless|communications|network|broadband|cellular|mobile")} THEN 'name' END AS telecom,
+  CASE WHEN code IN ('7380', '7389') THEN 'code' WHEN {_named("platform|network|connect|marketplace")} THEN 'name' WHEN {_tells(["network effects", "two-sided market", "multi-sided platform", "platform business"])} THEN 'text' END AS platform
+FROM h""")
+def industry_classes(spark, d):  # M22: the classes by industry
+    key = F.col("c_custkey")
+    turn = lambda values, skip: F.when(key % skip != 0, F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int")))
+    c = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "documents").select("doc_id", "text"), key == F.col("doc_id"), "left")
+    c = c.select("c_custkey", turn(NAMES, 13).alias("name"), turn(CODES, 5).alias("code"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), turn(ENDS, 3)).alias("text"))
+    return c.select("c_custkey", *[found.alias(k) for k, found in industry(F.col("name"), F.col("code"), F.col("text")).items()])
+
+
 @query("scope_gate", """+ f AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'S-1' WHEN '2-HIGH' THEN 'F-1/A' ELSE '10-K' END AS form, o_orderdate = min(o_orderdate) OVER (PARTITION BY o_custkey) AS first_time, o_custkey % 7 = 0 AS spac, CASE o_orderstatus WHEN 'P' THEN 'secondary' WHEN 'F' THEN 'primary' END AS offering FROM orders)
 SELECT o_orderkey FROM f WHERE form IN ('S-1', 'F-1/A') AND first_time AND NOT spac AND coalesce(offering, '') <> 'secondary'""".replace("+ f AS", "WITH f AS"))
 def scope_gate(spark, d):  # B21

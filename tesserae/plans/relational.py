@@ -236,6 +236,24 @@ def next_after(spark, d):  # E1, F3: the row after the current one, by compariso
     return later.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(1).select(F.col("o_orderkey").alias("nxt"))
 
 
+@query("next_image", """+ a AS (SELECT filing_id, fact_id AS img_id, metric_id AS filename, CAST(round(confidence * 100) AS INT) AS relevance, value, review_status, period_end FROM facts WHERE source_type = 'chart' AND quantity >= 5
+      QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY value DESC, metric_id, confidence DESC, review_status, period_end) = 1),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filing_id, filename ORDER BY review_status = 'accepted' DESC, period_end DESC NULLS LAST, img_id) AS rn FROM a) WHERE rn = 1),
+p AS (SELECT c.filing_id, c.img_id, n.img_id AS next_id, row_number() OVER (PARTITION BY c.img_id ORDER BY n.relevance DESC, n.value DESC, n.img_id) AS rn
+      FROM v c JOIN v n ON n.filing_id = c.filing_id AND n.review_status = 'pending' AND (n.relevance < c.relevance OR n.relevance = c.relevance AND n.img_id > c.img_id))
+SELECT filing_id, img_id, next_id FROM p WHERE rn = 1""", "facts")
+def next_image(spark, d):  # within a filing, the pending image after each one; without pairs
+    a = facts(spark, d).where("source_type = 'chart' and quantity >= 5")
+    a = a.select("filing_id", F.col("fact_id").alias("img_id"), F.col("metric_id").alias("filename"), F.round(F.col("confidence") * 100).cast("int").alias("relevance"), "value", "review_status", "period_end")
+    a = latest(a, ["img_id"], [F.desc("value"), "filename", F.desc("relevance"), "review_status", "period_end"])  # order and line number repeat in the tables
+    v = latest(a, ["filing_id", "filename"], [F.desc(F.col("review_status") == "accepted"), F.desc_nulls_last("period_end"), "img_id"])  # an image shown twice counts once
+    shown = F.when(F.col("review_status") == "pending", F.struct("relevance", "value", (-F.col("img_id")).alias("turn")))
+    equal = Window.partitionBy("filing_id", "relevance").orderBy("img_id").rowsBetween(1, Window.unboundedFollowing)
+    below = Window.partitionBy("filing_id").orderBy(F.desc("relevance")).rangeBetween(1, Window.unboundedFollowing)
+    after = F.coalesce(F.max(shown).over(equal), F.max(shown).over(below))
+    return v.select("filing_id", "img_id", (-after["turn"]).alias("next_id")).where("next_id is not null")
+
+
 @query("share_of_total", f"SELECT decision, count(*) AS n, {pct_sql('count(*)', 'sum(count(*)) OVER ()')} AS share FROM decisions GROUP BY decision", "decisions")
 def share_of_total(spark, d):  # E2
     n = decisions(spark, d).groupBy("decision").agg(F.count("*").alias("n"))

@@ -259,3 +259,49 @@ def test_every_hit_is_judged(spark, tmp_path):
     spark.createDataFrame([(1, 1, "On the hill. Under the old tree the cat sat. No.", "user"), (1, 2, None, "user")], "conv_id long, turn int, text string, role string").write.parquet(f"{tmp_path}/conversations.parquet")
     bounds = QUERIES["sentence_bounds"](spark, str(tmp_path)).select("turn", "at", "start", "end").collect()
     assert sorted(map(tuple, bounds)) == [(1, 3, 0, 12), (1, 19, 13, 44), (1, 32, 13, 44)]
+
+
+ISSUERS = [  # name, code, text; the classes and what tells
+    ("Acme Robotics", "7371", None, {"saas": "code"}),
+    ("Acme Cloud Tools", "7990", None, {"saas": "name"}),
+    ("Acme Cloud Tools", "3570", None, {}),  # the name counts beside a code of services only
+    ("Acme", None, "We sell software as a service by subscription.", {"saas": "text"}),
+    ("Acme", None, "x" * 10_000 + " saas subscription", {}),  # beyond the head
+    ("Corner Shop AG", None, None, {"ecommerce": "name"}),
+    ("Acme", "5961", "Our take rate rose.", {"ecommerce": "code"}),
+    ("Acme", None, "A marketplace that earns a commission.", {"ecommerce": "text"}),
+    ("Acme Payment", "6211", None, {"fintech": "name"}),
+    ("Acme Payment Trust", "6211", None, {}),
+    ("Crowdfunding Wallet", "6199", None, {"fintech": "code"}),  # funding is no fund
+    ("Acme Mining", "3570", "blockchain digital wallet", {}),
+    ("Acme Mining", None, "blockchain digital wallet", {"fintech": "text"}),
+    ("Acme", "6199", "We make mining equipment.", {}),
+    ("Patient Data Co", None, None, {"health": "name"}),
+    ("Patient Care Co", None, None, {}),
+    ("Acme", None, "Telehealth visits doubled.", {"health": "text"}),
+    ("Acme", "4899", None, {"media": "code", "telecom": "code"}),
+    ("Acme", None, "streaming for subscribers", {"media": "text"}),
+    ("Acme Network", None, None, {"telecom": "name", "platform": "name"}),
+    ("Acme", "7380", None, {"media": "code", "platform": "code"}),
+    ("Acme", None, "Network effects help us.", {"platform": "text"}),
+    (None, None, None, {}),
+]
+
+
+def test_issuer_classes(spark):
+    from tesserae.functions import issuers
+
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(ISSUERS)], "i int, name string, code string, text string")
+    rows = df.select("i", *[c.alias(k) for k, c in issuers.industry(F.col("name"), F.col("code"), F.col("text")).items()]).orderBy("i").collect()
+    assert [{k: v for k, v in r.asDict().items() if k != "i" and v} for r in rows] == [r[3] for r in ISSUERS]
+
+
+def test_post_combination(spark):
+    from tesserae.functions import issuers
+
+    told = "After the business combination, see our Consolidated Balance Sheets."
+    busy = "The merger agreement. Cost of sales. " + "Revenue grew. " * 6
+    cases = [(False, False, told, False), (None, None, told, False), (False, True, None, True), (True, True, None, False), (True, True, told, True), (True, True, busy, True), (True, True, busy.replace("Revenue grew. ", "", 1), False)]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, now boolean, earlier boolean, text string")
+    rows = df.select("i", issuers.is_post_combination(F.col("now"), F.col("earlier"), F.col("text")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [c[3] for c in cases]
