@@ -184,10 +184,13 @@ def cross_source_confirm(spark, d):  # M19
     return facts(spark, d).withColumn("n", F.size(F.collect_set("source_type").over(w))).where("n >= 2").select("fact_id")
 
 
-@query("cohort_siblings_all", "+ m AS (SELECT DISTINCT metric_id FROM facts WHERE tier LIKE 'S%') SELECT fact_id FROM facts WHERE metric_id IN (SELECT metric_id FROM m)", "facts")
-def cohort_siblings_all(spark, d):  # C22: of all facts
-    m = facts(spark, d).where(F.col("tier").startswith("S")).select("metric_id").distinct()
-    return facts(spark, d).join(m, "metric_id", "left_semi").select("fact_id")
+@query("cohort_siblings_all", """+ m AS (SELECT fact_id, company_id, quantity, metric_id || CASE WHEN tier LIKE 'S%' THEN '_by_cohort' ELSE '' END AS metric FROM facts),
+s AS (SELECT DISTINCT a.company_id, a.quantity FROM m a JOIN m b ON a.company_id = b.company_id AND a.quantity = b.quantity AND b.metric = a.metric || '_by_cohort')
+SELECT fact_id FROM m JOIN s USING (company_id, quantity)""", "facts")
+def cohort_siblings_all(spark, d):  # C22: facts of one value that stay, as a metric and its sibling by cohort are among them
+    f = facts(spark, d).select("fact_id", "company_id", "quantity", "metric_id", F.coalesce(F.col("tier").startswith("S"), F.lit(False)).alias("by_cohort"))
+    both = f.groupBy("company_id", "quantity", "metric_id").agg((F.bool_or("by_cohort") & ~F.bool_and("by_cohort")).alias("both"))
+    return f.join(both.where("both").select("company_id", "quantity").distinct(), ["company_id", "quantity"], "left_semi").select("fact_id")
 
 
 also("cohort_siblings", "cohort_siblings_all")

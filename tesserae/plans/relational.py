@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import validation as V
 from ..operators.filters import any_of, is_not_true, none_of_or_null, optional, rule
 from ..operators.ranking import dense_total, latest, page, top_per_group
 from .base import also, decisions, facts, pct, pct_sql, query, table
@@ -135,6 +136,26 @@ def validators(spark, d):  # B18, B19
     )
 
 
+@query("input_validators", """WITH r AS (
+  SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' ' || o_orderkey WHEN 1 THEN CAST(o_orderkey AS VARCHAR) || '00000000000' WHEN 2 THEN '../' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS cik,
+         'transcript:' || lpad(CAST(o_custkey AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN 9 ELSE 10 END, '0') || '-24-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') || '/a' AS acc,
+         CAST(o_orderkey % 12000 AS VARCHAR) AS sic, '2023-' || lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS day, o_orderstatus, o_totalprice / 200000 AS score FROM orders
+) SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE lpad(CAST(o_orderkey AS VARCHAR), 10, '0') END AS cik, CASE WHEN o_orderkey % 3 <> 0 THEN substr(acc, 12, 20) END AS accession,
+  CASE WHEN o_orderkey % 12000 BETWEEN 100 AND 9999 THEN lpad(sic, 4, '0') END AS sic, CAST(TRY_CAST(day AS DATE) AS VARCHAR) AS day, coalesce(TRY_CAST(day AS DATE) <= DATE '2023-06-30', FALSE) AS in_order,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, score IS NULL OR score BETWEEN 0 AND 1 AS good_score FROM r""")
+def input_validators(spark, d):  # B18: every validator, on keys that are made right and wrong in turn
+    key, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    turn = key % 4
+    raw = F.when(turn == 0, F.concat(F.lit(" "), text("o_orderkey"))).when(turn == 1, F.concat(text("o_orderkey"), F.lit("0" * 11))).when(turn == 2, F.concat(F.lit("../"), text("o_orderkey"))).otherwise(text("o_orderkey"))
+    padded = F.when(key % 3 == 0, F.lpad(text("o_custkey"), 9, "0")).otherwise(F.lpad(text("o_custkey"), 10, "0"))
+    acc = F.concat(F.lit("transcript:"), padded, F.lit("-24-"), F.lpad((key % 1_000_000).cast("string"), 6, "0"), F.lit("/a"))
+    day = V.date(F.concat(F.lit("2023-"), F.lpad((key % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((key % 33).cast("string"), 2, "0")))
+    return table(spark, d, "orders").select(
+        "o_orderkey", V.cik(raw).alias("cik"), V.accession_within(acc).alias("accession"), V.sic((key % 12_000).cast("string")).alias("sic"), day.cast("string").alias("day"),
+        V.ordered(day, F.lit("2023-06-30").cast("date")).alias("in_order"), V.one_of(F.col("o_orderstatus"), ["F", "O"]).alias("status"), V.score(F.col("o_totalprice") / 200_000).alias("good_score"),
+    )
+
+
 @query("full_outer_presence", """SELECT coalesce(t.c, i.c) AS company_id, coalesce(t.m, i.m) AS metric_id, t.c IS NOT NULL AS in_text, i.c IS NOT NULL AS in_image, coalesce(t.n, 0) AS n_text, coalesce(i.n, 0) AS n_image FROM
  (SELECT company_id AS c, metric_id AS m, count(*) AS n FROM facts WHERE source_type = 'text' GROUP BY ALL) t FULL JOIN (SELECT company_id AS c, metric_id AS m, count(*) AS n FROM facts WHERE source_type = 'chart' GROUP BY ALL) i ON t.c = i.c AND t.m = i.m""", "facts")
 def full_outer_presence(spark, d):  # C4

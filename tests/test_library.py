@@ -305,3 +305,18 @@ def test_post_combination(spark):
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, now boolean, earlier boolean, text string")
     rows = df.select("i", issuers.is_post_combination(F.col("now"), F.col("earlier"), F.col("text")).alias("x")).orderBy("i").collect()
     assert [r.x for r in rows] == [c[3] for c in cases]
+
+
+def test_validators(spark):
+    from tesserae.functions import validation as v
+
+    def check(f, cases):
+        df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
+        assert [r.y for r in df.select("i", f(F.col("x")).cast("string").alias("y")).orderBy("i").collect()] == [y for _, y in cases]
+
+    check(v.cik, [("320193", "0000320193"), (" 7 ", "0000000007"), ("12345678901", None), ("../1", None), ("", None), (None, None)])
+    check(v.accession, [("0000320193-24-000001", "0000320193-24-000001"), ("0000320193-24-00001", None), ("x0000320193-24-000001", None), ("0000320193-24-000001\n.", None), (None, None)])
+    check(v.accession_within, [("transcript:0000320193-24-000001/a", "0000320193-24-000001"), ("none", None), (None, None)])
+    check(v.sic, [("7372", "7372"), ("100", "0100"), ("99", None), ("12345", None), ("73a", None), ("", None)])
+    check(v.date, [("2024-02-29", "2024-02-29"), ("2023-02-29", None), ("2024-2-9", None), ("2024-13-01", None), (None, None)])
+    check(lambda x: v.score(x.cast("double")), [("0", "true"), ("1", "true"), ("1.01", "false"), ("-0.1", "false"), ("NaN", "false"), (None, "true")])
