@@ -38,9 +38,16 @@ def review_number(text: Column) -> Column:
 
 
 def table_scale(text: Column) -> Column:
-    """The factor that a note such as (in thousands) puts on a table; 1 with an exception clause or without a note."""
-    noted = F.regexp_extract(text, TABLE_SCALE, 1)
-    return F.when(text.rlike(r"(?i)except\s+as\s+(?:otherwise\s+)?noted"), 1.0).otherwise(scale_of(noted, TABLE_SCALES))
+    """The factor that a note such as (in thousands) puts on a table; 1 without a note."""
+    return scale_of(F.regexp_extract(text, TABLE_SCALE, 1), TABLE_SCALES)
+
+
+def cell_scale(note: Column, stub: Column, raw: Column) -> Column:
+    """The factor of one cell: that of the table's note, but 1 in a row marked (actual), and for an amount with a currency
+    sign where the note makes exceptions."""
+    own = F.contains(F.lower(stub), F.lit("(actual)"))
+    money = note.rlike(r"(?i)except\s+as\s+(?:otherwise\s+)?noted") & raw.rlike(r"[$€£]")
+    return F.when(F.coalesce(own, F.lit(False)) | F.coalesce(money, F.lit(False)), 1.0).otherwise(table_scale(F.coalesce(note, F.lit(""))))
 
 
 WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}

@@ -45,7 +45,7 @@ def spelled_numbers(spark, d):  # I2, I3
     return spark.createDataFrame([r[:1] for r in SPELLED], "text string").withColumn("value", N.spelled_number(F.col("text")))
 
 
-SCALES = [("Revenue (in thousands)", 1000.0), ("(Amounts in millions, unaudited)", 1e6), ("(in thousands, except as noted)", 1.0), ("plain", 1.0)]
+SCALES = [("Revenue (in thousands)", 1000.0), ("(Amounts in millions, unaudited)", 1e6), ("(in thousands, except as noted)", 1000.0), ("plain", 1.0)]
 
 
 @query("table_scale", _values(SCALES, "text, factor"))
@@ -53,6 +53,14 @@ def table_scale(spark, d):  # I5
     return spark.createDataFrame([r[:1] for r in SCALES], "text string").withColumn("factor", N.table_scale(F.col("text")))
 
 
+@query("scaled_cells", """SELECT l_orderkey, l_linenumber, l_quantity * CASE WHEN l_linenumber = 3 THEN 1.0 WHEN l_orderkey % 5 = 1 THEN 1e3 WHEN l_orderkey % 5 = 2 AND l_returnflag <> 'R' THEN 1e6 WHEN l_orderkey % 5 = 3 THEN 1e9 ELSE 1.0 END AS value FROM lineitem""")
+def scaled_cells(spark, d):  # I5: every line as a cell below its order's note
+    note = F.get(F.array(*map(F.lit, ["Results", "Results (in thousands)", "(Amounts in millions, except as otherwise noted)", "(In billions, unaudited)", "(actual)"])), (F.col("l_orderkey") % 5).cast("int"))
+    stub = F.when(F.col("l_linenumber") == 3, "Orders (Actual)").otherwise("Orders")
+    raw = F.concat(F.when(F.col("l_returnflag") == "R", "$").otherwise(""), F.col("l_quantity").cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * N.cell_scale(note, stub, raw)).alias("value"))
+
+
 PERIODS = [
     ("Q1 2024", "quarterly", "2024-01-01", "2024-03-31"), ("revenue in 3Q23 rose", "quarterly", "2023-07-01", "2023-09-30"), ("Q4'22", "quarterly", "2022-10-01", "2022-12-31"),
     ("FY24", "annual", "2024-01-01", "2024-12-31"), ("full year 2025", "annual", "2025-01-01", "2025-12-31"), ("nine months ended June 30, 2024", "ytd", "2023-10-01", "2024-06-30"),

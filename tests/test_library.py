@@ -320,3 +320,11 @@ def test_validators(spark):
     check(v.sic, [("7372", "7372"), ("100", "0100"), ("99", None), ("12345", None), ("73a", None), ("", None)])
     check(v.date, [("2024-02-29", "2024-02-29"), ("2023-02-29", None), ("2024-2-9", None), ("2024-13-01", None), (None, None)])
     check(lambda x: v.score(x.cast("double")), [("0", "true"), ("1", "true"), ("1.01", "false"), ("-0.1", "false"), ("NaN", "false"), (None, "true")])
+
+
+def test_cell_scale(spark):
+    noted = "(in thousands, except as noted)"
+    cases = [("(in thousands)", "Revenue", "$5", 1e3), (noted, "Revenue", "5", 1e3), (noted, "Revenue", "$5", 1.0), ("(in millions)", "Users (Actual)", "5", 1.0), (None, None, None, 1.0), ("(in billions)", None, None, 1e9)]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, note string, stub string, raw string")
+    rows = df.select("i", numbers.cell_scale(F.col("note"), F.col("stub"), F.col("raw")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [c[3] for c in cases]
