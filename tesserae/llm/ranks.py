@@ -17,17 +17,18 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def before(counts: DataFrame, group: list[str], fine: str, coarse: Column) -> DataFrame:
+def before(counts: DataFrame, group: list[str], fine: str | list[str], coarse: Column) -> DataFrame:
     """``counts`` (group, fine, n) with base, the sum of n over the group's earlier cells. ``coarse`` grows with ``fine``:
     sums of coarse cells are added up first, so no window holds more than the coarse cells of a group or the cells of one."""
+    fine = [fine] if isinstance(fine, str) else fine
     counts = counts.withColumn("_coarse", coarse)
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     tops = counts.groupBy(*group, "_coarse").agg(F.sum("n").alias("_m"))
     tops = tops.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_coarse").alias("_top"), F.coalesce(F.sum("_m").over(upto(*group).orderBy("_coarse")), F.lit(0)).alias("_above"))
-    inner = F.coalesce(F.sum("n").over(upto(*group, "_coarse").orderBy(fine)), F.lit(0))
+    inner = F.coalesce(F.sum("n").over(upto(*group, "_coarse").orderBy(*fine)), F.lit(0))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], F.col("_coarse") == F.col("_top"))
     both = counts.withColumn("base", inner).join(tops, same)
-    return both.select(*group, fine, "n", (F.col("base") + F.col("_above")).alias("base"))
+    return both.select(*group, *fine, "n", (F.col("base") + F.col("_above")).alias("base"))
 
 
 def copies(df: DataFrame, n: str, k: str) -> DataFrame:

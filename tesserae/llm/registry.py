@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, embeddings, lines, media, mixing, neardup, quotes, shards, tokenfiles, toxicity
+from . import bpe, embeddings, lines, media, mixing, neardup, quotes, shards, tokenfiles, toxicity, tries
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_shard_packing": shards.op8_shard_packing,
     "op9_embedding_neardup": embeddings.op9_embedding_neardup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_prefix_trie": tries.op11_prefix_trie,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_source_mix": mixing.OP5_SQL,
     "op6_quote_threads": quotes.OP6_SQL,
     "op9_embedding_neardup": embeddings.OP9_SQL,
+    "op11_prefix_trie": tries.OP11_SQL,
 }
