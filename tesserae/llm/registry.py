@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, embeddings, lines, media, mixing, neardup, quotes, shards, tokenfiles, toxicity, tries
+from . import bpe, embeddings, lines, media, mixing, neardup, neighbours, quotes, shards, tokenfiles, toxicity, tries, whitening
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_embedding_neardup": embeddings.op9_embedding_neardup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_prefix_trie": tries.op11_prefix_trie,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_nearest_neighbours": neighbours.op13_nearest_neighbours,
 }
 
 ORACLES = {
