@@ -6,12 +6,15 @@ a table that is at most ``2**bits`` rows long, whatever the corpus, and is broad
 
 Training takes at most ``max_rows`` labelled documents (those of least hash of doc_id that are in the corpus) and
 ``max_features`` features of them, whichever ends first: the documented bounds of rows and of memory. They are broadcast to
-the scan of the documents, cut to features by all executors and learned from in one task, in the order of that hash.
+the scan of the documents, cut to features by all executors and learned from in one task, in the order of that hash. Of a
+doc_id that repeats, the text of least hash teaches, once; a document with more than a thousandth of ``max_features`` is
+passed over, so that none takes the place of many.
 Features of fewer than ``min_docs`` of these documents would be learnt by heart and are left out. Labels join by doc_id; of
 several labels for one document the largest holds, and null labels teach nothing.
 
 Edge cases: null and empty texts have no features and score as the bias says. Without any labelled row, or with labels
-of one class only, the score is the smoothed share of label 1 for every text. Equal texts get equal scores. A row without
+of one class only, the score is the smoothed share of label 1 for every text; then no text is told from another, and
+``reject`` leaves all rows. Equal texts get equal scores. A row without
 doc_id has no label and counts as held out. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -72,13 +75,17 @@ def train(
     ship(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     chosen = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids only; a label without document takes no place
+    # Ids and hashes only; a label without document takes no place, and one text stands for each id.
+    versions = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("version"))
+    chosen = chosen.join(versions, "doc_id")
     chosen = scratch.save(chosen.withColumn("turn", F.xxhash64(F.lit(7), "doc_id")).orderBy("turn", "doc_id").limit(max_rows), "chosen")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "turn", "doc_id")  # max_rows at most
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).join(F.broadcast(chosen), ["doc_id", "version"]).select("text", "label", "turn", "doc_id")  # max_rows at most
 
     def cut(tables):
+        seen = set()  # max_rows at most: copies of a row are cut once a task
         for t in tables:
-            for texts, label, turn, doc_id in batches(t, ["text", "label", "turn", "doc_id"]):
+            new = [k for k, i in enumerate(t.column(3).to_pylist()) if i not in seen and not seen.add(i)]
+            for texts, label, turn, doc_id in batches(t.take(pa.array(new, pa.int64())), ["text", "label", "turn", "doc_id"]) if new else ():
                 at, doc = grams(encode(texts), bits)
                 distinct = np.unique(doc << bits | at)
                 ends = np.searchsorted(distinct, np.arange(len(texts) + 1) << bits)
@@ -108,12 +115,12 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(w[kept], model.bias))], ["index", "weight"])
 
     features = scratch.save(rows.mapInArrow(tidy(cut), "turn long, doc_id long, label double, features array<int>"), "features")
-    # Of a doc_id that repeats, the texts follow each other by their features, so reruns agree.
-    sizes = features.select("turn", "doc_id", F.xxhash64("features").alias("h"), F.size("features").cast("long").alias("n")).groupBy("turn", "doc_id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    ends = Window.orderBy("turn", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)  # max_rows, and what repeats
-    fitting = sizes.withColumn("upto", F.sum("n").over(ends)).withColumn("nth", F.sum("rows").over(ends)).where((F.col("upto") <= max_features) & (F.col("nth") <= max_rows)).select("turn", "doc_id", "h")
-    features = features.withColumn("h", F.xxhash64("features")).join(F.broadcast(fitting), ["turn", "doc_id", "h"]).select("turn", "doc_id", "label", "features", "h")
-    return features.repartition(1).sortWithinPartitions("turn", "doc_id", "h").mapInArrow(tidy(fit), "index long, weight double")
+    features = scratch.load("features", features).dropDuplicates(["turn", "doc_id"])  # equal copies that several tasks met
+    sizes = features.select("turn", "doc_id", F.size("features").cast("long").alias("n")).where(F.col("n") <= max_features // 1000)
+    ends = Window.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # max_rows
+    fitting = sizes.withColumn("upto", F.sum("n").over(ends)).where(F.col("upto") <= max_features).select("turn", "doc_id")
+    features = features.join(F.broadcast(fitting), ["turn", "doc_id"])
+    return features.repartition(1).select("turn", "doc_id", "label", "features").sortWithinPartitions("turn", "doc_id").mapInArrow(tidy(fit), "index long, weight double")
 
 
 def scorer(spark: SparkSession, weights: DataFrame, bits: int):
@@ -159,7 +166,10 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def reject(docs: DataFrame, weights: DataFrame, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns; all rows where no coordinate has a
+    weight, as then nothing was learned that tells texts apart."""
+    if not weights.where("index >= 0").limit(1).count():
+        return docs
     prepare = scorer(docs.sparkSession, weights, bits)
     at = docs.columns.index("text")
 

@@ -24,6 +24,8 @@ def test_held_out_accuracy(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
     assert (held.predicted == held.toxic).mean() > 0.95
     assert ((held.predicted == 1) & (held.toxic == 0)).mean() < 0.01
+    hits = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hits / (held.predicted == 1).sum() > 0.95 and hits / (held.toxic == 1).sum() > 0.8  # precision and recall of label 1
     pos, neg = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
     assert (pos[:, None] > neg[None, :]).mean() > 0.95
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
@@ -96,6 +98,25 @@ def test_bounds_hold(spark):
     assert docs.where("doc_id is null").select(toxicity.held_out()).first()[0] is True
 
 
+def test_a_repeated_id_takes_no_more_than_its_place(spark):
+    rows = [(i, f"vile words {i % 5}" if i % 2 else f"kind words {i % 5}") for i in range(100)]
+    first = min(range(100), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(7), F.lit(i).cast("long"))).first()[0])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, label int")
+    schema = "doc_id long, text string"
+    plain = toxicity.train(spark.createDataFrame(rows, schema), labels, max_rows=100).collect()
+    copied = toxicity.train(spark.createDataFrame(rows + [rows[first]] * 150, schema).repartition(5), labels, max_rows=100).collect()
+    assert len(plain) > 1 and sorted(map(tuple, plain)) == sorted(map(tuple, copied))
+    varied = rows + [(first, f"other text {k}") for k in range(150)] + [(first, "long " * 10 + " ".join(f"w{k}" for k in range(4000)))]
+    assert toxicity.train(spark.createDataFrame(varied, schema), labels, max_rows=100, max_features=100_000).count() > 1
+
+
+def test_without_both_classes_no_row_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "other text")], "doc_id long, text string")
+    for labels in ([], [(1, 1), (3, 1)]):
+        weights = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, label int"))
+        assert toxicity.reject(docs, weights).count() == 3
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (4, "y " * 200000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, label int")
