@@ -1,17 +1,18 @@
 """Line dedup: lines that many sites share are boilerplate and go. Built of DataFrame functions only.
 
-A line is normalised (runs of white space become one space, ends trimmed, lower case) and known by two 64-bit hashes.
-Sites are counted over distinct texts: a text that several documents have counts once, for the least of their sites. So
-copies of a document, which are a matter for near dedup, don't make its lines boilerplate. HyperLogLog sketches of the
-sites of each line merge by aggregation; where an estimate lies within the sketch's error of the threshold, the sites are
-counted exactly. So the decision equals that of exact counts, and only lines near the threshold pay for it.
+A line is normalised (runs of white space become one space, ends trimmed, lower case) and known by two 64-bit hashes. It is
+boilerplate if ``sites`` distinct sites have it, in as many distinct texts: a page that many sites copy is a matter for
+near dedup, and its lines are nobody's boilerplate. HyperLogLog sketches of each line's sites and texts merge by
+aggregation; where an estimate lies within the sketch's error of the threshold, both are counted exactly. So the decision
+equals that of exact counts, and only lines near the threshold pay for it.
 
 Every document loses its boilerplate lines, however many they are, and keeps its others in order. Only a text of which no
 word would be left stays as it is: it isn't a page that carries boilerplate, it is what the others carry, and without it
 the corpus would lose it altogether.
 
 Edge cases: null and empty texts have no lines and stay as they are. A null site counts as a site of its own. Lines of
-fewer than ``min_words`` words are never boilerplate. Extra columns are kept, whatever their names.
+fewer than ``min_words`` words are never boilerplate. Extra columns are kept, whatever their names;
+only n_lines and n_removed are replaced where counts are asked for.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .ranks import bounded
 from .scratch import Scratch
 
 SITES, MIN_WORDS, LOG_K = 5, 5, 12
+TEXT = ["r1", "r2"]
 
 
 def normalised(line: Column) -> Column:
@@ -33,28 +35,35 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
+def text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("r1"), F.xxhash64(F.lit(1), "text").alias("r2")]
+
+
 def exploded(docs: DataFrame, min_words: int) -> DataFrame:
-    """row (the hash of a text), site, pos and hashes of each line long enough to be judged."""
-    lines = docs.select(F.xxhash64("text").alias("row"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """r1 and r2 (the hashes of a text), site, pos and hashes of each line long enough to be judged."""
+    lines = docs.select(*text_hashes(), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", normalised(F.col("line")))
     lines = lines.where(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1).where("line != ''")
-    lines = lines.select("row", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    # The copies of a text meet here, each line of it on its own, and leave one site.
-    return lines.groupBy("row", "pos", "h1", "h2").agg(F.min("site").alias("site"))
+    lines = lines.select(*TEXT, "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return lines.distinct()  # the copies of a text on a site meet here, each line of it on its own
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, log_k: int = LOG_K) -> DataFrame:
-    """h1, h2 of the lines that may have ``sites`` distinct sites or more; ``near`` where only an exact count tells."""
+    """h1, h2 of the lines that may have ``sites`` distinct sites and texts; ``near`` where only exact counts tell."""
     margin = 1 + int(sites * 4 * 1.04 / 2 ** (log_k / 2))  # four standard errors, and one
-    spread = lines.groupBy("h1", "h2").agg(F.min("site").alias("low"), F.max("site").alias("high"), F.hll_sketch_agg("site", F.lit(log_k)).alias("sketch"))
-    spread = spread.where("low != high").select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
-    return spread.where(F.col("estimate") >= sites - margin).withColumn("near", F.col("estimate") <= sites + margin)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("site", "r1") for n, f in (("low", F.min), ("high", F.max))]
+    shared = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *ends)  # most lines are one text's and need no sketch
+    shared = shared.where((F.col("n") >= sites) & (F.col("low_site") != F.col("high_site")) & (F.col("low_r1") != F.col("high_r1"))).select("h1", "h2")
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(log_k))) for c in ("site", "r1")]
+    spread = lines.join(bounded(shared), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.least(*sketches).alias("least"))
+    return spread.where(F.col("least") >= sites - margin).select("h1", "h2", (F.col("least") <= sites + margin).alias("near"))
 
 
 def exact(lines: DataFrame, near: DataFrame, sites: int) -> DataFrame:
-    """Of the lines in ``near`` those whose exact count of sites reaches the threshold."""
-    pairs = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
-    return pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
+    """Of the lines in ``near`` those whose exact counts of sites and of texts reach the threshold."""
+    own = lines.join(near, ["h1", "h2"], "left_semi")
+    reached = lambda by: own.select("h1", "h2", *by).distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
+    return reached(["site"]).join(reached(TEXT), ["h1", "h2"])
 
 
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, log_k: int = LOG_K, counts: bool = True) -> DataFrame:
@@ -66,11 +75,11 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN
     sure = found.where("not near").select("h1", "h2")
     near = found.where("near").select("h1", "h2")
     bad = scratch.save(sure.unionByName(exact(lines, bounded(near), sites)), "boilerplate")
-    hits = lines.join(bounded(bad), ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("hits"))
+    hits = lines.join(bounded(bad), ["h1", "h2"], "left_semi").groupBy(*TEXT).agg(F.collect_set("pos").alias("hits"))
     hits = scratch.save(hits, "hits").hint("merge")  # a row for each text hit: never broadcast for its small files
     # The caller's columns travel in a struct, so none of their names meets one of ours.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("row"))
-    out = packed.join(hits, "row", "left").select("doc", "hits", F.split("doc.text", "\n").alias("parts"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *text_hashes())
+    out = packed.join(hits, TEXT, "left").select("doc", "hits", F.split("doc.text", "\n").alias("parts"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "hits")
     rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("parts"), i)), "\n")
     out = out.withColumn("n", F.size("parts")).withColumn("rest", F.when(F.col("hits").isNotNull(), rest))
@@ -93,14 +102,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH parts AS (
   SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS arr FROM documents
-), texts AS (SELECT text, min(arr) AS arr, min(site) AS site FROM parts GROUP BY text),
+), texts AS (SELECT DISTINCT text, arr, site FROM parts),
 lines AS (
   SELECT text, site, unnest(range(len(arr))) AS pos,
          lower(trim(regexp_replace(unnest(arr), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS line FROM texts
 ), judged AS (
   SELECT * FROM lines WHERE line <> '' AND length(line) - length(replace(line, ' ', '')) >= 4
 ), bad AS (
-  SELECT line FROM judged GROUP BY line HAVING count(DISTINCT site) >= 5
+  SELECT line FROM judged GROUP BY line HAVING count(DISTINCT site) >= 5 AND count(DISTINCT text) >= 5
 ), hits AS (
   SELECT text, list(DISTINCT pos) AS hits FROM judged WHERE line IN (SELECT line FROM bad) GROUP BY text
 ), cut AS (

@@ -10,20 +10,18 @@ from tesserae.llm import lines
 
 
 def plain(rows, sites, min_words):
-    spread = collections.defaultdict(set)
+    spread, texts = collections.defaultdict(set), collections.defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
     judged = lambda x: bool(norm(x)) and norm(x).count(" ") >= min_words - 1
-    site = {}
     for _, text, source in rows:
-        site[text] = min(site.get(text, source or ""), source or "")
-    for text, source in site.items():
         for x in text.split("\n") if text is not None else []:
             if judged(x):
-                spread[norm(x)].add(source)
+                spread[norm(x)].add(source or "")
+                texts[norm(x)].add(text)
     out = []
     for doc, text, _ in rows:
         parts = text.split("\n") if text is not None else []
-        gone = [judged(x) and len(spread[norm(x)]) >= sites for x in parts]
+        gone = [judged(x) and min(len(spread[norm(x)]), len(texts[norm(x)])) >= sites for x in parts]
         kept = "\n".join(x for x, g in zip(parts, gone, strict=True) if not g)
         whole = not any(gone) or not kept.strip()
         out.append((doc, text if whole else kept, 0 if whole else sum(gone)))
@@ -61,6 +59,14 @@ def test_copies_count_once_and_carriers_lose_all(spark):
     assert lines.remove_boilerplate(df).count() == len(rows)
 
 
+def test_every_site_of_a_text_counts(spark):
+    """Six texts, each on site a and on one more: their line is on seven sites."""
+    rows = [(10 * i + k, f"a line that seven sites have\nown words {i}", site) for i in range(6) for k, site in enumerate(("a", "bcdefg"[i]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lines.remove_boilerplate(df).collect()
+    assert all(r.n_removed == 1 for r in got) and sorted((r.doc_id, r.text, r.n_removed) for r in got) == plain(rows, 5, 5)
+
+
 def test_near_threshold_counts_are_exact(spark):
     for n in (39, 40, 41):
         rows = [(i, f"a line of more than five words\nown {i}", f"site{i % n}") for i in range(2 * n)]
