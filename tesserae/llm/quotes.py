@@ -6,7 +6,7 @@ space collapsed, lower case), so that other line breaks make no difference, hash
 messages that have it as a passage of their own. Where none has, its lines are hashed and joined one by one, and the
 passage goes to the message that has most of them. Of several messages with a passage or line, the earliest of the same
 conversation before the quoting turn is taken, or else the one of least conv_id, and in that of least turn, among the
-other conversations (conversations carry no time). A message replies to what most of its level-1 lines quote, deeper
+other conversations (conversations carry no time); rows without conv_id are one conversation, the last of all. A message replies to what most of its level-1 lines quote, deeper
 levels next, the earlier message in a tie.
 
 Replies within a conversation make trees: thread_turn is the turn of a message's root and depth its distance from that,
@@ -123,7 +123,9 @@ def threads(conversations: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """conv_id, turn, role, position in reply order, body without quotes, thread_turn, depth, reply_conv and reply_turn
     (null: quotes nothing known), n_quoted lines, n_linked passages and max_level of every message."""
     scratch = Scratch(conversations.sparkSession, "quotes")
-    messages = conversations.select("conv_id", "turn", "role", "text").distinct()
+    # In a struct a null conv_id equals another and comes after all others, so no join or comparison loses it.
+    conv = F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id"))
+    messages = conversations.select(conv.alias("conv_id"), "turn", "role", "text").distinct()
     messages = messages.withColumn("msg", F.md5(F.concat_ws("|", F.col("turn").cast("string"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("\x00")))))
     messages = scratch.save(messages, "messages")
     lines = scratch.save(parse(messages.where(F.contains("text", F.lit(">")))), "lines")
@@ -154,11 +156,11 @@ def threads(conversations: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         more = more.withColumnsRenamed({"conv_id": "_conv", "msg": "_msg"})
         out = out.join(more, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("msg") == F.col("_msg")), "left").drop("_conv", "_msg")
     return out.select(
-        "conv_id", "turn", "role", "position", "thread_turn", "depth",
+        "conv_id.id", "turn", "role", "position", "thread_turn", "depth",
         F.coalesce("rest", "text", F.lit("")).alias("body"),
-        F.col("src.conv_id").alias("reply_conv"), F.col("src.turn").alias("reply_turn"),
+        F.col("src.conv_id.id").alias("reply_conv"), F.col("src.turn").alias("reply_turn"),
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"),
-    )
+    ).withColumnRenamed("id", "conv_id")
 
 
 def op6_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +171,7 @@ def op6_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE m AS (
-  SELECT DISTINCT conv_id, turn, role, text,
+  SELECT DISTINCT struct_pack(n := conv_id IS NULL, id := conv_id) AS conv_id, turn, role, text,
          md5(concat_ws('|', CAST(turn AS VARCHAR), coalesce(role, ''), coalesce(text, chr(0)))) AS msg FROM conversations
 ), l AS (
   SELECT conv_id, turn, msg, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS raw FROM m
@@ -211,9 +213,9 @@ kept AS (
   SELECT conv_id, msg, msg AS root, turn AS root_turn, 0 AS depth FROM node WHERE up IS NULL
   UNION ALL SELECT n.conv_id, n.msg, tree.root, tree.root_turn, tree.depth + 1 FROM node n JOIN tree ON n.conv_id = tree.conv_id AND n.up = tree.msg
 )
-SELECT m.conv_id, m.turn, m.role, CAST(root_turn AS BIGINT) AS thread_turn, CAST(depth AS BIGINT) AS depth,
+SELECT m.conv_id.id AS conv_id, m.turn, m.role, CAST(root_turn AS BIGINT) AS thread_turn, CAST(depth AS BIGINT) AS depth,
        row_number() OVER (PARTITION BY m.conv_id ORDER BY root_turn, root, depth, up_turn NULLS FIRST, m.turn, m.role NULLS FIRST, m.msg) AS position,
-       rep.src.c AS reply_conv, rep.src.t AS reply_turn, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+       rep.src.c.id AS reply_conv, rep.src.t AS reply_turn, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
        CAST(coalesce(max_level, 0) AS BIGINT) AS max_level, md5(coalesce(rest, m.text, '')) AS body_md5
 FROM m JOIN node n USING (conv_id, msg) JOIN tree USING (conv_id, msg)
 LEFT JOIN kept USING (conv_id, msg) LEFT JOIN rep USING (conv_id, msg) LEFT JOIN lk USING (conv_id, msg)

@@ -58,6 +58,16 @@ def test_passages_trees_and_sources_elsewhere(spark):
     assert got[None, 0].position == 1 and got[None, 0].body == "no conversation at all"
 
 
+def test_rows_without_conversation(spark):
+    """They are one conversation, after all others: a passage of theirs hides no other's, and they link among themselves."""
+    rows = [(1, 1, "a", "these are some words"), (2, 2, "b", "> these are some words\nyes"), (None, 5, "c", "these are some words")]
+    rows += [(None, 6, "d", "only said where nobody knows"), (None, 7, "e", "> only said where nobody knows\nno"), (3, 0, "f", "> only said where nobody knows")]
+    got = {(r.conv_id, r.turn): r for r in quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2, 2].reply_conv, got[2, 2].reply_turn) == (1, 1)
+    assert (got[None, 7].reply_conv, got[None, 7].reply_turn, got[None, 7].thread_turn, got[None, 7].depth) == (None, 6, 6, 1)
+    assert (got[3, 0].reply_conv, got[3, 0].reply_turn) == (None, 6) and len(got) == len(rows)
+
+
 def made(seed=1, conversations=60, turns=40):
     """Conversations at scale: nested, re-wrapped, partial and cross-conversation quotes, and lines that everyone writes."""
     rng, rows, said = random.Random(seed), [], []
@@ -83,7 +93,7 @@ def made(seed=1, conversations=60, turns=40):
 
 
 def test_query_equals_sql(spark, sf_dir, tmp_path):
-    rows = ROWS + [(1000 + c, *rest) for c, *rest in made()]
+    rows = ROWS + [(1000 + c, *rest) for c, *rest in made()] + [(None, *rest) for c, *rest in made(seed=2, conversations=3)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     for d, files in ((str(tmp_path), "conversations.parquet/*.parquet"), (sf_dir, "conversations.parquet")):
         df = quotes.op6_quote_threads(spark, d)
