@@ -84,7 +84,6 @@ def library_encoder(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     one = lambda x: np.asarray(t.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32)
     mark = one("\n")
 
@@ -115,16 +114,29 @@ def _memo(path: str) -> Memo:
     return _memos[path]
 
 
+def added_tokens(path: str) -> list[str]:
+    """Strings that the library finds in a text before anything else, wherever they stand."""
+    from tokenizers import Tokenizer
+
+    return [x.content for x in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
+def whole_or_pieces(memo: Memo, added: list[str], texts: list) -> list[np.ndarray]:
+    """Ids of each text: from its pieces, or as a whole where it has an added token, which pieces would tear."""
+    whole = [x is not None and any(a in x for a in added) for x in texts]
+    ids, at = memo.texts([None if w else x for x, w in zip(texts, whole, strict=True)])
+    return [memo.encode([x], [False])[0] if w else ids[b:e] for x, w, b, e in zip(texts, whole, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """doc_id, n_tokens and the compressed ids of each text with the end id behind."""
     ship(docs.sparkSession)
 
     def run(tables):
-        memo, squeeze = _memo(tokenizer), zstandard.ZstdCompressor(level=1)
+        memo, added, squeeze = _memo(tokenizer), added_tokens(tokenizer), zstandard.ZstdCompressor(level=1)
         for t in tables:
             for texts, doc_ids in batches(t, ["text", "doc_id"]):
-                ids, at = memo.texts(texts)
-                made = [np.append(ids[b:e], np.uint32(end_id)) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                made = [np.append(ids, np.uint32(end_id)) for ids in whole_or_pieces(memo, added, texts)]
                 # Bytes of equal weight side by side compress better.
                 packed = [squeeze.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for x in made]
                 yield pa.RecordBatch.from_arrays(

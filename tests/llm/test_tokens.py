@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,7 +101,6 @@ def test_token_files_query(spark, sf_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
     got = tokenfiles.op2_token_files(spark, sf_dir).toPandas().sort_values("doc_id")
     start, want = 0, []
@@ -129,6 +129,19 @@ def test_token_files_of_odd_texts_and_none(spark, odd, tmp_path):
         assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n\n c", "no <|endoftext| token", "x" * 5000 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
+    expand = zstandard.ZstdDecompressor()
+    assert {r.doc_id: tokenfiles._ids(bytes(r.ids), expand).tolist() for r in tokenfiles.encode_texts(df, path).collect()} == want
+    assert want[0] == [50256, 0]
+
+
 def test_bpe_query_of_odd_texts_and_none(spark, odd):
     ref = reference()
     path, pattern = bpe.vocabulary()
