@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 NUMBER = r"(?i)(-)?([$€£])?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(million|billion|thousand|mn|bn|k|m|b|x)?\s*(%|percent)?"
 SCALES = {"thousand": 1e3, "k": 1e3, "million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9}
 TABLE_SCALES = {"hundreds": 1e2, "thousands": 1e3, "millions": 1e6, "billions": 1e9}
+# A number with its sign, currency, scale and percent as it stands in running text.
+IN_TEXT = r"(?<![\w.,])-?[$€£]?\s?\d(?:[\d,]*\d)?(?:\.\d+)?(?:\s*(?:million|billion|thousand|mn|bn|k|m|b|x)\b)?(?:\s*%|\s+percent\b)?"
 TABLE_SCALE = r"(?i)\(\s*(?:in|amounts?\s+in)\s+(thousands|millions|billions|hundreds)\b[^)]*\)"
 
 
@@ -50,6 +52,27 @@ def cell_scale(note: Column, stub: Column, raw: Column) -> Column:
     return F.when(F.coalesce(own, F.lit(False)) | F.coalesce(money, F.lit(False)), 1.0).otherwise(table_scale(F.coalesce(note, F.lit(""))))
 
 
+# Metrics whose bare numbers are percentages where the context speaks of retention, and the words for that.
+PERCENT_BY_CONTEXT = ["cm_net_revenue_retention", "cm_gross_revenue_retention", "cm_gross_retention_rate"]
+RETENTION = r"(?i)retention|retained|churn|renewal|ndr|nrr|grr|dollar-based net expansion"
+# What may stand before a spelled number.
+APPROXIMATE = r"(?i)\b(?:about|roughly|approximately|nearly|almost|around|over|more\s+than|close\s+to|just\s+under|just\s+over|exceeded|surpassed|topped)\s+"
+
+
+def promoted_unit(metric: Column, unit: Column, context: Column) -> Column:
+    """A bare number of a retention metric is a percentage where the context speaks of retention."""
+    bare = unit.isin("count", "other") & metric.isin(PERCENT_BY_CONTEXT)
+    return F.when(bare & context.rlike(RETENTION), "percent").otherwise(unit)
+
+
+def cell_number(text: Column) -> Column:
+    """A cell's first number, or its spelled one, with approximations taken off."""
+    spelled = F.regexp_replace(text, APPROXIMATE, "")
+    unit = F.when(spelled.rlike(r"[$€£]"), "currency").otherwise("count")
+    word = F.struct(spelled_number(spelled).alias("value"), unit.alias("unit"), F.trim(spelled).alias("raw"))
+    return F.coalesce(parse_number(text), F.when(word["value"].isNotNull(), word))
+
+
 WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
 
 

@@ -17,7 +17,6 @@ from .base import query, table
 
 NEAR = 100  # characters between a mention and its value at most
 LEAD = "The figures below describe how our business developed over time. "
-NUMBER = r"(?<![\w.,])-?[$€£]?\s?\d(?:[\d,]*\d)?(?:\.\d+)?(?:\s*(?:million|billion|thousand|mn|bn|k|m|b|x)\b)?(?:\s*%|\s+percent\b)?"
 MONTH_BEFORE = rf"(?i)\b(?:{numbers.MONTHS})\s+$"
 
 
@@ -84,7 +83,7 @@ def bindings(mentions: DataFrame) -> DataFrame:
     """Numbers within NEAR characters of a mention, those of its sentence or else the nearest one, in units that the metric
     allows. A percent-only metric takes no bare number, nor does a currency."""
     units = rules.allowed_units()
-    values = mentions.withColumn("number", F.explode(catalogue.spans(F.col("text"), NUMBER)))
+    values = mentions.withColumn("number", F.explode(catalogue.spans(F.col("text"), numbers.IN_TEXT)))
     start, end = F.col("number.start"), F.col("number.end")
     values = values.where((start >= F.col("start") - NEAR) & (end <= F.col("end") + NEAR))
     values = once(values, "read", numbers.parse_number(F.trim("number.match"))).where("read is not null")
