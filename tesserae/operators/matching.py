@@ -1,20 +1,26 @@
-"""Greedy algorithms whose order of choices matters, run group by group.
+"""Greedy algorithms whose order of choices matters: by rounds of choices that no other can change, and group by group.
 
-A group here is what one company states for one metric, so its size follows a document and not the corpus. Groups lie
-side by side in sorted partitions and are cut out of Arrow batches, so millions of groups cost no call each; groups of
-one row need no Python loop at all.
+Where a group may be large, rounds of joins take all choices that stand whatever else is chosen. Where a group is what one
+document states for one metric, groups lie side by side in sorted partitions and are cut out of Arrow batches, so millions
+of groups cost no call each; groups of one row need no Python loop at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
 from ..shipping import ship
+from .ranges import near_join
+
+LOCAL = 50_000  # pairs or edges of a few longs that one task may go down
 
 
 def _side_by_side(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -42,14 +48,30 @@ def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
         yield held, bounds(held)
 
 
-def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
-    """Pairs by score (then ids), each id used once on its side."""
-    ship(pairs.sparkSession)
-    kinds = dict(pairs.dtypes)
+def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str, local: int = LOCAL) -> DataFrame:
+    """Pairs by score (then ids), each id used once on its side of its group.
+
+    A pair that is the best of both its ids is one that going down the list would take, whatever else is taken, so all
+    such pairs are taken at once and what has an id of theirs goes; the rest is the same task again. A round is two
+    grouped maxima and joins, so no group is one task's, however large. Once ``local`` pairs or fewer are left, counted
+    first, one task goes down the list."""
+    spark = pairs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "matches")
+    names = {"g": group, "l": left, "r": right}
+    now = scratch.again(pairs.where(F.col(score).isNotNull()).select(F.col(group).alias("g"), F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).alias("s")).distinct())
+    taken = []
+    while now.count() > local:
+        best = F.min(F.struct((-F.col("s")).alias("s"), "l", "r"))
+        of_l = now.groupBy("g", "l").agg(best.alias("b")).select("g", "b.l", "b.r")
+        of_r = now.groupBy("g", "r").agg(best.alias("b")).select("g", "b.l", "b.r")
+        both = scratch.again(_same(of_l, of_r, ["g", "l", "r"], "left_semi"))
+        taken.append(both)
+        now = scratch.again(_same(_same(now, both.select("g", "l"), ["g", "l"], "left_anti"), both.select("g", "r"), ["g", "r"], "left_anti"))
 
     def run(frames):
         for df, at in _whole_groups(frames):
-            a, b, keep = df[left].to_numpy(), df[right].to_numpy(), np.zeros(len(df), bool)
+            a, b, keep = df["l"].to_numpy(), df["r"].to_numpy(), np.zeros(len(df), bool)
             for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 used_left, used_right = set(), set()
                 for k in range(begin, end):
@@ -57,35 +79,83 @@ def greedy_one_to_one(pairs: DataFrame, group: str, left: str, right: str, score
                         used_left.add(a[k])
                         used_right.add(b[k])
                         keep[k] = True
-            yield df.loc[keep, [group, left, right]]
-
-    dealt = _side_by_side(pairs.select(group, left, right, score), [group], [F.desc(score), left, right])
-    return dealt.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right)))
-
-
-def within(value: float, other: float, tolerance: float) -> bool:
-    """Relative to ``other``; against zero only zero is near."""
-    return value == 0 if other == 0 else abs(value - other) / abs(other) <= tolerance
-
-
-def group_within_tolerance(df: DataFrame, keys: list[str], id_: str, value: str, tolerance: float, order: str | None = None) -> DataFrame:
-    """id and group_id, the first id of its group: rows in order, each taking the later ones within tolerance of it."""
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
+            yield df.loc[keep, ["g", "l", "r"]]
+
+    kinds = dict(now.dtypes)
+    out = _side_by_side(now, ["g"], [F.desc("s"), "l", "r"]).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    for part in taken:
+        out = out.unionByName(part)
+    return out.withColumnsRenamed(names)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A semi or anti join in which nulls are equal."""
+    b = b.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return a.join(b, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), how)
+
+
+def first_come(rows: DataFrame, edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """node and seed: going down the list, a node that no seed covers is a seed, and any other belongs to the first seed
+    that covers it. ``rows`` has node; ``edges`` has by, to, by_rank and to_rank: the node ``by`` covers ``to`` and comes before it.
+
+    Nodes that cover others and that no undecided node covers are seeds, whatever else is chosen, and what they cover is
+    none; then both are decided and the rest is the same task again. A round is distincts and joins, so no group is one
+    task's. Once ``local`` edges or fewer are undecided, counted first, one task goes down the list of them."""
+    spark = rows.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "groups")
+    edges = scratch.again(edges.select("by", "to", "by_rank", "to_rank"))
+    live, taken = edges, []
+    named = lambda df, c, name="node": df.select(F.col(c).alias(name)).distinct()
+    while live.count() > local:
+        new = scratch.again(named(live, "by").join(named(live, "to"), "node", "left_anti"))
+        gone = scratch.again(named(live.join(named(new, "node", "by"), "by", "left_semi"), "to"))
+        taken.append(gone)
+        decided = new.unionByName(gone)
+        live = scratch.again(live.join(named(decided, "node", "by"), "by", "left_anti").join(named(gone, "node", "to"), "to", "left_anti"))
 
     def run(frames):
-        for part, at in _whole_groups(frames):
-            ids, values, owner = part[id_].to_numpy(), part[value].to_numpy(float), np.arange(len(part))
-            for b, e in zip(at[:-1][np.diff(at) > 1].tolist(), at[1:][np.diff(at) > 1].tolist(), strict=True):
-                v, own = values[b:e], np.full(e - b, -1)
-                for i in range(e - b):
-                    if own[i] < 0:
-                        near = np.where(v[i:] == 0, v[i] == 0, np.abs(v[i] - v[i:]) <= tolerance * np.abs(v[i:]))
-                        near[0] = True
-                        own[i:][(own[i:] < 0) & near] = i
-                owner[b:e] = own + b
-            yield pd.DataFrame({id_: ids, "group_id": ids[owner]})
-
-    used = list(dict.fromkeys([*keys, id_, value, order or id_]))
-    dealt = _side_by_side(df.select(*used), keys, list(dict.fromkeys([order or id_, id_])))
-    return dealt.select("_g", id_, value).mapInPandas(run, f"{id_} {kinds[id_]}, group_id {kinds[id_]}")
+        gone = set()
+        for df in frames:
+            for by, to in zip(df["by"].tolist(), df["to"].tolist(), strict=True):
+                if by not in gone:  # all that come before are decided, so it is a seed
+                    gone.add(to)
+        yield pd.DataFrame({"node": pd.Series(list(gone), dtype=object)})
+
+    kind = dict(edges.dtypes)["by"]
+    last = live.repartition(1).sortWithinPartitions("by_rank", "by").select("by", "to").mapInPandas(run, f"node {kind}")
+    for part in taken:
+        last = last.unionByName(part)
+    last = scratch.again(last)
+    seeds = edges.join(last.select(F.col("node").alias("by")), "by", "left_anti")
+    owner = seeds.groupBy(F.col("to").alias("node")).agg(F.min_by("by", F.struct("by_rank", "by")).alias("seed"))
+    return rows.select("node").join(owner, "node", "left").select("node", F.coalesce("seed", "node").alias("seed"))
+
+
+def tolerance_groups(
+    df: DataFrame, keys: list[str], id_: str, value: str, tolerance: float, order: Column | None = None, zero: float = 0.0, also: list[str] = (), compatible=None, local: int = LOCAL
+) -> DataFrame:
+    """id and group_id: rows of equal ``keys`` (null equals null) in ``order`` (or by id; ties by id and value), each taking the later ones whose
+    values it is within ``tolerance`` of (relative to theirs), unless one before it has. With ``compatible``, a condition on two structs of
+    the columns ``also``, only rows that it admits are taken.
+
+    Rows equal in keys, value and ``also`` share their lot with the first of them, so only firsts are compared."""
+    scratch = Scratch(df.sparkSession, "tolerance")
+    rank = F.col(id_) if order is None else order
+    same = ["bucket", "v", "w"]
+    rows = df.select(F.col(id_).alias("id"), F.struct(*keys).alias("bucket"), (F.col(value).cast("double") + F.lit(0.0)).alias("v"), F.struct(F.lit(0).alias("none"), *also).alias("w"), rank.alias("rank"))
+    rows = scratch.again(rows)
+    # Ids may repeat, so each class has a number of its own, fixed once it is written.
+    firsts = rows.groupBy(*same).agg(F.min(F.struct("rank", "id")).alias("f")).select(*same, "f.rank", "f.id", F.monotonically_increasing_id().alias("node"))
+    firsts = scratch.again(firsts.withColumn("order", F.struct("rank", "id", "v", "w")))
+    other = firsts.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("v", "w", "order", "node")])
+    pairs = near_join(firsts, other, ["bucket"], "v", "v2", tolerance, zero).where("order < order2")
+    if compatible is not None:
+        pairs = pairs.where(compatible(F.col("w"), F.col("w2")))
+    edges = pairs.select(F.col("node").alias("by"), F.col("node2").alias("to"), F.col("order").alias("by_rank"), F.col("order2").alias("to_rank"))
+    seeds = first_come(firsts.select("node"), edges, local)
+    owner = firsts.join(seeds, "node").join(firsts.select(F.col("node").alias("seed"), F.col("id").alias("group_id")), "seed")
+    owner = owner.select("group_id", *[F.col(c).alias(f"_{c}") for c in same])
+    # NaN equals NaN and null equals null here, as in the grouping.
+    joined = rows.select("id", *same).join(owner, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]))
+    return joined.select(F.col("id").alias(id_), "group_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, dataflow, documents, extraction, mining, relational, scoring, tables, values  # noqa: F401  they register themselves
+from . import analytics, dataflow, dedup, documents, extraction, mining, relational, scoring, tables, values  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES  # noqa: F401
 
 

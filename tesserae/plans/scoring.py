@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.matching import greedy_one_to_one, group_within_tolerance
-from .base import decisions, facts, query
+from ..operators.counting import at_rank, percentile, positions
+from ..operators.matching import greedy_one_to_one, tolerance_groups
+from ..operators.ranges import near_join, overlap_join
+from .base import FACTS_SQL, decisions, facts, query
+from .dedup import BEST_SQL, first_come_sql
+from .extraction import SOURCE_RANK
 
 GOLD_SQL = """g AS (SELECT metric_id, company_id, fact_id, confidence, fact_id % 3 <> 0 AS in_gold, confidence >= 0.94 AS predicted FROM facts)"""
 
@@ -63,17 +66,15 @@ def best_threshold(spark, d):  # D19: most recall above a floor of precision
 
 
 @query("percentiles", "SELECT metric_id, min(value) AS least, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.99), 4) AS p99, max(value) AS most FROM facts GROUP BY metric_id", "facts")
-def percentiles(spark, d):  # D20: linear interpolation
-    p = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.99)))
-    g = facts(spark, d).groupBy("metric_id").agg(F.min("value").alias("least"), p.alias("p"), F.max("value").alias("most"))
-    return g.select("metric_id", "least", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p25", "p50", "p99"))], "most")
+def percentiles(spark, d):  # D20: linear interpolation between two ranks
+    at = positions(facts(spark, d), "metric_id", "value").groupBy("metric_id")
+    return at.agg(F.min("value").alias("least"), *[F.round(percentile("value", p), 4).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99))], F.max("value").alias("most"))
 
 
 @query("p90_index", "SELECT metric_id, list_sort(list(value))[least(CAST(floor(0.9 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p90 FROM decisions GROUP BY metric_id", "decisions")
-def p90_index(spark, d):  # D21: nearest index by rank, without collecting a group's values
-    w = Window.partitionBy("metric_id")
-    ranked = decisions(spark, d).select("metric_id", "value", F.row_number().over(w.orderBy("value", "decision_id")).alias("rn"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("rn") == F.least(F.floor(F.col("n") * F.lit(0.9)), F.col("n") - 1) + 1).select("metric_id", F.col("value").alias("p90"))
+def p90_index(spark, d):  # D21: nearest index by rank
+    total = F.col("total")
+    return positions(decisions(spark, d), "metric_id", "value").groupBy("metric_id").agg(at_rank("value", F.least(F.floor(total * F.lit(0.9)), total - 1)).alias("p90"))
 
 
 @query("hist_bins", """+ r AS (SELECT min(value) AS a, max(value) AS b FROM facts) SELECT CAST(least(10, floor((value - a) / (b - a) * 10) + 1) AS BIGINT) AS bin, count(*) AS n FROM facts, r GROUP BY 1""", "facts")
@@ -131,37 +132,50 @@ SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM a JOIN b ON a.company_id
 def band_join(spark, d):  # C19, I6: a tolerance relative to the right side
     f = facts(spark, d)
     side = lambda s, p: f.where(F.col("source_type") == s).select("company_id", "metric_id", F.col("fact_id").alias(p + "_id"), F.col("value").alias(p))
-    near = side("text", "left").join(side("chart", "right"), ["company_id", "metric_id"])
-    return near.where(F.abs(F.col("left") - F.col("right")) <= 0.02 * F.abs("right")).select("left_id", "right_id")
+    return near_join(side("text", "left"), side("chart", "right"), ["company_id", "metric_id"], "left", "right", 0.02).select("left_id", "right_id")
 
 
 @query("interval_overlap_join", """+ p AS (SELECT fact_id, company_id, metric_id, filing_date AS s, period_end AS e FROM facts) SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM p a JOIN p b ON a.company_id = b.company_id AND a.metric_id = b.metric_id AND a.fact_id < b.fact_id AND NOT (a.e < b.s OR b.e < a.s)""", "facts")
 def interval_overlap_join(spark, d):  # C18
-    p = facts(spark, d).select("company_id", "metric_id", F.col("fact_id").alias("left_id"), F.col("filing_date").alias("s"), F.col("period_end").alias("e"))
-    q = p.select("company_id", "metric_id", F.col("left_id").alias("right_id"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return p.join(q, ["company_id", "metric_id"]).where("left_id < right_id and not (e < s2 or e2 < s)").select("left_id", "right_id")
+    pairs = overlap_join(facts(spark, d), ["company_id", "metric_id"], "fact_id", "filing_date", "period_end")
+    return pairs.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
 
 
-@query("greedy_match")
+# A step takes the first pair of each company's list whose ids are free.
+GREEDY_SQL = """WITH RECURSIVE facts_ AS (SELECT * FROM ({facts})),
+a AS (SELECT fact_id, company_id, metric_id, value, confidence FROM facts_ WHERE source_type = 'text'), b AS (SELECT fact_id, company_id, metric_id, value FROM facts_ WHERE source_type = 'chart'),
+p AS (SELECT a.company_id, list(struct_pack(l := a.fact_id, r := b.fact_id) ORDER BY a.confidence DESC, a.fact_id, b.fact_id) AS ps
+      FROM a JOIN b ON a.company_id = b.company_id AND a.metric_id = b.metric_id AND abs(a.value - b.value) <= 0.02 * abs(b.value) GROUP BY a.company_id),
+g AS (SELECT company_id, ps, 1 AS i, ps[1:0] AS taken FROM p
+      UNION ALL SELECT company_id, ps, i + 1, CASE WHEN len(list_filter(taken, lambda t: t.l = ps[i].l OR t.r = ps[i].r)) = 0 THEN list_append(taken, ps[i]) ELSE taken END FROM g WHERE i <= len(ps))
+SELECT company_id, x.l AS left_id, x.r AS right_id FROM (SELECT company_id, unnest(taken) AS x FROM g WHERE i = len(ps) + 1)"""
+FACTS_QUERY = "WITH " + FACTS_SQL + " SELECT * FROM facts"
+
+
+@query("greedy_match", GREEDY_SQL.format(facts=FACTS_QUERY))
 def greedy_match(spark, d):  # C20: each side once, best first
-    pairs = band_join(spark, d).join(facts(spark, d).select(F.col("fact_id").alias("left_id"), "company_id", "confidence"), "left_id")
+    f = facts(spark, d)
+    texts = f.where("source_type = 'text'").select("company_id", "metric_id", F.col("fact_id").alias("left_id"), F.col("value").alias("left"), "confidence")
+    charts = f.where("source_type = 'chart'").select("company_id", "metric_id", F.col("fact_id").alias("right_id"), F.col("value").alias("right"))
+    pairs = near_join(texts, charts, ["company_id", "metric_id"], "left", "right", 0.02)
     return greedy_one_to_one(pairs, "company_id", "left_id", "right_id", "confidence")
 
 
-@query("fuzzy_dedup")
+GROUPS_SQL = """WITH RECURSIVE facts_ AS (SELECT * FROM ({facts})), {groups} SELECT id AS fact_id, seed AS group_id FROM g"""
+NEAR_ONLY_SQL = "CASE WHEN {a}.v = 0 OR {b}.v = 0 THEN {a}.v = {b}.v ELSE abs({a}.v - {b}.v) <= 0.02 * abs({b}.v) END"
+ITEM_SQL = "struct_pack(id := fact_id, v := value)"
+
+
+@query("fuzzy_dedup", GROUPS_SQL.format(facts=FACTS_QUERY, groups=first_come_sql("g", "facts_", "company_id, metric_id, source_type", ITEM_SQL, "fact_id, value", NEAR_ONLY_SQL)))
 def fuzzy_dedup(spark, d):  # M15: greedy groups within 2 %, in input order
-    f = facts(spark, d).select("company_id", "metric_id", "source_type", "fact_id", "value")
-    return group_within_tolerance(f, ["company_id", "metric_id", "source_type"], "fact_id", "value", 0.02)
+    return tolerance_groups(facts(spark, d), ["company_id", "metric_id", "source_type"], "fact_id", "value", 0.02)
 
 
-@query("fuzzy_dedup_periods")
+@query("fuzzy_dedup_periods", GROUPS_SQL.format(facts=FACTS_QUERY, groups=first_come_sql("g", "facts_", "company_id, metric_id, source_type = 'chart'", ITEM_SQL, BEST_SQL + ", value", NEAR_ONLY_SQL)))
 def fuzzy_dedup_periods(spark, d):  # M17: periods ignored, charts apart, best sources first
-    from .extraction import SOURCE_RANK
-
-    rank = SOURCE_RANK(F.col("source_type"))
-    f = facts(spark, d).withColumn("kind", F.col("source_type") == "chart").withColumn("seq", F.struct(-rank, -F.col("confidence"), -F.col("fact_id")))
-    order = F.row_number().over(Window.partitionBy("company_id", "metric_id", "kind").orderBy("seq"))
-    return group_within_tolerance(f.select("company_id", "metric_id", "kind", "fact_id", "value", order.alias("seq")), ["company_id", "metric_id", "kind"], "fact_id", "value", 0.02, "seq")
+    order = F.struct((-SOURCE_RANK(F.col("source_type"))).alias("a"), (-F.col("confidence")).alias("b"), (-F.col("fact_id")).alias("c"))
+    f = facts(spark, d).withColumn("kind", F.col("source_type") == "chart")
+    return tolerance_groups(f, ["company_id", "metric_id", "kind"], "fact_id", "value", 0.02, order=order)
 
 
 @query("logistic_scores")

@@ -198,24 +198,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
 
 
-def test_greedy_groups_and_matches(spark):
-    rng = random.Random(2)
-    rows = [(i % 3, i, round(rng.choice([100, 200]) * (1 + rng.uniform(-0.03, 0.03)), 3)) for i in range(60)] + [(0, 100, 0.0), (0, 101, 0.0)]
-    got = {r.id: r.group_id for r in matching.group_within_tolerance(spark.createDataFrame(rows, "k int, id int, v double"), ["k"], "id", "v", 0.02).collect()}
-    want = {}
-    for k in range(3):
-        own = sorted((i, v) for g, i, v in rows if g == k)
-        for a, (i, v) in enumerate(own):
-            if i not in want:
-                want[i] = i
-                for j, w in own[a + 1 :]:
-                    if j not in want and matching.within(v, w, 0.02):
-                        want[j] = i
-    assert got == want
-    pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.7), (1, 2, 2, 0.1)], "g int, l int, r int, s double")
-    assert sorted((r.l, r.r) for r in matching.greedy_one_to_one(pairs, "g", "l", "r", "s").collect()) == [(1, 1), (2, 2)]
-
-
 def test_streams(spark, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     rows = lambda a, b: spark.range(a, b).select(F.col("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=F.col("id").cast("int"))).alias("ts"), F.lit("x").alias("k"))
