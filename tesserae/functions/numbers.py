@@ -208,14 +208,14 @@ def parse_cohort_label(label: Column) -> Column:
     part = lambda p, k=1: F.nullif(F.regexp_extract(label, p, k), F.lit(""))
     cohort = r"(?i)\b((?:19|20)\d{2})\b\s*cohort|cohort\s*(?:of\s*)?\b((?:19|20)\d{2})\b"
     year = F.coalesce(part(cohort), part(cohort, 2))
-    months, years = r"(?i)(\d+)\s*-\s*(\d+)\s*months?", r"(?i)(\d+)\s*-\s*(\d+)\s*years?"
+    months, years = r"(?i)(\d+)\s*-\s*(\d+)\s*(?:months?|mos?\b)", r"(?i)(\d+)\s*-\s*(\d+)\s*years?"
     plus, less = r"(?i)(\d+)\s*\+\s*years?", r"(?i)(?:less\s+than|<)\s*(\d+)"
     in_years = lambda c: (c.try_cast("int") / 12).cast("int")
     bucket = F.coalesce(
         F.concat(in_years(part(months)).cast("string"), F.lit("-"), in_years(part(months, 2)).cast("string"), F.lit("y")),
         F.concat(part(years), F.lit("-"), part(years, 2), F.lit("y")),
         F.concat(part(plus), F.lit("y+")),
-        F.concat(F.lit("<"), F.when(label.rlike("(?i)month"), in_years(part(less)).cast("string")).otherwise(part(less)), F.lit("y")),
+        F.concat(F.lit("<"), F.when(label.rlike(r"(?i)month|\bmos?\b"), in_years(part(less)).cast("string")).otherwise(part(less)), F.lit("y")),
     )
     kind = F.when(year.isNotNull(), "acquisition").when(bucket.isNotNull(), "tenure").otherwise("other")
     return F.when(F.coalesce(label, F.lit("")) != "", F.struct(kind.alias("kind"), F.coalesce(year, bucket, label).alias("bucket")))

@@ -140,12 +140,20 @@ def speaker_role(speaker: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """Fences and text around the outermost braces off, trailing commas out, missing closing brackets added."""
+    """Fences and text around the outermost braces off, trailing commas out; an open string and open
+    brackets are closed, the innermost first."""
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?(?=[{\[])", ""), r"(?s)```.*$", "")
     body = F.regexp_replace(F.trim(body), r",\s*([}\]])", "$1")
     body = F.regexp_replace(body, r",\s*$", "")
-    odd = (F.length(F.regexp_replace(body, r'\\"|[^"]', "")) % 2) == 1
-    body = F.when(odd, F.concat(body, F.lit('"'))).otherwise(body)
-    count = lambda ch: F.length(body) - F.length(F.replace(body, F.lit(ch), F.lit("")))
-    lists, objects = F.greatest(count("[") - count("]"), F.lit(0)), F.greatest(count("{") - count("}"), F.lit(0))
-    return F.concat(body, F.repeat(F.lit("]"), lists), F.repeat(F.lit("}"), objects))
+    start = F.struct(F.lit("").alias("close"), F.lit(False).alias("said"), F.lit(False).alias("escaped"))
+
+    def read(state: Column, c: Column) -> Column:
+        """What must still be closed behind a character, innermost first, and whether it lies in a string."""
+        said, plain = state["said"], ~state["said"]
+        close = F.when(plain & (c == "{"), F.concat(F.lit("}"), state["close"])).when(plain & (c == "["), F.concat(F.lit("]"), state["close"]))
+        close = close.when(plain & c.isin("}", "]"), F.substr(state["close"], F.lit(2))).otherwise(state["close"])
+        quote = (c == '"') & ~state["escaped"]
+        return F.struct(close.alias("close"), (said != quote).alias("said"), (said & (c == "\\") & ~state["escaped"]).alias("escaped"))
+
+    ends = F.aggregate(F.split(body, ""), start, read)
+    return F.concat(body, F.when(ends["said"], '"').otherwise(""), ends["close"])

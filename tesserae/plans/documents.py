@@ -136,20 +136,6 @@ def transcript_roles(spark, d):  # A9
     return readers.transcript_turns(c.drop("role"), "speaker", "text").groupBy("role").agg(F.count("*").alias("n"))
 
 
-INDEX = "Description: daily index\ncik|company|form|date|file\n320193|Example Inc|S-1|2024-03-01|edgar/data/1.txt\n1234|Other Ltd|10-K|2024-03-02|edgar/data/2.txt\n77|Third|S-1|2024-13-99|bad.txt"
-
-
-@query("filing_index", "SELECT * FROM (VALUES ('0000320193', 'Example Inc', 'S-1', '2024-03-01')) v(cik, company_name, form_type, day)")
-def filing_index(spark, d):  # A8
-    lines = spark.createDataFrame([(x,) for x in INDEX.split("\n")], "value string")
-    return readers.filing_index(lines, ["S-1", "F-1"]).select("cik", "company_name", "form_type", F.col("filing_date").cast("string").alias("day"))
-
-
-@query("pattern_dimension", "SELECT * FROM (VALUES ('cm_churn', 'primary', 'churn'), ('cm_churn', 'specific', 'net churn'), ('cm_arpu', 'primary', 'arpu')) v(metric_id, kind, pattern)")
-def pattern_dimension(spark, d):  # A7
-    return readers.yaml_dimension(spark, "cm_churn:\n  primary: [churn]\n  specific: [net churn]\ncm_arpu:\n  primary: [arpu]\n")
-
-
 @query("section_carry_forward", """SELECT conv_id, turn, coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'cover') AS section FROM (SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN 'mda' WHEN length(text) % 7 = 0 THEN 'business' END AS label FROM conversations)""")
 def section_carry_forward(spark, d):  # E5, M2
     n = F.length("text")
@@ -180,14 +166,6 @@ def repeat_count_filter(spark, d):  # E7
     return n.where("n > 5")
 
 
-@query("marker_rows", "SELECT 1 AS doc_id, * FROM (VALUES (1, 'Customers', '1,200'), (2, 'Churn', '4%')) v(row, stub, value)")
-def marker_rows(spark, d):  # M24
-    t = spark.createDataFrame([(1, "[ROW] [CELL] Metric [CELL] 2024 [ROW] [CELL] Customers [CELL] 1,200 [ROW] [CELL] Churn [CELL] 4%")], "doc_id int, text string")
-    rows = t.select("doc_id", F.posexplode(F.split("text", r"\[ROW\]")).alias("p", "body")).where("p > 1")
-    cell = F.split("body", r"\[CELL\]")
-    return rows.select("doc_id", (F.col("p") - 1).alias("row"), F.trim(cell[1]).alias("stub"), F.trim(cell[2]).alias("value"))
-
-
 @query("html_segments")
 def html_segments(spark, d):  # A4, M1
     return html.segments(table(spark, d, "pages"), "page_id")
@@ -198,20 +176,3 @@ def table_grid(spark, d):  # M3: of the tables in filings, as pages have none; f
     return html.table_grid(filings(spark, d).select("filing_id", "html"), "filing_id").drop("header_path", "stub_path")
 
 
-GRID = "<table><tr><th rowspan=2>Metric</th><th colspan=2>Year</th></tr><tr><th>2023</th><th>2024</th></tr><tr><td>Customers</td><td>10</td><td>12</td></tr></table>"
-
-
-@query("table_cells", "SELECT * FROM (VALUES ('Year|2023', 'Customers', '10'), ('Year|2024', 'Customers', '12')) v(header, stub, value)")
-def table_cells(spark, d):  # M3, M10: values bound by header and stub
-    cells = html.table_grid(spark.createDataFrame([(1, GRID)], "page_id int, html string"), "page_id")
-    return cells.where("not is_header and not is_stub").select(F.array_join("header_path", "|").alias("header"), F.array_join("stub_path", "|").alias("stub"), F.col("text").alias("value"))
-
-
-@query("nearest_value", "SELECT * FROM (VALUES (1, '12'), (2, '7')) v(seg, value)")
-def nearest_value(spark, d):  # C21, M10: same sentence first, then the nearest
-    s = spark.createDataFrame([(1, "There were 99 stores. Active customers reached 12 in May and 40 later."), (2, "customers: 7")], "seg int, text string")
-    n = s.select("seg", "text", F.explode(F.regexp_extract_all("text", F.lit(r"\d+"), 0)).alias("value"))
-    at = F.instr("text", "customers")
-    n = n.withColumn("d", F.abs(F.expr("instr(text, value)") - at)).withColumn("same", ~F.contains(F.expr("substr(text, least(instr(text, value), instr(text, 'customers')), abs(instr(text, value) - instr(text, 'customers')))"), F.lit(". ")))
-    rn = F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("same"), "d", "value"))
-    return n.withColumn("rn", rn).where("rn = 1").select("seg", "value")

@@ -12,47 +12,11 @@ from ..operators.filters import any_of, first_of
 from ..operators.ranking import latest
 from .base import also, facts, mapped, query, table
 
-NUMBERS = [
-    ("$1,234.5 million", 1234.5e6, "currency"), ("112%", 112.0, "percent"), ("1.42x", 1.42, "ratio"), ("50,000", 50000.0, "count"),
-    ("-3", -3.0, "other"), ("about 2.5bn users", 2.5e9, "count"), ("€7k", 7000.0, "currency"), ("12 percent", 12.0, "percent"), ("none", None, None), ("2021", 2021.0, "other"),
-]
-
-
 def _values(rows, names):
     cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
 
 
-@query("parse_number", _values(NUMBERS, "text, value, unit"))
-def parse_number(spark, d):  # I1
-    n = N.parse_number(F.col("text"))
-    return spark.createDataFrame([(r[0],) for r in NUMBERS], "text string").select("text", n["value"].alias("value"), n["unit"].alias("unit"))
-
-
-GOLD = [("$1,250", None, 1250.0), ("3.5M", "millions", 3.5e6), ("12", "thousands", 12000.0), ("1.2T", None, 1.2e12), ("n/a", None, None), ("45%", None, 45.0)]
-
-
-@query("normalise_gold", _values(GOLD, "text, scale, value"))
-def normalise_gold(spark, d):  # I4
-    return spark.createDataFrame([r[:2] for r in GOLD], "text string, scale string").withColumn("value", N.normalise_gold(F.col("text"), F.coalesce("scale", F.lit(""))))
-
-
-SPELLED = [("one billion people", 1e9), ("Twelve thousand", 12000.0), ("five hundred", 500.0), ("some words", None)]
-
-
-@query("spelled_numbers", _values(SPELLED, "text, value"))
-def spelled_numbers(spark, d):  # I2, I3
-    return spark.createDataFrame([r[:1] for r in SPELLED], "text string").withColumn("value", N.spelled_number(F.col("text")))
-
-
-SCALES = [("Revenue (in thousands)", 1000.0), ("(Amounts in millions, unaudited)", 1e6), ("(in thousands, except as noted)", 1000.0), ("plain", 1.0)]
-
-
-@query("table_scale", _values(SCALES, "text, factor"))
-def table_scale(spark, d):  # I5
-    return spark.createDataFrame([r[:1] for r in SCALES], "text string").withColumn("factor", N.table_scale(F.col("text")))
-
-
 @query("scaled_cells", """SELECT l_orderkey, l_linenumber, l_quantity * CASE WHEN l_linenumber = 3 THEN 1.0 WHEN l_orderkey % 5 = 1 THEN 1e3 WHEN l_orderkey % 5 = 2 AND l_returnflag <> 'R' THEN 1e6 WHEN l_orderkey % 5 = 3 THEN 1e9 ELSE 1.0 END AS value FROM lineitem""")
 def scaled_cells(spark, d):  # I5: every line as a cell below its order's note
     note = F.get(F.array(*map(F.lit, ["Results", "Results (in thousands)", "(Amounts in millions, except as otherwise noted)", "(In billions, unaudited)", "(actual)"])), (F.col("l_orderkey") % 5).cast("int"))
@@ -61,29 +25,6 @@ def scaled_cells(spark, d):  # I5: every line as a cell below its order's note
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * N.cell_scale(note, stub, raw)).alias("value"))
 
 
-PERIODS = [
-    ("Q1 2024", "quarterly", "2024-01-01", "2024-03-31"), ("revenue in 3Q23 rose", "quarterly", "2023-07-01", "2023-09-30"), ("Q4'22", "quarterly", "2022-10-01", "2022-12-31"),
-    ("FY24", "annual", "2024-01-01", "2024-12-31"), ("full year 2025", "annual", "2025-01-01", "2025-12-31"), ("nine months ended June 30, 2024", "ytd", "2023-10-01", "2024-06-30"),
-    ("three months ended March 31, 2023", "quarterly", "2023-01-01", "2023-03-31"), ("year ended December 31, 2022", "annual", "2022-01-01", "2022-12-31"), ("as of May 5, 2021", "point_in_time", "2021-05-05", "2021-05-05"),
-    ("year-to-date", "ytd", "2024-01-01", "2024-08-15"), ("TTM revenue", "trailing", "2023-08-16", "2024-08-15"), ("last quarter", "quarterly", "2024-04-01", "2024-06-30"), ("nothing", "point_in_time", "2024-08-15", "2024-08-15"),
-]
-
-
-@query("period_parse", _values(PERIODS, "text, period_type, start, finish"))
-def period_parse(spark, d):  # I11, I12, I13, M12
-    p = N.infer_period(F.lit(""), F.col("text"), F.lit("2024-08-15").cast("date"))
-    return spark.createDataFrame([r[:1] for r in PERIODS], "text string").select("text", p["period_type"].alias("period_type"), p["start"].cast("string").alias("start"), p["end"].cast("string").alias("finish"))
-
-
-COHORTS = [("2021 Cohort", "acquisition", "2021"), ("0-12 months", "tenure", "0-1y"), ("2+ years", "tenure", "2y+"), ("1-3 years", "tenure", "1-3y"), ("less than 24 months", "tenure", "<2y"), ("Enterprise", "other", "Enterprise"), ("", None, None)]
-
-
-@query("cohort_label", _values(COHORTS, "label, kind, bucket"))
-def cohort_label(spark, d):  # I14
-    c = N.parse_cohort_label(F.col("label"))
-    return spark.createDataFrame([r[:1] for r in COHORTS], "label string").select("label", c["kind"].alias("kind"), c["bucket"].alias("bucket"))
-
-
 ALLOWED = [("Brand#11", "html_table"), ("Brand#11", "text"), ("Brand#12", "chart"), ("Brand#13", "text")]
 
 
@@ -292,15 +233,3 @@ def scope_gate(spark, d):  # B21
     return f.where(X.in_scope(F.col("form"), F.col("first_time"), F.col("spac"), no, no, no, F.col("offering"))).select("o_orderkey")
 
 
-CHART = '{"title": "Net revenue retention by cohort", "y_axis": "Percent", "series": [{"name": "2021 cohort", "points": [{"x": "Q1", "y": 101.0}, {"x": "Q2", "y": 104.5}]}]}'
-
-
-@query("chart_presence", "SELECT 'cm_net_revenue_retention' AS metric_id, 6.5::DOUBLE AS score, TRUE AS cohort, CAST(2 AS BIGINT) AS points")
-def chart_presence(spark, d):  # M5, M6, M7: stored chart readings, gates and weighted words
-    kind = "struct<title:string,y_axis:string,series:array<struct<name:string,points:array<struct<x:string,y:double>>>>>"
-    c = spark.createDataFrame([("cm_net_revenue_retention", r"(?i)\bnet revenue retention\b", r"(?i)\bretention\b", CHART)], "metric_id string, specific string, main string, raw string")
-    c = c.withColumn("c", F.from_json(X.repair_json(F.concat(F.lit("```json\n"), F.col("raw"), F.lit("\n```"))), kind))
-    cohort = F.exists("c.series", lambda s: s["name"].rlike("(?i)cohort")) | F.col("c.title").rlike("(?i)cohort")
-    points = F.aggregate("c.series", F.lit(0), lambda a, s: a + F.size(s["points"]))
-    score = F.when(F.regexp_like("c.title", F.col("specific")), 3.0).otherwise(0.0) + F.when(F.regexp_like("c.title", F.col("main")), 2.0).otherwise(0.0) + F.when(F.col("c.y_axis").rlike("(?i)percent|%"), 1.5).otherwise(0.0)
-    return c.where(cohort).select("metric_id", score.alias("score"), cohort.alias("cohort"), points.cast("long").alias("points"))

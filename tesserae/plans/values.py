@@ -16,14 +16,6 @@ def sentence_bounds(spark, d):  # H2, H3: the sentence around every "the" of eac
     return c.select("conv_id", "turn", "at", sentences.sentence_bounds("text", "at").alias("s")).select("conv_id", "turn", "at", "s.start", "s.end")
 
 
-SAID = "Revenue was $10 million, $12 million and $15 million in 2021, 2022 and 2023, respectively."
-
-
-@query("respectively_pairs", "SELECT * FROM (VALUES ('$10 million', '2021'), ('$12 million', '2022'), ('$15 million', '2023')) v(value, period)")
-def respectively_pairs(spark, d):  # I15
-    return spark.createDataFrame([(SAID,)], "t string").select(F.explode(sentences.respectively("t")).alias("x")).select("x.value", "x.period")
-
-
 @query("text_similarity")
 def text_similarity(spark, d):  # D25
     return table(spark, d, "part").select("p_partkey", F.round(sentences.similarity("p_name", "p_type"), 6).alias("ratio"))
@@ -35,16 +27,6 @@ def json_set(spark, d):  # J3: a struct rebuilt with one path replaced
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(k, F.col("event_type").alias("progress"))).alias("props"))
 
 
-CONTEXT = [("retention of 95 percent", 95.0, "count", "percent"), ("there were 95 stores", 95.0, "count", "count"), ("rate: 12 %", 12.0, "other", "percent"), ("$12 percent of", 12.0, "currency", "currency")]
-
-
-@query("percent_promotion", _values([(t, v, p) for t, v, _, p in CONTEXT], "text, value, unit"))
-def percent_promotion(spark, d):  # I7: a bare count before a percent sign or word becomes a percentage
-    c = spark.createDataFrame(CONTEXT, "text string, value double, unit string, want string").drop("want")
-    follows = F.regexp_like("text", F.concat(F.col("value").cast("long").cast("string"), F.lit(r"\s*(%|percent)")))
-    return c.select("text", "value", F.when(F.col("unit").isin("count", "other") & follows, "percent").otherwise(F.col("unit")).alias("unit"))
-
-
 @query("clipped_features", "SELECT fact_id, round(least(ln(1 + value) / 12, 1.0), 6) AS size, greatest(least(quantity / 40, 1.0), 0.1) AS share FROM facts", "facts")
 def clipped_features(spark, d):  # I9
     f = facts(spark, d)
@@ -56,30 +38,6 @@ def describe_values(spark, d):  # D20
     return facts(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("quantity"), 6).alias("mean"), F.round(F.stddev_pop("quantity"), 6).alias("spread"))
 
 
-CANDIDATES = [
-    (1, "cm_customers_period_end", 2021.0, "2021", "other", "text", 0.5, "in 2021 we had customers", "year_value"),
-    (2, "cm_net_revenue_retention", 900.0, "900%", "percent", "text", 0.9, "900% retention", "percent_range"),
-    (3, "cm_customers_period_end", 500.0, "500", "count", "text", 0.5, "we serve 80% of the Fortune 500", "ranking_name"),
-    (4, "cm_customers_period_end", 12.0, "12", "count", "table_header", 0.9, "[ROW] [CELL] 12", None),
-    (5, "cm_customers_period_end", 12.0, "12", "count", "table_header", 0.5, "[ROW] [CELL] 12", "linearized_table"),
-    (6, "cm_customers_period_end", 5000.0, "5,000", "count", "text", 0.5, "we had 5,000 customers", None),
-    (7, "cm_customers_period_end", 5e9, "5 billion", "count", "text", 0.5, "a market opportunity of 5 billion dollars", "tam_market_size"),
-    (8, "cm_customer_retention_rate", 130.0, "130%", "percent", "text", 0.9, "retention of 130%", "retention_rate_over_100"),
-]
-
-
-@query("located_rules", _values([(r[0], r[-1]) for r in CANDIDATES], "id, tag"))
-def located_rules(spark, d):  # M11: all registered rules in order
-    names = "id int, metric_id string, value double, raw string, unit string, binding string, confidence double, text string"
-    return spark.createDataFrame([r[:-1] for r in CANDIDATES], names).withColumn("at", F.instr("text", F.col("raw"))).select("id", rules.reason().alias("tag"))
-
-
-@query("allowed_units", "SELECT CAST(27 AS BIGINT) AS metrics, CAST(60 AS BIGINT) AS pairs")
-def allowed_units(spark, d):  # I8: the fixed table of units
-    rows = [(m, u) for m, units in rules.allowed_units().items() for u in units]
-    return spark.createDataFrame(rows, "metric_id string, unit string").agg(F.count_distinct("metric_id").alias("metrics"), F.count("*").alias("pairs"))
-
-
 @query("fact_assembly", """SELECT fact_id, sha256(concat_ws('|', CAST(filing_id AS VARCHAR), metric_id, source_type)) AS fact_key, CASE WHEN tier LIKE 'S%' THEN 'cohort' ELSE 'company' END AS scope, CASE WHEN tier LIKE 'S%' THEN metric_id || '_by_cohort' ELSE metric_id END AS canonical_id FROM facts""", "facts")
 def fact_assembly(spark, d):  # M13: reproducible ids instead of random ones
     f, cohort = facts(spark, d), F.col("tier").startswith("S")
