@@ -187,8 +187,9 @@ def first_period(*parsed: Column) -> Column:
     return F.get(F.filter(F.array(*[p.cast(PERIOD) for p in parsed]), lambda p: p.isNotNull()), 0)
 
 
-def infer_period(header: Column | None, sentence: Column, as_of: Column) -> Column:
-    """Header first (0.9), then the sentence (0.7), then the document's date (0.3)."""
+def infer_period(header: Column | None, sentence: Column, as_of: Column, extended: Column | None = None, hint: Column | None = None) -> Column:
+    """The first that says a period: a hint that goes with the value (0.85), its headers (0.9), its sentence (0.7), the text
+    around it (0.5), or the document's date (0.3)."""
 
     def any_of(text):
         return [parse_quarter(text), parse_period_ended(text), parse_fiscal_year(text), parse_ytd(text, as_of), parse_trailing(text, as_of), parse_as_of(text), parse_relative_quarter(text, as_of)]
@@ -196,13 +197,33 @@ def infer_period(header: Column | None, sentence: Column, as_of: Column) -> Colu
     def sure(period, confidence):
         return F.struct(period.cast(PERIOD).alias("p"), F.lit(confidence).alias("confidence"))
 
-    found = [sure(first_period(*any_of(sentence)), 0.7), sure(_period("point_in_time", as_of, as_of), 0.3)]
+    found = []
+    if hint is not None:
+        found.append(sure(first_period(*any_of(hint), parse_plain_year(hint)), 0.85))
     if header is not None:
-        found.insert(0, sure(first_period(*any_of(header), parse_date(header), parse_plain_year(header)), 0.9))
+        found.append(sure(first_period(*any_of(header), parse_date(header), parse_plain_year(header)), 0.9))
+    found.append(sure(first_period(*any_of(sentence)), 0.7))
+    if extended is not None:
+        found.append(sure(first_period(*any_of(extended)), 0.5))
+    found.append(sure(_period("point_in_time", as_of, as_of), 0.3))
     best = F.get(F.filter(F.array(*found), lambda x: x["p"].isNotNull()), 0)
     return let(best, lambda x: F.struct(x["p"]["period_type"].alias("period_type"), x["p"]["start"].alias("start"), x["p"]["end"].alias("end"), x["confidence"].alias("confidence")))
 
 
+# Characters on either side of a value that are its context; where a sentence ends.
+CONTEXT, SENTENCE = 200, r"(?<=[.!?])\s+(?=[A-Z])"
+
+
+def sentence_at(text: Column, at: Column) -> Column:
+    """The sentence that the 1-based character lies in."""
+    return F.concat(F.element_at(F.split(F.substr(text, F.lit(1), at - 1), SENTENCE), -1), F.get(F.split(F.substr(text, at), SENTENCE), 0))
+
+
+def around(text: Column, at: Column, n: int = CONTEXT) -> Column:
+    first = F.greatest(F.lit(1), at - n)
+    return F.substr(text, first, at + n - first)
+
+
 def parse_cohort_label(label: Column) -> Column:
     """Struct of kind (acquisition, tenure, other) and normalised bucket."""
     part = lambda p, k=1: F.nullif(F.regexp_extract(label, p, k), F.lit(""))

@@ -82,21 +82,41 @@ def escape_html(text: Column) -> Column:
 
 # Headings of the sections, first match wins; tested on upper-case text.
 SECTIONS = [
-    ("risk_factors", r"^ITEM\s*1A[.:]?\s*RISK\s*FACTORS|^RISK\s*FACTORS$|^PART\s*II?\s*[-:]\s*RISK\s*FACTORS"),
-    ("mda", r"^ITEM\s*7[.:]?\s*MANAGEMENT.{0,5}S?\s*DISCUSSION|^MANAGEMENT.{0,5}S?\s*DISCUSSION\s*(AND|&)\s*ANALYSIS|^MD\s*&?\s*A$|^RESULTS\s*OF\s*OPERATIONS$"),
-    ("business", r"^ITEM\s*1[.:]?\s*BUSINESS$|^BUSINESS$|^DESCRIPTION\s*OF\s*BUSINESS"),
-    ("financials", r"^ITEM\s*8[.:]?\s*FINANCIAL\s*STATEMENTS|^CONSOLIDATED\s*(BALANCE\s*SHEETS?|STATEMENTS?)"),
-    ("notes", r"^NOTES?\s*TO\s*(THE\s*)?(CONSOLIDATED\s*)?FINANCIAL|^NOTE\s*\d+"),
-    ("exhibits", r"^ITEM\s*15[.:]?\s*EXHIBITS|^EXHIBIT\s*INDEX"),
-    ("signatures", r"^SIGNATURES?$|^POWER\s*OF\s*ATTORNEY"),
-    ("key_metrics", r"^KEY\s*(BUSINESS|OPERATING)\s*METRICS?$"),
-    ("guidance", r"^FY\s*\d{4}\s*OUTLOOK$|^Q[1-4]\s*\d{4}\s*(OUTLOOK|GUIDANCE)$"),
+    ("risk_factors", r"^ITEM\s*1A[.:]?\s*RISK\s*FACTORS"),
+    ("risk_factors", r"^RISK\s*FACTORS$"),
+    ("risk_factors", r"^PART\s*II?\s*[-:]\s*RISK\s*FACTORS"),
+    ("mda", r"^ITEM\s*7[.:]?\s*MANAGEMENT.{0,5}S?\s*DISCUSSION"),
+    ("mda", r"^MANAGEMENT.{0,5}S?\s*DISCUSSION\s*(AND|&)\s*ANALYSIS"),
+    ("mda", r"^MD\s*&?\s*A$"),
+    ("mda", r"^RESULTS\s*OF\s*OPERATIONS$"),
+    ("mda", r"^[A-Z][A-Z\s&.,'-]{0,40}(?:S|'S)?\s*MANAGEMENT.{0,15}S?\s*DISCUSSION"),
+    ("business", r"^ITEM\s*1[.:]?\s*BUSINESS$"),
+    ("business", r"^BUSINESS$"),
+    ("business", r"^DESCRIPTION\s*OF\s*BUSINESS"),
+    ("financials", r"^ITEM\s*8[.:]?\s*FINANCIAL\s*STATEMENTS"),
+    ("financials", r"^FINANCIAL\s*STATEMENTS\s*(AND|&)\s*SUPPLEMENTARY"),
+    ("financials", r"^CONSOLIDATED\s*(BALANCE\s*SHEETS?|STATEMENTS?)"),
+    ("notes", r"^NOTES?\s*TO\s*(THE\s*)?(CONSOLIDATED\s*)?FINANCIAL"),
+    ("notes", r"^NOTE\s*\d+"),
+    ("exhibits", r"^ITEM\s*15[.:]?\s*EXHIBITS"),
+    ("exhibits", r"^EXHIBITS?\s*(AND|&)\s*FINANCIAL"),
+    ("exhibits", r"^EXHIBIT\s*INDEX"),
+    ("signatures", r"^SIGNATURES?$"),
+    ("signatures", r"^POWER\s*OF\s*ATTORNEY"),
+    ("key_metrics", r"^KEY\s*BUSINESS\s*METRICS?$"),
+    ("key_metrics", r"^KEY\s*OPERATING\s*METRICS?$"),
+    ("key_metrics", r"^BUSINESS\s*HIGHLIGHTS?$"),
+    ("key_metrics", r"^OPERATING\s*HIGHLIGHTS?$"),
+    ("key_metrics", r"^Q[1-4]\s*\d{4}\s*HIGHLIGHTS?$"),
+    ("financial_overview", r"^FINANCIAL\s*HIGHLIGHTS?$"),
+    ("guidance", r"^FY\s*\d{4}\s*OUTLOOK$"),
+    ("guidance", r"^Q[1-4]\s*\d{4}\s*(OUTLOOK|GUIDANCE)$"),
 ]
 
 
 def section_of(heading: Column) -> Column:
     """The section that a line opens, or null. Headings have 200 characters at most."""
-    line = F.upper(collapse(heading))
+    line = F.translate(F.upper(collapse(heading)), "\u2019", "'")
     return F.when(F.length(line) <= 200, F.coalesce(*[F.when(line.rlike(p), F.lit(s)) for s, p in SECTIONS]))
 
 

@@ -1,7 +1,7 @@
 """The document dataflow: filings in HTML to segments, candidates, bindings, judged values, periods, facts and presence.
 
-The tables hold no filings that disclose metrics, so each order becomes one: its line items are said in sentences, and
-listed in a table. What the dataflow reads from the HTML is compared with the columns that the sentences were made of,
+The tables hold no filings that disclose metrics, so each order becomes one: its line items are said in sentences of many
+kinds under headings of four sections, and listed in a table. What the dataflow reads from the HTML is compared with the columns that the sentences were made of,
 so the SQL side parses nothing.
 """
 
@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue, numbers, rules
 from ..functions import text as X
+from ..shared import Scratch
 from ..sources import html
 from .base import query, table
 
 NEAR = 100  # characters between a mention and its value at most
+HEADINGS = ["Results of Operations", "Business", "Risk Factors", "Key Business Metrics"]
 LEAD = "The figures below describe how our business developed over time. "
 MONTH_BEFORE = rf"(?i)\b(?:{numbers.MONTHS})\s+$"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` by key, in as many partitions as the session has for shuffles: what follows costs far more than its bytes, by
-    which adaptive execution would merge them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """``df`` by key. The number of partitions is left to adaptive execution, which splits and merges them by their bytes."""
+    return df.repartition(key)
 
 
 def once(df: DataFrame, name: str, value) -> DataFrame:
@@ -39,6 +40,7 @@ def filings(spark, d) -> DataFrame:
     day, number = F.date_format(at, "MMMM d, yyyy"), lambda c, n=0: F.format_number(c, n)
     quarter = F.concat(F.lit("Q"), F.quarter(at).cast("string"), F.lit(" "), F.year(at).cast("string"))
     quantity, year = F.col("l_quantity").cast("long"), F.year(at).cast("string")
+    q = quantity.cast("string")
     says = [
         F.concat(F.lit("As of "), day, F.lit(", we had "), number(quantity * 1000), F.lit(" active customers.")),
         F.concat(F.lit("Net revenue retention was "), (quantity + 60).cast("string"), F.lit("% in "), quarter, F.lit(".")),
@@ -48,15 +50,35 @@ def filings(spark, d) -> DataFrame:
         F.concat(F.lit("Total customers of "), number(quantity * 2000), F.lit(" reflect our market opportunity.")),
         F.concat(F.lit("Net revenue retention of "), quantity.cast("string"), F.lit("% was below our plan in "), quarter, F.lit(".")),
         F.lit("Customer churn rate is a key metric that we will report."),
+        F.concat(F.lit("Customer churn rate of "), (quantity + 600).cast("string"), F.lit("% was stated.")),
+        F.concat(F.lit("Gross merchandise volume of $"), q, F.lit(" billion was the aim.")),
+        F.concat(F.lit("Total customers of -"), q, F.lit(" were restated.")),
+        F.concat(F.lit("ARPU of "), q, F.lit("% was lower.")),
+        F.concat(F.lit("Monthly active users grew "), q, F.lit("% to 12 million.")),
+        F.concat(F.lit("Customer acquisition cost was $"), number(quantity * 2000), F.lit(".")),
+        F.concat(F.lit("Average order value per share of $"), q, F.lit(".5 fell.")),
+        F.concat(F.lit("Average order value and ARPU of $"), q, F.lit(".5 were alike.")),
+        F.concat(F.lit("Daily active users of "), number(quantity * 10), F.lit(" developers rose.")),
+        F.concat(F.lit("Total customers of "), q, F.lit(" of the Fortune 500 are ours.")),
+        F.concat(F.lit("Total customers on the Enterprise plan were "), number(quantity * 10), F.lit(".")),
+        F.concat(F.lit("Active customers made "), number(quantity * 10), F.lit(" page views.")),
+        F.concat(F.lit("Monthly active users had "), q, F.lit(" transactions per account.")),
+        F.concat(F.lit("In "), quarter, F.lit(" demand rose. Customer churn rate was "), q, F.lit("%.")),
+        F.concat(F.lit("Net revenue retention (in thousands) of "), (quantity + 60).cast("string"), F.lit("% was noted.")),
+        F.concat(F.lit("Active customers with stock-based compensation of "), number(quantity * 10), F.lit(".")),
+        F.concat(F.lit("Total customers and net income of "), number(quantity * 10), F.lit(".")),
+        F.concat(F.lit("Average order value is defined as more than $"), q, F.lit(".5 a year.")),
+        F.concat(F.lit("Total customers of 0"), q, F.lit(" were listed.")),
     ]
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % len(says)
     said = F.element_at(F.array(*says), (kind + 1).cast("int"))
     row = F.concat(F.lit("<tr><td>Line "), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), number(quantity * 10), F.lit("</td></tr>"))
-    parts = F.struct("l_linenumber", F.concat(F.lit("<p>" + LEAD), said, F.lit("</p>")).alias("p"), row.alias("row"))
+    heading = F.concat(F.lit("<h2>"), F.get(F.array(*map(F.lit, HEADINGS)), (F.col("l_linenumber") % len(HEADINGS)).cast("int")), F.lit("</h2>"))
+    parts = F.struct("l_linenumber", F.concat(heading, F.lit("<p>" + LEAD), said, F.lit("</p>")).alias("p"), row.alias("row"))
     lines = spread(lines, "l_orderkey")
     body = lines.groupBy(F.col("l_orderkey").alias("filing_id")).agg(F.array_sort(F.collect_list(parts)).alias("parts"))
     page = F.concat(
-        F.lit("<html><body><h2>Results of Operations</h2>"), F.array_join(F.transform("parts", lambda x: x["p"]), ""),
+        F.lit("<html><body>"), F.array_join(F.transform("parts", lambda x: x["p"]), ""),
         F.lit("<table><tr><th>Item</th><th>Units</th></tr>"), F.array_join(F.transform("parts", lambda x: x["row"]), ""), F.lit("</table></body></html>"),
     )
     filed = orders.select(F.col("o_orderkey").alias("filing_id"), F.col("o_orderdate").cast("date").alias("filed"))
@@ -113,8 +135,10 @@ def judged(bound: DataFrame) -> DataFrame:
 
 
 def dated(kept: DataFrame, pages: DataFrame) -> DataFrame:
-    """Periods from the text, or the filing's date; and the fact's confidence of binding, section and period."""
-    facts = once(kept.join(pages.select("filing_id", "filed"), "filing_id"), "p", numbers.infer_period(None, F.col("text"), F.col("filed")))
+    """Periods from the value's sentence, the text around it or the filing's date; and the fact's confidence of binding, section and period."""
+    text, at = F.col("text"), F.col("at")
+    period = numbers.infer_period(None, numbers.sentence_at(text, at), F.col("filed"), numbers.around(text, at))
+    facts = once(kept.join(pages.select("filing_id", "filed"), "filing_id"), "p", period)
     section = F.when(F.col("section") == "mda", 0.1).when(F.col("section") == "business", 0.05).otherwise(0.0)
     sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("confidence") + section) * 0.8 + F.col("p.confidence") * 0.2))
     return facts.select("filing_id", "seq", "metric_id", "value", "unit", "section", "p.period_type", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), F.round(sure, 4).alias("confidence"))
@@ -148,57 +172,77 @@ def run(spark, d) -> dict[str, DataFrame]:
 
 # What the sentences say, from the columns they were made of.
 SAID_SQL = """WITH said AS (
-  SELECT l_orderkey AS filing_id, (l_orderkey + l_linenumber) % 8 AS kind, CAST(l_quantity AS BIGINT) AS q, CAST(l_extendedprice AS DOUBLE) AS price,
-         day, year(day) AS y, CAST(date_trunc('quarter', day) AS DATE) AS quarter
-  FROM (SELECT *, CAST(CAST(l_shipdate AS DATE) + INTERVAL 20 YEAR AS DATE) AS day FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+  SELECT l_orderkey AS filing_id, (l_orderkey + l_linenumber) % 27 AS kind, CAST(l_quantity AS BIGINT) AS q, CAST(l_extendedprice AS DOUBLE) AS price, CAST(o_orderdate AS DATE) AS filed,
+         day, year(day) AS y, CAST(date_trunc('quarter', day) AS DATE) AS quarter, ['mda', 'business', 'risk_factors', 'key_metrics'][l_linenumber % 4 + 1] AS section
+  FROM (SELECT *, CAST(CAST(l_shipdate AS DATE) + INTERVAL 20 YEAR AS DATE) AS day FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
 ), meant AS (
-  SELECT *, CASE kind WHEN 0 THEN 'cm_active_customers_total' WHEN 4 THEN 'cm_active_customers_total' WHEN 1 THEN 'cm_net_revenue_retention'
-                      WHEN 6 THEN 'cm_net_revenue_retention' WHEN 2 THEN 'cm_average_order_value' WHEN 3 THEN 'cm_gmv' WHEN 5 THEN 'cm_customers_period_end'
-                      ELSE 'cm_customer_churn_rate' END AS metric_id,
-         CASE kind WHEN 0 THEN q * 1000.0 WHEN 1 THEN q + 60.0 WHEN 2 THEN price WHEN 3 THEN q * 1e6 WHEN 4 THEN q * 100.0 WHEN 5 THEN q * 2000.0 WHEN 6 THEN q * 1.0 END AS value
+  SELECT *, CASE WHEN kind IN (0, 4, 19, 23) THEN 'cm_active_customers_total' WHEN kind IN (1, 6, 22) THEN 'cm_net_revenue_retention' WHEN kind IN (2, 14, 15, 25) THEN 'cm_average_order_value' WHEN kind IN (3, 9) THEN 'cm_gmv'
+                 WHEN kind IN (5, 10, 17, 18, 24, 26) THEN 'cm_customers_period_end' WHEN kind IN (7, 8, 21) THEN 'cm_customer_churn_rate' WHEN kind = 11 THEN 'cm_revenue_per_customer' WHEN kind IN (12, 20) THEN 'cm_monthly_active_users'
+                 WHEN kind = 13 THEN 'cm_customer_acquisition_cost' WHEN kind = 16 THEN 'cm_daily_active_users' END AS metric_id,
+         0.5 + CASE WHEN kind <> 11 THEN 0.1 ELSE 0 END + CASE WHEN section IN ('mda', 'business') THEN 0.1 ELSE 0 END AS mention
   FROM said
+  UNION ALL SELECT *, 'cm_revenue_per_customer', 0.5 + CASE WHEN section IN ('mda', 'business') THEN 0.1 ELSE 0 END FROM said WHERE kind = 15
+), valued AS (
+  SELECT *, CASE WHEN kind = 0 THEN q * 1000.0 WHEN kind IN (1, 22) THEN q + 60.0 WHEN kind = 2 THEN price WHEN kind = 3 THEN q * 1e6 WHEN kind = 4 THEN q * 100.0 WHEN kind IN (5, 13) THEN q * 2000.0 WHEN kind = 8 THEN q + 600.0
+                 WHEN kind = 9 THEN q * 1e9 WHEN kind = 10 THEN -q WHEN kind IN (14, 15, 25) THEN q + 0.5 WHEN kind IN (16, 18, 19, 23, 24) THEN q * 10.0 ELSE q END AS value,
+         CASE WHEN kind IN (2, 3, 9, 13, 14, 15, 25) THEN 'currency' WHEN kind IN (1, 6, 8, 11, 12, 21, 22) THEN 'percent' ELSE 'count' END AS unit, kind IN (0, 4, 12, 17) AS rivals FROM meant WHERE kind <> 7
+  UNION ALL SELECT *, 12e6, 'count', true FROM meant WHERE kind = 12
+  UNION ALL SELECT *, 500, 'other', true FROM meant WHERE kind = 17
 ), judged AS (
-  SELECT *, CASE WHEN kind IN (0, 4, 5) AND value BETWEEN 1990 AND 2100 THEN 'year_value' WHEN kind = 4 THEN 'delta_count_value' WHEN kind = 5 THEN 'tam_market_size'
-                 WHEN kind = 6 AND value < 31 THEN 'magnitude_sanity' END AS tag
-  FROM meant WHERE kind <> 7
-), found AS (
-  SELECT filing_id, metric_id, CAST(value AS DOUBLE) AS value, CASE kind WHEN 0 THEN 'count' WHEN 2 THEN 'currency' WHEN 3 THEN 'currency' ELSE 'percent' END AS unit,
-         CASE kind WHEN 0 THEN 'point_in_time' WHEN 2 THEN 'annual' WHEN 3 THEN 'annual' ELSE 'quarterly' END AS period_type,
-         CASE kind WHEN 0 THEN day WHEN 2 THEN make_date(y, 1, 1) WHEN 3 THEN make_date(y, 1, 1) ELSE quarter END AS period_start,
-         CASE kind WHEN 0 THEN day WHEN 2 THEN make_date(y, 12, 31) WHEN 3 THEN make_date(y, 12, 31) ELSE CAST(quarter + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) END AS period_end,
-         CASE kind WHEN 0 THEN 0.54 ELSE 0.7 END AS confidence
+  SELECT *, CASE WHEN kind IN (0, 4, 5) AND value BETWEEN 1990 AND 2100 THEN 'year_value' WHEN kind = 8 THEN 'percent_range' WHEN kind = 9 AND q > 10 THEN 'garbage_value' WHEN kind = 10 THEN 'negative_value' WHEN kind = 26 THEN 'year_fragment'
+                 WHEN kind = 22 THEN 'financial_annotation' WHEN kind = 23 THEN 'financial_sbc' WHEN kind = 17 AND value = 500 THEN 'ranking_name' WHEN kind = 14 THEN 'per_share' WHEN kind = 16 THEN 'developer_count' WHEN kind = 17 THEN 'fortune_subset'
+                 WHEN kind = 18 THEN 'tier_qualifier' WHEN kind = 19 THEN 'content_engagement' WHEN kind = 20 THEN 'transactions_per_account' WHEN kind = 4 THEN 'delta_count_value' WHEN kind = 12 AND unit = 'percent' THEN 'growth_rate_percent'
+                 WHEN kind = 11 THEN 'arpu_percent' WHEN kind = 15 AND metric_id = 'cm_average_order_value' THEN 'arpu_as_aov' WHEN kind = 6 AND value < 31 OR kind = 13 AND value > 5e4 THEN 'magnitude_sanity'
+                 WHEN kind = 24 THEN 'financial_context_customer_metric' WHEN kind = 25 THEN 'metric_definition_value' WHEN kind = 5 THEN 'tam_market_size' END AS tag
+  FROM valued
+), placed AS (
+  SELECT *, 0.4 + 0.1 + CASE WHEN unit IN ('currency', 'percent') THEN 0.1 ELSE 0 END - CASE WHEN rivals THEN 0.1 ELSE 0 END + CASE section WHEN 'mda' THEN 0.1 WHEN 'business' THEN 0.05 ELSE 0 END AS bound,
+         CASE WHEN kind = 21 THEN 0.5 WHEN kind < 8 THEN 0.7 ELSE 0.3 END AS pc,
+         CASE WHEN kind IN (2, 3) THEN 'annual' WHEN kind IN (1, 4, 6, 21) THEN 'quarterly' ELSE 'point_in_time' END AS period_type
   FROM judged WHERE tag IS NULL
+), found AS (
+  SELECT filing_id, metric_id, section, CAST(value AS DOUBLE) AS value, unit, period_type,
+         CASE period_type WHEN 'annual' THEN make_date(y, 1, 1) WHEN 'quarterly' THEN quarter ELSE CASE WHEN kind = 0 THEN day ELSE filed END END AS period_start,
+         CASE period_type WHEN 'annual' THEN make_date(y, 12, 31) WHEN 'quarterly' THEN CAST(quarter + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) ELSE CASE WHEN kind = 0 THEN day ELSE filed END END AS period_end,
+         round(CAST(bound AS DOUBLE) * 0.8 + CAST(pc AS DOUBLE) * 0.2, 4) AS confidence, CAST(pc AS DOUBLE) AS pc
+  FROM placed
 )"""
+ROUTED_SQL = """r AS (
+  SELECT filing_id, metric_id, period_type, period_start, period_end, first(struct_pack(v := value, u := unit, s := section, c := confidence) ORDER BY confidence DESC, value DESC, unit DESC, section DESC) AS b, count(DISTINCT value) AS n_values
+  FROM {source} GROUP BY filing_id, metric_id, period_type, period_start, period_end
+) SELECT filing_id, metric_id, period_type, period_start, period_end, b.v AS value, b.u AS unit, b.s AS section, b.c AS confidence, n_values,
+         CASE WHEN b.c >= 0.9 AND n_values = 1 THEN 'auto_accepted' WHEN b.c < 0.15 THEN 'reject_candidate' ELSE 'pending' END AS route FROM r"""
 
 
-@query("filing_mentions", SAID_SQL + " SELECT filing_id, metric_id, count(*) AS mentions, 'mda' AS section, CAST(0.7 AS DOUBLE) AS mention FROM meant GROUP BY filing_id, metric_id")
+@query("filing_mentions", SAID_SQL + " SELECT filing_id, metric_id, section, count(*) AS mentions, CAST(max(mention) AS DOUBLE) AS mention FROM meant GROUP BY filing_id, metric_id, section")
 def filing_mentions(spark, d):  # M1, M2, M8, H6: spans of every mention, in the section that the last heading opened
-    return run(spark, d)["candidates"].groupBy("filing_id", "metric_id").agg(F.count("*").alias("mentions"), F.min("section").alias("section"), F.min("mention").alias("mention"))
+    return run(spark, d)["candidates"].groupBy("filing_id", "metric_id", "section").agg(F.count("*").alias("mentions"), F.max("mention").alias("mention"))
 
 
-@query("filing_false_positives", SAID_SQL + """, years AS (SELECT filing_id, metric_id, CASE WHEN kind = 0 THEN 'part_of_date' END AS tag, kind FROM meant WHERE kind IN (0, 4))
-SELECT filing_id, metric_id, tag, count(*) AS n FROM (
-  SELECT filing_id, metric_id, tag FROM judged WHERE tag IS NOT NULL
-  UNION ALL SELECT filing_id, metric_id, 'year_value' FROM years
-  UNION ALL SELECT filing_id, metric_id, 'part_of_date' FROM years WHERE kind = 0) GROUP BY ALL""")
+@query("filing_false_positives", SAID_SQL + """, years AS (SELECT filing_id, metric_id, section, kind FROM meant WHERE kind IN (0, 4))
+SELECT filing_id, metric_id, section, tag, count(*) AS n FROM (
+  SELECT filing_id, metric_id, section, tag FROM judged WHERE tag IS NOT NULL
+  UNION ALL SELECT filing_id, metric_id, section, 'year_value' FROM years
+  UNION ALL SELECT filing_id, metric_id, section, 'part_of_date' FROM years WHERE kind = 0) GROUP BY ALL""")
 def filing_false_positives(spark, d):  # M10, M11, I8: what was bound and judged to be no value
-    return run(spark, d)["judged"].where("tag is not null").groupBy("filing_id", "metric_id", "tag").agg(F.count("*").alias("n"))
+    return run(spark, d)["judged"].where("tag is not null").groupBy("filing_id", "metric_id", "section", "tag").agg(F.count("*").alias("n"))
 
 
-@query("document_facts", SAID_SQL + """ SELECT filing_id, metric_id, period_type, period_start, period_end, max(value) AS value, min(unit) AS unit, 'mda' AS section,
- max(CAST(confidence AS DOUBLE)) AS confidence, count(DISTINCT value) AS n_values, 'pending' AS route
- FROM found GROUP BY filing_id, metric_id, period_type, period_start, period_end""")
+@query("document_facts", SAID_SQL + ", " + ROUTED_SQL.format(source="found"))
 def document_facts(spark, d):  # M1 to M20 chained, over every order
     return run(spark, d)["routed"]
 
 
-@query("document_presence", SAID_SQL + """, f AS (SELECT filing_id, metric_id, count(*) AS facts, max(CAST(confidence AS DOUBLE)) AS score FROM found GROUP BY ALL)
-SELECT m.filing_id, m.metric_id, m.mentions, coalesce(f.facts, 0) AS facts, greatest(0.7, coalesce(f.score, 0)) AS score, f.facts IS NOT NULL AS disclosed
-FROM (SELECT filing_id, metric_id, count(*) AS mentions FROM meant GROUP BY ALL) m LEFT JOIN f USING (filing_id, metric_id)""")
+@query("document_presence", SAID_SQL + """, f AS (SELECT filing_id, metric_id, count(*) AS facts, max(confidence) AS score FROM found GROUP BY ALL)
+SELECT m.filing_id, m.metric_id, m.mentions, coalesce(f.facts, 0) AS facts, greatest(m.score, coalesce(f.score, 0)) AS score, f.facts IS NOT NULL AS disclosed
+FROM (SELECT filing_id, metric_id, count(*) AS mentions, CAST(max(mention) AS DOUBLE) AS score FROM meant GROUP BY ALL) m LEFT JOIN f USING (filing_id, metric_id)""")
 def document_presence(spark, d):  # M21: evidence of mentions and of facts by filing and metric
-    stages = run(spark, d)
-    said = stages["candidates"].select("filing_id", "metric_id", F.col("mention").alias("score"), F.lit(0).alias("fact"))
-    facts = stages["facts"].select("filing_id", "metric_id", F.col("confidence").alias("score"), F.lit(1).alias("fact"))
+    pages = filings(spark, d)
+    found = Scratch(spark, "presence").again(candidates(segments(pages.select("filing_id", "html"))))  # both kinds of evidence come from them
+    filed = table(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id"), F.col("o_orderdate").cast("date").alias("filed"))
+    dated_ = dated(judged(bindings(found)).where("tag is null"), filed)
+    said = found.select("filing_id", "metric_id", F.col("mention").alias("score"), F.lit(0).alias("fact"))
+    facts = dated_.select("filing_id", "metric_id", F.col("confidence").alias("score"), F.lit(1).alias("fact"))
     out = said.unionByName(facts).groupBy("filing_id", "metric_id")
     return out.agg(F.count_if(F.col("fact") == 0).alias("mentions"), F.sum("fact").alias("facts"), F.max("score").alias("score"), (F.max("fact") == 1).alias("disclosed"))
 
