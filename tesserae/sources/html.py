@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -102,6 +103,75 @@ def segments(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, seq long, kind string, text string")
 
 
+class _Images(HTMLParser):
+    """Images and headings in order, and the document's text, in which each image has a place."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.length, self.skip, self.heading = [], [], 0, 0, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip += 1
+        elif tag == "img":
+            a = dict(attrs)
+            pixels = lambda n: int(m[0]) if (m := re.match(r"\d{1,9}", (a.get(n) or "").strip())) else 0
+            self.found.append(("image", self.length, (a.get("src") or "").split("?")[0].rsplit("/", 1)[-1], a.get("alt") or "", pixels("width"), pixels("height")))
+        elif tag in HEADINGS:
+            self.heading = []
+        if tag in BLOCKS:
+            self.say(" ")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip = max(0, self.skip - 1)
+        elif tag in HEADINGS and self.heading is not None:
+            self.found.append(("heading", self.length, " ".join("".join(self.heading).split()), "", 0, 0))
+            self.heading = None
+        if tag in BLOCKS:
+            self.say(" ")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.say(data)
+            if self.heading is not None:
+                self.heading.append(data)
+
+    def say(self, data):
+        self.text.append(data)
+        self.length += len(data)
+
+
+NEARBY = 500  # fixed value: characters on either side of an image
+
+
+def images_of(html: str) -> list[tuple]:
+    """kind (image or heading), text (file name or heading), nearby (alternative text and the text around it), width and height (0: not
+    said) in document order, and the document's characters."""
+    p = _Images()
+    p.feed(html or "")
+    p.close()
+    text = "".join(p.text)
+    near = lambda at, alt: " ".join(f"{alt} {text[max(0, at - NEARBY) : at + NEARBY]}".split())
+    chars = len(" ".join(text.split()))
+    return [(kind, name, near(at, alt) if kind == "image" else "", width, height, chars) for kind, at, name, alt, width, height in p.found]
+
+
+def images(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, seq, kind, text, nearby, width, height and chars of every image and heading."""
+    ship(pages.sparkSession)
+    kind = dict(pages.dtypes)[key]
+
+    def run(frames):
+        for df in frames:
+            rows = [(k, i, *x) for k, h in zip(df[key], df[html], strict=True) for i, x in enumerate(images_of(h))]
+            yield pd.DataFrame(rows, columns=[key, "seq", "kind", "text", "nearby", "width", "height", "chars"])
+
+    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, seq long, kind string, text string, nearby string, width long, height long, chars long")
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
