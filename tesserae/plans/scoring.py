@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.aliases import canonical, closed
 from ..operators.counting import at_rank, percentile, positions
 from ..operators.matching import greedy_one_to_one, tolerance_groups
 from ..operators.ranges import near_join, overlap_join
-from .base import FACTS_SQL, decisions, facts, query
+from .base import FACTS_SQL, decisions, facts, query, table
 from .dedup import BEST_SQL, first_come_sql
 from .extraction import SOURCE_RANK
 
@@ -104,6 +105,25 @@ def set_action_label(spark, d):  # D24
     return s.groupBy(label.when(~F.arrays_overlap("det", "con"), "correct").otherwise("partial").alias("label")).agg(F.count("*").alias("n"))
 
 
+# A gold standard of three years: a third of its names are the metrics', a third older ones and a third the oldest.
+ALIAS_SQL = f"""+ {GOLD_SQL}, t AS (SELECT fact_id, metric_id, CASE fact_id % 4 WHEN 1 THEN 'alt_' || metric_id WHEN 2 THEN 'old_' || metric_id ELSE metric_id END AS named FROM g WHERE in_gold)
+SELECT metric_id, count(*) AS gold, count(*) FILTER (WHERE named = metric_id) AS matched_before, count(*) AS matched_after, round(count(*) FILTER (WHERE named = metric_id)::DOUBLE / count(*), 6) AS recall_before, 1.0::DOUBLE AS recall_after
+FROM t GROUP BY metric_id"""
+
+
+@query("alias_recall", ALIAS_SQL, "facts")
+def alias_recall(spark, d):  # H14: names of a gold standard resolved along chains of aliases, and the recall without and with that
+    g = gold(spark, d).where("in_gold")
+    old = F.when(F.col("fact_id") % 4 == 1, F.concat(F.lit("alt_"), "metric_id")).when(F.col("fact_id") % 4 == 2, F.concat(F.lit("old_"), "metric_id")).otherwise(F.col("metric_id"))
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("b")).distinct()
+    chain = F.array(F.struct(F.concat(F.lit("old_"), "b").alias("alias"), F.concat(F.lit("alt_"), "b").alias("canonical")), F.struct(F.concat(F.lit("alt_"), "b").alias("alias"), F.col("b").alias("canonical")))
+    known = closed(brands.select(F.explode(chain).alias("x")).select("x.*"))
+    named = canonical(g.withColumn("named", old).withColumn("raw", F.col("named")), "named", known).groupBy("metric_id")
+    before, after = F.count_if(F.col("raw") == F.col("metric_id")), F.count_if(F.col("named") == F.col("metric_id"))
+    out = named.agg(F.count("*").alias("gold"), before.alias("matched_before"), after.alias("matched_after"))
+    return out.withColumns({f"recall_{v}": F.round(F.col(f"matched_{v}") / F.col("gold"), 6) for v in ("before", "after")})
+
+
 @query("agreement_rate", f"+ {GOLD_SQL} SELECT metric_id, round(avg(CASE WHEN predicted = in_gold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement FROM g GROUP BY metric_id", "facts")
 def agreement_rate(spark, d):  # D27
     same = (F.col("predicted") == F.col("in_gold")).cast("long")

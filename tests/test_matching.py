@@ -105,3 +105,16 @@ def test_tolerance_groups(spark, local):
         more = {"also": ["w"], "compatible": lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(True))} if conditional else {}
         got = matching.tolerance_groups(df, ["k"], "id", "v", 0.02, zero=0.02, local=local, **more).collect()
         assert sorted((r.id, r.group_id) for r in got) == sorted(want)
+
+
+def test_aliases(spark):
+    """Chains of any length, several names, circles and what leads into them."""
+    from tesserae.operators import aliases
+
+    rows = [(f"a{k}", f"a{k + 1}") for k in range(20)] + [("x", "a3"), ("y", "z"), ("y", "a20"), ("p", "q"), ("q", "p"), ("r", "p"), ("s", "s"), (None, "t")]
+    known = aliases.closed(spark.createDataFrame(rows, "alias string, canonical string"))
+    want = {f"a{k}": "a20" for k in range(20)} | {"x": "a20", "y": "a20"}
+    assert dict(map(tuple, known.collect())) == want
+    df = spark.createDataFrame([("a0",), ("p",), ("none",), (None,)], "m string")
+    assert sorted(str(r.m) for r in aliases.canonical(df, "m", known).collect()) == ["None", "a20", "none", "p"]
+    assert aliases.closed(spark.createDataFrame([], "alias string, canonical string")).count() == 0
