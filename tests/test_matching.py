@@ -118,3 +118,32 @@ def test_aliases(spark):
     df = spark.createDataFrame([("a0",), ("p",), ("none",), (None,)], "m string")
     assert sorted(str(r.m) for r in aliases.canonical(df, "m", known).collect()) == ["None", "a20", "none", "p"]
     assert aliases.closed(spark.createDataFrame([], "alias string, canonical string")).count() == 0
+
+
+def test_curves(spark):
+    rng = random.Random(10)
+    rows = [(g, rng.choice([0.1, 0.2, 0.5, rng.random()]), rng.random() < share) for g, share in (("a", 0.3), ("b", 0.7), ("only", 2), ("no", -1)) for _ in range(200)] + [("a", None, True), ("a", 0.5, None)]
+    got = {r.g: r for r in counting.curves(spark.createDataFrame(rows, "g string, s double, y boolean"), "g", "s", "y").collect()}
+    for g in "ab":
+        own = [(s, y) for h, s, y in rows if h == g and None not in (s, y)]
+        pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+        auc = np.mean([[(p > n) + 0.5 * (p == n) for n in neg] for p in pos])
+        at = sorted({s for s, _ in own}, reverse=True)
+        hits = [(sum(p >= t for p in pos), sum(n >= t for n in neg)) for t in at]
+        ap = sum((tp - before) * tp / (tp + fp) for (tp, fp), (before, _) in zip(hits, [(0, 0), *hits])) / len(pos)
+        best = max(tp / (tp + fp) for tp, fp in hits if tp >= 0.8 * len(pos))
+        assert np.allclose([got[g].auc, got[g].ap, got[g].best_precision], [auc, ap, best], rtol=1e-12) and got[g].positives == len(pos)
+    assert got["only"].auc is None and got["no"].ap is None
+
+
+def test_image_model(spark, sf_dir):
+    from tesserae.plans import models
+
+    rows = models.image_features(spark, sf_dir)
+    features = [c for c in rows.columns if c not in ("img_id", "label")]
+    assert len(features) == 21
+    made = rows.withColumn("value_mean", F.when(F.col("label") == 1, F.col("value_mean") + 1000).otherwise(F.col("value_mean")))  # a feature that tells
+    scores = models.out_of_fold(made, features).toPandas()
+    assert len(scores) == rows.count() and sorted(scores.fold.unique()) == [0, 1, 2, 3, 4] and scores.score.between(0, 1).all()
+    pos, neg = scores[scores.label == 1].score.to_numpy(), scores[scores.label == 0].score.to_numpy()
+    assert (pos[:, None] > neg[None, :]).mean() > 0.95
