@@ -34,7 +34,7 @@ def image_features(spark, d) -> DataFrame:
     out = e.groupBy("img_id").agg(
         F.bool_or(took).cast("double").alias("label"), F.count_if(took | rejected).alias("decided"),
         *spread("value", "value"), F.avg(F.log1p("value")).alias("log_value"), *spread("k", "k"), F.log1p(F.count_distinct("reviewer").cast("double")).alias("reviewers"),
-        *spread(hour, "hour"), share(day.isin(1, 7), "weekend"), share(hour.between(9, 17), "office"), share(F.col("k") >= 50, "late"), share(F.col("value") >= 100, "large"),
+        F.log1p(F.count_if(F.col("decision") == "skip").cast("double")).alias("skipped"), *spread(hour, "hour"), share(day.isin(1, 7), "weekend"), share(hour.between(9, 17), "office"), share(F.col("k") >= 50, "late"), share(F.col("value") >= 100, "large"),
         F.count_distinct("metric_id").cast("double").alias("metrics"), (F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))).cast("double").alias("days"),
     )
     return out.where("decided > 0").drop("decided")
