@@ -251,3 +251,33 @@ def document_presence(spark, d):  # M21: evidence of mentions and of facts by fi
 def filing_tables(spark, d):  # M3: cells with their header and stub, of every filing's table
     cells = html.table_grid(filings(spark, d).select("filing_id", "html"), "filing_id").where("not is_header and not is_stub")
     return cells.select("filing_id", F.array_join("header_path", "|").alias("header"), F.array_join("stub_path", "|").alias("stub"), F.col("text").alias("value"))
+
+
+TALK_SECTIONS = ["prepared_remarks", "qa", "operator", "presentation_slide", "appendix"]
+
+
+@query("talk_false_positives", """WITH t AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, (l_orderkey + l_linenumber) % 5 AS kind, ['prepared_remarks', 'qa', 'operator', 'presentation_slide', 'appendix'][l_orderkey % 5 + 1] AS section FROM lineitem
+), j AS (
+  SELECT section, kind, CASE WHEN section = 'operator' THEN 'suppressed_section' WHEN section = 'appendix' THEN 'presentation_suppressed_section' WHEN section = 'presentation_slide' AND kind = 0 AND q < 10 THEN 'presentation_page_number'
+    WHEN kind = 0 AND q IN (20, 21) THEN 'year_value' WHEN kind = 0 AND (section = 'prepared_remarks' AND q < 4 OR section = 'qa' AND q < 5) THEN 'bare_small_count'
+    WHEN kind = 1 AND section = 'qa' THEN 'qa_hedging_percent' WHEN kind = 3 AND section = 'qa' THEN 'qa_currency_on_count' WHEN kind IN (2, 4) THEN 'forward_guidance' ELSE 'none' END AS tag FROM t
+) SELECT section, kind, tag, count(*) AS n FROM j GROUP BY ALL""")
+def talk_false_positives(spark, d):  # M11: sections without disclosures, page numbers, small counts, hedging, guidance, around the registry
+    q, kind = F.col("l_quantity").cast("long"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).cast("int")
+    pick = lambda *x: F.get(F.array(*[F.lit(c) if isinstance(c, str) else c for c in x]), kind)
+    raw = pick(F.format_number(q * 100, 0), F.concat(q.cast("string"), F.lit("%")), F.concat(q.cast("string"), F.lit(" million")), F.concat(F.lit("$"), q.cast("string"), F.lit(" million")), F.concat(q.cast("string"), F.lit("%")))
+    said = pick("Active customers reached # at last.", "Was it a customer churn rate of #?", "We expect active customers of # by then.", "How does # relate to active customers?", "The customer churn rate is on track to be # soon.")
+    value = F.get(F.array(q * 100.0, q * 1.0, q * 1e6, q * 1e6, q * 1.0), kind)
+    unit = F.when(kind == 0, F.when(q >= 10, "count").otherwise("other")).otherwise(pick("count", "percent", "count", "currency", "percent"))
+    metric = pick("cm_active_customers_total", "cm_customer_churn_rate", "cm_active_customers_total", "cm_active_customers_total", "cm_customer_churn_rate")
+    section = F.get(F.array(*map(F.lit, TALK_SECTIONS)), (F.col("l_orderkey") % len(TALK_SECTIONS)).cast("int"))
+    bound = table(spark, d, "lineitem").select(section.alias("section"), kind.alias("kind"), metric.alias("metric_id"), value.alias("value"), raw.alias("raw"), unit.alias("unit"), F.replace(said, F.lit("#"), raw).alias("text"))
+    bound = bound.withColumns({"binding": F.lit("text"), "confidence": F.lit(0.5), "at": F.instr("text", F.col("raw"))})
+    return once(bound, "tag", rules.full_reason(F.lit(True))).groupBy("section", "kind", F.coalesce("tag", F.lit("none")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("false_positive_rules", SAID_SQL + """ SELECT tag, count(*) AS n FROM (
+  SELECT coalesce(tag, 'kept') AS tag FROM judged UNION ALL SELECT 'year_value' FROM meant WHERE kind IN (0, 4) UNION ALL SELECT 'part_of_date' FROM meant WHERE kind = 0) GROUP BY tag""")
+def false_positive_rules(spark, d):  # M11: how often each registered rule is the first that holds
+    return run(spark, d)["judged"].groupBy(F.coalesce("tag", F.lit("kept")).alias("tag")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.issuers import industry
-from ..operators.filters import any_of, first_of
+from ..operators.filters import any_of
 from ..operators.ranking import latest
 from .base import also, facts, mapped, query, table
 
@@ -75,32 +75,6 @@ def image_relevance(spark, d):  # I19, M4: the cap is tested after adding, so fo
     return table(spark, d, "documents").select("doc_id", F.round(F.least(F.lit(1.0), score), 4).alias("relevance"))
 
 
-SOFT = {"chart_pricing_label", "tier_qualifier"}
-
-
-def rules():
-    """Tags and conditions in their order; more in functions.rules for located text."""
-    return [
-        ("year_value", (F.col("value") >= 1990) & (F.col("value") <= 2035) & (F.col("value") == F.floor("value"))),
-        ("garbage_value", F.abs("value") > 1e10),
-        ("negative_value", F.col("value") < 0),
-        ("tier_qualifier", (F.col("tier").startswith("P")) & (F.col("quantity") <= 3)),
-        ("chart_pricing_label", (F.col("source_type") == "chart") & (F.col("value") < 2000)),
-        ("magnitude_sanity", (F.col("value") < 1000) | (F.col("value") > 90000)),
-    ]
-
-
-def false_positive_tag(registry, soft, sure: float = 0.85):
-    """The first rule that holds; soft rules don't apply to bindings as sure as ``sure``."""
-    return first_of([(t, c & (F.col("confidence") < sure) if t in soft else c) for t, c in registry])
-
-
-@query("false_positive_rules", """SELECT coalesce(tag, 'kept') AS tag, count(*) AS n FROM (SELECT CASE WHEN value BETWEEN 1990 AND 2035 AND value = floor(value) THEN 'year_value' WHEN abs(value) > 1e10 THEN 'garbage_value' WHEN value < 0 THEN 'negative_value'
- WHEN tier LIKE 'P%' AND quantity <= 3 AND confidence < 0.95 THEN 'tier_qualifier' WHEN source_type = 'chart' AND value < 2000 AND confidence < 0.95 THEN 'chart_pricing_label' WHEN value < 1000 OR value > 90000 THEN 'magnitude_sanity' END AS tag FROM facts) GROUP BY 1""", "facts")
-def false_positive_rules(spark, d):  # M11
-    return facts(spark, d).groupBy(F.coalesce(false_positive_tag(rules(), SOFT, 0.95), F.lit("kept")).alias("tag")).agg(F.count("*").alias("n"))
-
-
 @query("routing", """+ r AS (SELECT fact_id, confidence, source_type, list_filter([CASE WHEN source_type = 'chart' THEN 'chart requires verification' END, CASE WHEN quantity > 48 THEN 'quantity out of range' END], lambda x: x IS NOT NULL) AS why FROM facts)
 SELECT fact_id, CASE WHEN confidence >= 0.95 AND len(why) = 0 THEN 'auto_accepted' WHEN confidence < 0.91 THEN 'reject_candidate' ELSE 'pending' END AS route, array_to_string(why, '; ') AS reasons FROM r""", "facts")
 def routing(spark, d):  # B20, B19, M20
