@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, dataflow, dedup, documents, extraction, formats, images, mining, models, relational, scoring, simulation, tables, values  # noqa: F401  they register themselves
+from . import analytics, dataflow, dedup, definitions, documents, extraction, formats, images, mining, models, relational, scoring, simulation, tables, values  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES  # noqa: F401
 
 
