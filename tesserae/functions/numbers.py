@@ -183,8 +183,8 @@ def let(value: Column, f) -> Column:
 
 
 def first_period(*parsed: Column) -> Column:
-    """The first of these periods that isn't null, each computed once."""
-    return F.get(F.filter(F.array(*[p.cast(PERIOD) for p in parsed]), lambda p: p.isNotNull()), 0)
+    """The first of these periods that isn't null; those behind it are not computed."""
+    return F.coalesce(*[p.cast(PERIOD) for p in parsed])
 
 
 def infer_period(header: Column | None, sentence: Column, as_of: Column, extended: Column | None = None, hint: Column | None = None) -> Column:
@@ -195,7 +195,7 @@ def infer_period(header: Column | None, sentence: Column, as_of: Column, extende
         return [parse_quarter(text), parse_period_ended(text), parse_fiscal_year(text), parse_ytd(text, as_of), parse_trailing(text, as_of), parse_as_of(text), parse_relative_quarter(text, as_of)]
 
     def sure(period, confidence):
-        return F.struct(period.cast(PERIOD).alias("p"), F.lit(confidence).alias("confidence"))
+        return let(period.cast(PERIOD), lambda p: F.when(p.isNotNull(), F.struct(p.alias("p"), F.lit(confidence).alias("confidence"))))
 
     found = []
     if hint is not None:
@@ -206,7 +206,7 @@ def infer_period(header: Column | None, sentence: Column, as_of: Column, extende
     if extended is not None:
         found.append(sure(first_period(*any_of(extended)), 0.5))
     found.append(sure(_period("point_in_time", as_of, as_of), 0.3))
-    best = F.get(F.filter(F.array(*found), lambda x: x["p"].isNotNull()), 0)
+    best = F.coalesce(*found)  # later places are not read once one has said a period
     return let(best, lambda x: F.struct(x["p"]["period_type"].alias("period_type"), x["p"]["start"].alias("start"), x["p"]["end"].alias("end"), x["confidence"].alias("confidence")))
 
 
