@@ -64,3 +64,15 @@ def test_simulation(spark):
     tiers = {t.tier: t.regressed for t in simulation.tier_recall(simulation.scores(found, gold, "doc"), {"one": ["m"], "two": ["same", "fresh"]}).collect()}
     assert tiers == {"one": True, "two": False}
     assert simulation.presence(spark.createDataFrame([], "doc long, text string"), "doc", catalogue.METRICS, after).groupBy().agg(F.count("*")).first()[0] == 0
+
+
+def test_lines_of_one_number_are_files_of_their_own(spark, tmp_path):
+    # Six lines of one number in an order: files named after it were taken for one repeated file, which the SQL knows nothing of.
+    from tesserae.plans import images
+
+    spark.createDataFrame([(4, 7)] * 6 + [(3, 2)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3,), (4,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.filing_id: (r["class"], r.n) for r in images.image_triage(spark, str(tmp_path)).collect()}
+    assert got == {4: ("table_image", 6), 3: ("unknown", 1)}
+    names = html.images(images.illustrated(spark, str(tmp_path)), "filing_id").where("kind = 'image'")
+    assert names.groupBy("filing_id", "text").count().where("count > 1").count() == 0
