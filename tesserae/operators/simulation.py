@@ -35,7 +35,7 @@ def presence(segments: DataFrame, key: str, before: list, after: list) -> DataFr
 
     versions = [found(m, was, is_) for m, was, is_ in ((same, True, True), (gone, True, False), (come, False, True)) if m]
     any_ = segments.where(F.col("text").rlike(catalogue.any_pattern(same + gone + come)))
-    hits = any_.select(key, F.explode(F.concat(*versions)).alias("h"))
+    hits = catalogue.each(any_, "h", F.concat(*versions)).select(key, "h")
     return hits.groupBy(key, F.col("h.metric_id").alias("metric_id")).agg(F.bool_or("h.before").alias("before"), F.bool_or("h.after").alias("after"))
 
 

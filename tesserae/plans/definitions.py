@@ -31,6 +31,6 @@ def metric_definitions(spark, d):  # M14, A4: typed segments near mentions, with
         F.lit("<html><body><p>In this part of the report we speak of "), name, F.lit(" and of how they came to us.</p>"), F.repeat(F.lit(f"<p>{LEAD}</p>"), (o % 7).cast("int")), F.lit("<p>"), text, F.lit("</p></body></html>"),
     )
     found = html.segments(table(spark, d, "orders").select(o.alias("filing_id"), page.alias("html")), "filing_id").where("kind = 'paragraph'")
-    said = found.where(F.col("text").rlike(catalogue.any_pattern(METRICS))).select("filing_id", "seq", F.explode(catalogue.candidates(F.col("text"), METRICS)).alias("hit"))
+    said = catalogue.each(found.where(F.col("text").rlike(catalogue.any_pattern(METRICS))), "hit", catalogue.candidates(F.col("text"), METRICS)).select("filing_id", "seq", "hit")
     out = definitions.definitions(found.select("filing_id", "seq", "text"), said.select("filing_id", "seq", "hit.metric_id"), "filing_id")
     return out.select("filing_id", "metric_id", (F.col("definition") != "").alias("defined"), (F.col("methodology") != "").alias("calculated"), "alignment")
