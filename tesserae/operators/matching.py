@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..shared import Scratch
 from ..shipping import ship
-from .ranges import near_join
+from .ranges import near_join, within
 
 LOCAL = 50_000  # pairs or edges of a few longs that one task may go down
+SMALL = 100  # rows of a bucket that is gone down as one sorted array
 
 
 def _side_by_side(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -132,19 +133,68 @@ def first_come(rows: DataFrame, edges: DataFrame, local: int = LOCAL) -> DataFra
     return rows.select("node").join(owner, "node", "left").select("node", F.coalesce("seed", "node").alias("seed"))
 
 
+def split_by_size(rows: DataFrame, keys: list[str], small: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of buckets (of equal ``keys``) of ``small`` rows or fewer, and those of larger ones, or None if there are
+    none. Sizes are counted by a hash, so a bucket that shares its hash may count as large, never the other way round."""
+    rows = scratch.again(rows.withColumn("_crowd", F.xxhash64(*keys)))
+    large = scratch.again(rows.groupBy("_crowd").agg(F.count("*").alias("n")).where(F.col("n") > small).select("_crowd"))
+    if large.isEmpty():
+        return rows.drop("_crowd"), None
+    return tuple(rows.join(large, "_crowd", how).drop("_crowd") for how in ("left_anti", "left_semi"))
+
+
+def walked(df: DataFrame, keys: list[str], id_: str, value: str, tolerance: float, order: Column | None = None, zero: float = 0.0, also: list[str] = (), compatible=None) -> DataFrame:
+    """``df`` with the group_id that ``tolerance_groups`` gives, for buckets of few rows: each is one sorted array that is gone
+    down in place. Partitioned by some of ``keys`` before, ``df`` isn't shuffled."""
+    rank = F.col(id_) if order is None else order
+    rest = [c for c in df.columns if c not in keys]
+    item = F.struct(rank.alias("rank"), F.col(id_).alias("id"), (F.col(value).cast("double") + F.lit(0.0)).alias("v"), F.struct(F.lit(0).alias("none"), *also).alias("w"), F.struct(*rest).alias("row"))
+    buckets = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def covers(s: Column, x: Column) -> Column:
+        near = within(s["v"], x["v"], tolerance, zero) & ~F.isnan(s["v"]) & ~F.isnan(x["v"])
+        if compatible is not None:
+            near = near & compatible(s["w"], x["w"])
+        return near | (s["v"].eqNullSafe(x["v"]) & s["w"].eqNullSafe(x["w"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        by = F.slice(F.filter(acc["seeds"], lambda s: covers(s, x)), 1, 1)
+        # An array of one stands for a name, so that ``by`` is computed once.
+        decided = lambda b: F.struct(F.when(F.size(b) == 0, F.array_append(acc["seeds"], x)).otherwise(acc["seeds"]).alias("seeds"), F.array_append(acc["ids"], F.when(F.size(b) == 0, x["id"]).otherwise(F.get(b, F.lit(0))["id"])).alias("ids"))
+        return F.get(F.transform(F.array(by), decided), F.lit(0))
+
+    bare = F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["v"].alias("v"), x["w"].alias("w")))
+    start = F.struct(F.slice(bare, 1, 0).alias("seeds"), F.slice(F.col("items.id"), 1, 0).alias("ids"))
+    ids = F.when(F.size("items") == 1, F.col("items.id")).otherwise(F.aggregate(bare, start, step, lambda acc: acc["ids"]))
+    out = buckets.select(*keys, F.explode(F.arrays_zip(F.col("items.row").alias("row"), ids.alias("group_id"))).alias("x"))
+    return out.select(*keys, *[F.col(f"x.row.{c}").alias(c) for c in rest], "x.group_id").select(*df.columns, "group_id")
+
+
 def tolerance_groups(
-    df: DataFrame, keys: list[str], id_: str, value: str, tolerance: float, order: Column | None = None, zero: float = 0.0, also: list[str] = (), compatible=None, local: int = LOCAL
+    df: DataFrame, keys: list[str], id_: str, value: str, tolerance: float, order: Column | None = None, zero: float = 0.0, also: list[str] = (), compatible=None, local: int = LOCAL, small: int = SMALL
 ) -> DataFrame:
     """id and group_id: rows of equal ``keys`` (null equals null) in ``order`` (or by id; ties by id and value), each taking the later ones whose
     values it is within ``tolerance`` of (relative to theirs), unless one before it has. With ``compatible``, a condition on two structs of
     the columns ``also``, only rows that it admits are taken.
 
-    Rows equal in keys, value and ``also`` share their lot with the first of them, so only firsts are compared."""
+    Buckets of ``small`` rows at most are gone down in place, after one shuffle. In larger ones rows equal in keys, value and
+    ``also`` share their lot with the first of them, so only firsts are compared, in rounds."""
     scratch = Scratch(df.sparkSession, "tolerance")
     rank = F.col(id_) if order is None else order
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(id_).alias("id"), F.col(value).cast("double").alias("v"), rank.alias("rank"), *also)
+    few, many = split_by_size(rows, names, small, scratch)
+    out = walked(few, names, "id", "v", tolerance, F.col("rank"), zero, also, compatible).select(F.col("id").alias(id_), "group_id")
+    if many is None:
+        return out
+    rest = _in_rounds(scratch.again(many), names, tolerance, zero, also, compatible, local, scratch)
+    return out.unionByName(rest.withColumnRenamed("id", id_))
+
+
+def _in_rounds(rows: DataFrame, keys: list[str], tolerance: float, zero: float, also: list[str], compatible, local: int, scratch: Scratch) -> DataFrame:
+    """id and group_id of rows with ``keys``, id, v, rank and ``also``, however many have equal keys."""
     same = ["bucket", "v", "w"]
-    rows = df.select(F.col(id_).alias("id"), F.struct(*keys).alias("bucket"), (F.col(value).cast("double") + F.lit(0.0)).alias("v"), F.struct(F.lit(0).alias("none"), *also).alias("w"), rank.alias("rank"))
-    rows = scratch.again(rows)
+    rows = rows.select("id", F.struct(*keys).alias("bucket"), (F.col("v") + F.lit(0.0)).alias("v"), F.struct(F.lit(0).alias("none"), *also).alias("w"), "rank")
     # Ids may repeat, so each class has a number of its own, fixed once it is written.
     firsts = rows.groupBy(*same).agg(F.min(F.struct("rank", "id")).alias("f")).select(*same, "f.rank", "f.id", F.monotonically_increasing_id().alias("node"))
     firsts = scratch.again(firsts.withColumn("order", F.struct("rank", "id", "v", "w")))
@@ -158,4 +208,4 @@ def tolerance_groups(
     owner = owner.select("group_id", *[F.col(c).alias(f"_{c}") for c in same])
     # NaN equals NaN and null equals null here, as in the grouping.
     joined = rows.select("id", *same).join(owner, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]))
-    return joined.select(F.col("id").alias(id_), "group_id")
+    return joined.select("id", "group_id")

@@ -107,6 +107,24 @@ def test_tolerance_groups(spark, local):
         assert sorted((r.id, r.group_id) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("small", [0, 3, 1000])
+def test_groups_of_small_and_large_buckets(spark, small):
+    """In place, by rounds, or some of each: the same groups."""
+    rng = random.Random(11)
+    rows = [(k, 10 * i + n, v) for k, n in ((1, 1), (2, 3), (3, 40), (None, 2)) for i, v in enumerate(rng.choice([None, float("nan"), 0.0, -0.0, 100 * (1 + rng.uniform(-0.05, 0.05))]) for _ in range(n))]
+    df = spark.createDataFrame(rows, "k long, id long, v double")
+    got = matching.tolerance_groups(df, ["k"], "id", "v", 0.02, local=5, small=small)
+    want = []
+    for k in (1, 2, 3, None):
+        seeds = []
+        for _, i, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            own = [s for s, x in seeds if (x != x and v != v) or near(x, v, 0.02, 0.0)]
+            if not own:
+                seeds.append((i, v))
+            want.append((i, own[0] if own else i))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_aliases(spark):
     """Chains of any length, several names, circles and what leads into them."""
     from tesserae.operators import aliases
