@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.matching import tolerance_groups
+from ..operators.matching import SMALL, split_by_size, tolerance_groups, walked
+from ..shared import Scratch
 from .base import mapped, query, table
 from .extraction import RANK_SQL, SOURCE_RANK
 
@@ -21,7 +22,8 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l
 
 def stated(spark, d) -> DataFrame:
     lines, orders, part = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
-    rows = lines.join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    # Orders come last, so that the numbering below finds the rows by their order already.
+    rows = lines.select(*LINE).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     at = F.trunc(F.col("l_shipdate").cast("date"), "quarter")
     known = lambda c: F.when(F.col("l_tax") > 0, c)
     # Lines repeat their order and number, so a fact's id counts them.
@@ -57,45 +59,60 @@ def compatible(a: Column, b: Column) -> Column:
     return ~(known(a) & known(b) & F.coalesce(apart, F.lit(False)))
 
 
-def same_slot(facts: DataFrame) -> DataFrame:
+def seeded(facts: DataFrame, keys: list[str], small: bool, **how) -> DataFrame:
+    """``facts`` with the id of the fact that each belongs to as group_id."""
+    if small:
+        return walked(facts, keys, "fact_id", "value", TOLERANCE, zero=TOLERANCE, **how)
+    return facts.join(tolerance_groups(facts, keys, "fact_id", "value", TOLERANCE, zero=TOLERANCE, **how), "fact_id")
+
+
+def same_slot(facts: DataFrame, small: bool = False) -> DataFrame:
     """Pass 1: of facts equal in all but the value, with values within the tolerance of the first, the best one."""
     facts = quality(facts).withColumn("alternates", F.lit(0).cast("long"))
-    groups = tolerance_groups(facts, SLOT, "fact_id", "value", TOLERANCE, zero=TOLERANCE)
-    joined = facts.join(groups, "fact_id")
-    return best_of(joined.withColumnRenamed("group_id", "seed"), ["seed"]).drop("seed")
+    return best_of(seeded(facts, SLOT, small), [*SLOT, "group_id"]).drop("group_id")
 
 
-def other_periods(facts: DataFrame) -> DataFrame:
+def other_periods(facts: DataFrame, small: bool = False) -> DataFrame:
     """Pass 2: of values within the tolerance of a better fact, whose periods don't contradict it, that one stays. A missing
     period or customer type comes from the best of those that it beats."""
+    columns = facts.columns
+    keys = ["doc_id", "metric_id", "unit", "chart"]
     facts = facts.withColumn("chart", F.col("source_type") == "chart")
     order = F.struct(*[(-F.col(c)).alias(c) for c in QUALITY])
-    groups = tolerance_groups(facts, ["doc_id", "metric_id", "unit", "chart"], "fact_id", "value", TOLERANCE, order=order, zero=TOLERANCE, also=["period_start", "period_end"], compatible=compatible)
-    joined = facts.join(groups, "fact_id").withColumn("order", order)
+    joined = seeded(facts, keys, small, order=order, also=["period_start", "period_end"], compatible=compatible).withColumn("order", order)
     dated = F.when(F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), F.struct("period_start", "period_end"))
-    given = joined.groupBy("group_id").agg(
+    own = [c for c in columns if c not in (*keys, "alternates")]
+    kept = joined.groupBy(*keys, "group_id").agg(
+        F.min_by(F.struct(*own), "order").alias("own"),  # the fact of that id, as it comes before those it beats
         F.min_by(dated, F.when(dated.isNotNull(), F.col("order"))).alias("period"),
         F.min_by("customer_type", F.when(F.col("customer_type").isNotNull(), F.col("order"))).alias("type"),
-        (F.sum("alternates") + F.count("*") - 1).alias("more"),
+        (F.sum("alternates") + F.count("*") - 1).alias("alternates"),
     )
-    kept = facts.join(given.withColumnRenamed("group_id", "fact_id"), "fact_id")
+    kept = kept.select(*keys, *[f"own.{c}" for c in own], "period", "type", "alternates")
     lacks = F.col("period_start").isNull() | F.col("period_end").isNull()
     from_ = lambda c: F.when(lacks, F.coalesce(F.col(f"period.{c}"), F.col(c))).otherwise(F.col(c))
-    return kept.withColumns({"period_start": from_("period_start"), "period_end": from_("period_end"), "customer_type": F.coalesce("customer_type", "type"), "alternates": F.col("more")}).drop("period", "type", "more", "chart")
+    return kept.withColumns({"period_start": from_("period_start"), "period_end": from_("period_end"), "customer_type": F.coalesce("customer_type", "type")}).select(*columns)
 
 
 def confirmed(facts: DataFrame) -> DataFrame:
-    """confirming: the other sources, in order, that state a fact's value in its slot."""
+    """confirming: the other sources, in order, that state a fact's value in its slot. ``facts`` has one of each source in a slot,
+    so those that state one value are few."""
+    columns = facts.columns
     by = ["doc_id", "metric_id", "unit", "period_start", "period_end", "customer_type"]
-    slot = F.struct(*by, F.round("value", 2).alias("v"))
-    sources = facts.groupBy(slot.alias("slot")).agg(F.array_sort(F.collect_set("source_type")).alias("sources"))
-    both = facts.withColumn("slot", slot).join(sources, "slot")
-    return both.withColumn("confirming", F.array_join(F.array_except("sources", F.array("source_type")), "|")).drop("slot", "sources")
-
-
-def deduplicated(facts: DataFrame) -> DataFrame:
-    """All passes in turn."""
-    return confirmed(best_of(other_periods(same_slot(facts)), SLOT))
+    rest = [c for c in columns if c not in by]
+    stated_ = facts.groupBy(*by, F.round("value", 2).alias("v")).agg(F.array_sort(F.collect_set("source_type")).alias("sources"), F.collect_list(F.struct(*rest)).alias("of"))
+    each = stated_.withColumn("of", F.explode("of")).select(*by, *[f"of.{c}" for c in rest], "sources").select(*columns, "sources")
+    return each.withColumn("confirming", F.array_join(F.array_except("sources", F.array("source_type")), "|")).drop("sources")
+
+
+def deduplicated(facts: DataFrame, small: int = SMALL) -> DataFrame:
+    """All passes in turn. Each works within a document, metric and unit: those of ``small`` facts at most are brought together
+    once, and no pass shuffles them again; larger ones go by joins and rounds."""
+    place = ["doc_id", "metric_id", "unit"]
+    few, many = split_by_size(facts, place, small, Scratch(facts.sparkSession, "dedup"))
+    run = lambda df, small: confirmed(best_of(other_periods(same_slot(df, small), small), SLOT))
+    out = run(few.repartition(*place), True)
+    return out if many is None else out.unionByName(run(many, False))
 
 
 def first_come_sql(name: str, source: str, keys: str, item: str, order: str, covers: str) -> str:

@@ -125,6 +125,19 @@ def test_groups_of_small_and_large_buckets(spark, small):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_deduplication_shuffles_facts_once(spark, sf_dir):
+    """Small documents are brought together once for all passes; large ones, by rounds, have the same facts."""
+    from tesserae.plans import dedup
+
+    facts = dedup.stated(spark, sf_dir)
+    out = dedup.deduplicated(facts)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    by_rounds = dedup.deduplicated(facts.where("doc_id < 4"), small=8)
+    columns = [F.col(c) for c in out.columns]
+    want = {str(tuple(r)) for r in out.where("doc_id < 4").select(*columns).collect()}
+    assert {str(tuple(r)) for r in by_rounds.select(*columns).collect()} == want and want
+
+
 def test_aliases(spark):
     """Chains of any length, several names, circles and what leads into them."""
     from tesserae.operators import aliases
