@@ -37,7 +37,11 @@ def window(text: Column, at: Column, before: int, after: int) -> Column:
 
 
 def word_window(text: Column, index: Column, n: int) -> Column:
-    words = F.split(collapse(text), " ")
+    return words_around(F.split(collapse(text), " "), index, n)
+
+
+def words_around(words: Column, index: Column, n: int) -> Column:
+    """The word at the 1-based ``index`` and ``n`` on either side."""
     first = F.greatest(F.lit(1), index - n)
     return F.array_join(F.slice(words, first, index + n - first + 1), " ")
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import catalogue
 from ..functions import text as X
 from ..sources import html, readers
 from .base import also, query, table
-from .dataflow import filings
+from .dataflow import filings, once
 
 #: metric, pattern; one alternation tests all before each is tried.
 KEYWORDS = [("retention", "(of the|with and)"), ("churn", "(was by|are with)"), ("revenue", "(que de|ein der)"), ("growth", "(la de|el los)")]
@@ -81,9 +82,11 @@ also("context_window", "context_windows")
 
 @query("word_windows", "WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), ' ') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT doc_id, i AS word, md5(array_to_string(w[greatest(1, i - 6):i + 6], ' ')) AS around FROM p WHERE lower(w[i]) = 'the'")
 def word_windows(spark, d):  # H5: six words on either side of every hit
-    p = table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split(X.collapse(F.col("text")), " ")).alias("i", "w")).where("lower(w) = 'the'")
-    at = F.col("i") + 1
-    return p.select("doc_id", at.cast("long").alias("word"), F.md5(X.word_window(F.col("text"), at, 6)).alias("around"))
+    # A text is cut into words once, not for each hit again, and hits leave without the text.
+    p = once(table(spark, d, "documents").select("doc_id", "text"), "words", F.split(X.collapse(F.col("text")), " "))
+    found = F.transform("words", lambda w, i: F.when(F.lower(w) == "the", F.struct((i + 1).cast("long").alias("word"), X.words_around(F.col("words"), i + 1, 6).alias("around"))))
+    p = catalogue.each(p, "hit", F.filter(found, lambda x: x.isNotNull()))
+    return p.select("doc_id", "hit.word", F.md5("hit.around").alias("around"))
 
 
 also("word_context", "word_windows")

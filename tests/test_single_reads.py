@@ -1,9 +1,12 @@
 """What every stage over filings repeats is read once: markup by one pattern, texts by one look for each pattern."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import catalogue, numbers
+from tesserae.plans import registry
 from tesserae.sources import html
 
 MARKUP = [
@@ -88,3 +91,34 @@ def test_numbers_read_each_group_once(spark):
     got = rows.select(numbers.parse_number(F.col("t")).alias("n"))
     assert [r.n and (r.n.value, r.n.unit, r.n.raw) for r in got.collect()] == [(1.5e6, "currency", "$1.5 million"), (45.0, "percent", "45 %"), (-3000.0, "count", "-3k"), (2.0, "ratio", "2x"), None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 6
+
+
+def test_repair_json_closes_what_a_reader_of_characters_would(spark):
+    """Brackets and quotes in strings, escapes, cut strings and what was never opened."""
+    from tesserae.functions import text as X
+
+    def plain(body):
+        close, said, escaped = "", False, False
+        for c in body:
+            if not said and c in "{[":
+                close = ("}" if c == "{" else "]") + close
+            elif not said and c in "}]":
+                close = close[1:]
+            quote = c == '"' and not escaped
+            escaped = said and c == "\\" and not escaped
+            said = said != quote
+        return body + ('"' if said else "") + close
+
+    rng = random.Random(3)
+    bodies = ["{" + "".join(rng.choice('{}[]"\\a\n:') for _ in range(rng.randrange(14))) + "x" for _ in range(400)]
+    got = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string").select("k", X.repair_json(F.col("b")).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: plain(b) for k, b in enumerate(bodies)}
+
+
+def test_texts_are_cut_and_read_once(spark, sf_dir):
+    """Plans in which a text was cut or a number read again for each use or hit."""
+    plan = lambda name: registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("word_windows").count("split(") == 1
+    assert plan("chart_presence").count("from_json(") + plan("chart_presence").count("jsontostructs(") <= 1
+    assert plan("percent_promotion").count("regexp_extract(") <= 6  # a number's six parts
+    assert plan("respectively_pairs").count("split(") == 1
