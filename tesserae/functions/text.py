@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -163,21 +165,24 @@ def speaker_role(speaker: Column) -> Column:
     return F.coalesce(*[F.when(speaker.rlike(p), F.lit(r)) for r, p in ROLES], F.lit("other"))
 
 
+WHOLE_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def repair_json(text: Column) -> Column:
     """Fences and text around the outermost braces off, trailing commas out; an open string and open
     brackets are closed, the innermost first."""
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?(?=[{\[])", ""), r"(?s)```.*$", "")
     body = F.regexp_replace(F.trim(body), r",\s*([}\]])", "$1")
     body = F.regexp_replace(body, r",\s*$", "")
-    start = F.struct(F.lit("").alias("close"), F.lit(False).alias("said"), F.lit(False).alias("escaped"))
-
-    def read(state: Column, c: Column) -> Column:
-        """What must still be closed behind a character, innermost first, and whether it lies in a string."""
-        said, plain = state["said"], ~state["said"]
-        close = F.when(plain & (c == "{"), F.concat(F.lit("}"), state["close"])).when(plain & (c == "["), F.concat(F.lit("]"), state["close"]))
-        close = close.when(plain & c.isin("}", "]"), F.substr(state["close"], F.lit(2))).otherwise(state["close"])
-        quote = (c == '"') & ~state["escaped"]
-        return F.struct(close.alias("close"), (said != quote).alias("said"), (said & (c == "\\") & ~state["escaped"]).alias("escaped"))
-
-    ends = F.aggregate(F.split(body, ""), start, read)
-    return F.concat(body, F.when(ends["said"], '"').otherwise(""), ends["close"])
+
+    def read(close: Column, c: Column) -> Column:
+        """What must still be closed behind a bracket, innermost first."""
+        opened = F.when(c == "{", F.concat(F.lit("}"), close)).when(c == "[", F.concat(F.lit("]"), close))
+        return opened.otherwise(F.substr(close, F.lit(2)))
+
+    def closed(body: Column, plain: Column) -> Column:
+        said = F.contains(plain, F.lit('"'))  # whole strings are off, so what is left begins the open one
+        brackets = F.regexp_extract_all(F.substring_index(plain, '"', 1), F.lit(r"[{}\[\]]"), F.lit(0))
+        return F.concat(body, F.when(said, '"').otherwise(""), F.aggregate(brackets, F.lit(""), read))
+
+    return let(body, lambda b: let(F.regexp_replace(b, WHOLE_STRING, ""), lambda plain: closed(b, plain)))
