@@ -32,8 +32,10 @@ def respectively(text: Column, least: float = SURE) -> Column:
     found = F.transform(heads, lambda h: F.struct(h.alias("h"), F.regexp_extract(h, _list(PERIOD), 0).alias("p"), F.regexp_extract(h, _list(VALUE), 0).alias("v")))
     items = lambda c, item: F.regexp_extract_all(c, F.lit("(?i)" + item), F.lit(0))
 
+    found = F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), x["v"].alias("v"), items(x["v"], VALUE).alias("values"), items(x["p"], PERIOD).alias("periods")))
+    found = F.filter(found, lambda x: (F.size(x["values"]) == F.size(x["periods"])) & (F.size(x["values"]) > 1))
     def paired(x: Column) -> Column:
-        values, periods = items(x["v"], VALUE), items(x["p"], PERIOD)
+        values, periods = x["values"], x["periods"]
         apart = F.instr(x["h"], x["v"]) - F.instr(x["h"], x["p"])
         good = (F.size(values) == F.size(periods)) & (F.size(values) > 1) & (F.abs(apart) - F.length(x["p"]) <= MOST)
         sure = F.lit(BASE)
@@ -43,7 +45,8 @@ def respectively(text: Column, least: float = SURE) -> Column:
         last = r"(?i)\band\s+{}\s*$"
         for test in (x["v"].rlike(last.format(VALUE)), x["p"].rlike(last.format(PERIOD)), steps, alike, F.abs(apart) < MOST):
             sure = sure + F.when(test, EACH).otherwise(0.0)
-        pairs = F.transform(F.arrays_zip(values.alias("v"), periods.alias("p")), lambda z: F.struct(z["v"].alias("value"), z["p"].alias("period"), F.round(sure, 2).alias("confidence")))
-        return F.when(good & (F.round(sure, 2) >= least), pairs).otherwise(F.array().cast("array<struct<value:string,period:string,confidence:double>>"))
+        pairs = lambda sure: F.transform(F.arrays_zip(values.alias("v"), periods.alias("p")), lambda z: F.struct(z["v"].alias("value"), z["p"].alias("period"), sure.alias("confidence")))
+        none = F.array().cast("array<struct<value:string,period:string,confidence:double>>")
+        return F.when(good, let(F.round(sure, 2), lambda sure: F.when(sure >= least, pairs(sure)).otherwise(none))).otherwise(none)
 
     return F.flatten(F.transform(found, paired))
