@@ -29,15 +29,16 @@ def respectively(text: Column, least: float = SURE) -> Column:
     that word, no more than MOST characters apart. Null and other texts have none."""
     sentences = F.filter(F.split(F.coalesce(text, F.lit("")), _SENTENCE), lambda s: s.rlike(r"(?i)\brespectively\b"))
     heads = F.transform(sentences, lambda s: F.regexp_extract(s, r"(?is)^(.*?)\brespectively\b", 1))
+    # What the parts below take several times is computed once: each step's array holds what the next one takes.
     found = F.transform(heads, lambda h: F.struct(h.alias("h"), F.regexp_extract(h, _list(PERIOD), 0).alias("p"), F.regexp_extract(h, _list(VALUE), 0).alias("v")))
     items = lambda c, item: F.regexp_extract_all(c, F.lit("(?i)" + item), F.lit(0))
-
     found = F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), x["v"].alias("v"), items(x["v"], VALUE).alias("values"), items(x["p"], PERIOD).alias("periods")))
     found = F.filter(found, lambda x: (F.size(x["values"]) == F.size(x["periods"])) & (F.size(x["values"]) > 1))
+
     def paired(x: Column) -> Column:
         values, periods = x["values"], x["periods"]
         apart = F.instr(x["h"], x["v"]) - F.instr(x["h"], x["p"])
-        good = (F.size(values) == F.size(periods)) & (F.size(values) > 1) & (F.abs(apart) - F.length(x["p"]) <= MOST)
+        good = F.abs(apart) - F.length(x["p"]) <= MOST
         sure = F.lit(BASE)
         years = F.transform(periods, lambda p: p.try_cast("int"))
         steps = F.forall(F.sequence(F.lit(1), F.size(years) - 1), lambda k: F.coalesce(F.get(years, k) == F.get(years, k - 1) + 1, F.lit(False)))
