@@ -346,13 +346,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     # What is left open: pairs in a bucket that are in different components and weren't compared yet.
     placed = scratch.save(place(members, parts), "placed-hubs")
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    split = split.where("low != high and n > 2").select("key")  # of two, one was the leader
-    open_ = scratch.save(placed.join(split, "key", "left_semi"), "open")
-    sizes = open_.select("part", "rep").distinct().groupBy("part").agg(F.count("*").alias("n_part"))
-    big = scratch.save(sizes.where(F.col("n_part") > BIG), "big").select("part")
-
-    small = scratch.save(open_.join(big, "part", "left_anti"), "small")
+    # A bucket is judged by its components, so members of a large one aren't brought to every bucket they are in.
+    shares = scratch.save(placed.groupBy("key", "part").agg(F.count("*").alias("n")), "shares")
+    split = shares.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("n"))
+    split = scratch.save(split.where("low != high and n > 2").select("key"), "split")  # of two, one was the leader
+    open_ = scratch.save(shares.join(split, "key", "left_semi").select("key", "part"), "open")
+    sizes = parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("n_part")).where(F.col("n_part") > BIG)
+    big = scratch.save(sizes.join(open_.select("part").distinct(), "part", "left_semi"), "big").select("part")
+
+    small = placed.join(big, "part", "left_anti").join(split, "key", "left_semi")
+    small = scratch.save(small.select("key", "rep", "part"), "small")
+    few = scratch.load("small", small)
     hot = scratch.save(small.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-keys")
     more = scratch.save(verify_hot(scratch.load("small", small).join(hot, "key", "left_semi"), classes, docs, width, percent), "links-hot")
     own_keys = scratch.load("small", small).groupBy("rep").agg(F.collect_list("key").alias("keys"))  # no more than a signature has
@@ -363,11 +367,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti"), "near-rest")
     more = more.unionByName(scratch.save(verify(rest, classes, docs, width, percent), "links-rest"))
 
-    of_big = open_.join(big, "part", "left_semi").select("key", F.col("part").alias("big")).distinct()
-    against = scratch.load("open", open_).join(of_big, "key").where("part != big").select("big", "part", "rep").distinct()
-    both_big = big.select(F.col("part"), F.lit(True).alias("both"))
-    against = against.join(both_big, "part", "left").where("both is null or part < big").select("big", "rep")
-    own = open_.join(big, "part", "left_semi").select(F.col("part").alias("big"), "rep").distinct()
+    of_big = scratch.save(open_.join(big, "part", "left_semi").select("key", F.col("part").alias("big")), "of-big")
+    # Of two large components in a bucket the lesser one's members there are the documents, the other's all are members.
+    several = of_big.groupBy("key").agg(F.min("big").alias("low"), F.max("big").alias("high")).where("low != high").select("key")
+    outside = few.join(scratch.load("of-big", of_big), "key")
+    lesser = scratch.load("placed-hubs", placed).join(big, "part", "left_semi").join(several, "key", "left_semi").join(scratch.load("of-big", of_big), "key").where("part < big")
+    against = outside.select("big", "rep").unionByName(lesser.select("big", "rep")).distinct()
+    own = parts.join(big, F.col("component") == F.col("part"), "left_semi").select(F.col("component").alias("big"), F.col("node").alias("rep"))
     blocks = verify_blocks(scratch.save(against, "against"), scratch.save(own, "own"), classes, docs, width, percent, scratch)
     more = more.unionByName(scratch.save(blocks, "links-blocks"))
 

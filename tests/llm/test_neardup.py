@@ -128,3 +128,21 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in neardup.op4_minhash_neardup(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == brute(rows, 2, 80)
+
+
+def test_members_of_large_components_are_not_brought_to_every_bucket(spark, monkeypatch):
+    """What is kept of open buckets has a component once, however many of its members are there."""
+    rng = random.Random(12)
+    base, rows = [f"t{k}" for k in range(60)], []
+    for i in range(60):
+        w = base[:]
+        for k in rng.sample(range(60), 1 if i < 40 else rng.choice([3, 4])):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    kept, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: kept.setdefault(name, save(self, df, name)) if name == "open" else save(self, df, name))
+    monkeypatch.setattr(neardup, "BIG", 4)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == brute(rows, 2, 80)
+    n = kept["open"].count()
+    assert n > 0 and n == kept["open"].select("key", "part").distinct().count()
