@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAYS = 64  # of a cell of dates
+from ..shared import Scratch
+
+DAYS = 64  # of a cell of dates at least
 
 
 def within(value: Column, other: Column, tolerance: float, zero: float = 0.0) -> Column:
@@ -50,13 +52,19 @@ def overlap_join(df: DataFrame, keys: list[str], id_: str, start: str, end: str,
     """left and right, the ids of each two rows with equal ``keys`` whose closed intervals of dates overlap, the lesser id on
     the left. The later start of two lies in both, so one side is spread over the cells it covers and the other is in the
     cell of its start only."""
-    low, high = F.least(start, end), F.greatest(start, end)
-    cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(id_).alias("i"), F.col(start).alias("s"), F.col(end).alias("e"), low.alias("lo"), high.alias("hi"))
-    spread = rows.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    starts = rows.select(*keys, cell(F.col("lo")).alias("cell"), *[F.col(c).alias(f"{c}2") for c in ("i", "s", "e", "lo")])
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    cell = lambda c: F.floor(day(c) / days)
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(id_).alias("i"), F.col(start).alias("s"), F.col(end).alias("e"))
+    rows = Scratch(df.sparkSession, "overlaps").again(rows)  # both sides come from it, so what made it runs once
+    # Cells as wide as intervals are on average: a row goes to two of them on average, and few meet that don't overlap.
+    wide = rows.agg(F.avg(F.abs(day("e") - day("s")))).first()[0]
+    days = max(days, math.ceil(wide or 0))
+    places = F.sequence(cell(F.least("s", "e")).cast("int"), cell(F.greatest("s", "e")).cast("int"))
+    spread = rows.withColumn("cell", F.explode(places))
+    starts = rows.select(*keys, cell(F.least("s", "e")).cast("int").alias("cell"), *[F.col(c).alias(f"{c}2") for c in ("i", "s", "e")])
     # Of equal starts the lesser id spreads; of others the earlier start does.
-    first = (F.col("lo") < F.col("lo2")) | ((F.col("lo") == F.col("lo2")) & (F.col("i") < F.col("i2")))
-    met = spread.join(starts, [*keys, "cell"]).where(first & (F.col("lo2") <= F.col("hi")))
+    lo, lo2, hi = F.least("s", "e"), F.least("s2", "e2"), F.greatest("s", "e")
+    first = (lo < lo2) | ((lo == lo2) & (F.col("i") < F.col("i2")))
+    met = spread.join(starts.hint("merge"), [*keys, "cell"]).where(first & (lo2 <= hi))
     met = met.where((F.col("e") >= F.col("s2")) & (F.col("e2") >= F.col("s")))
     return met.select(*keys, F.least("i", "i2").alias("left"), F.greatest("i", "i2").alias("right"))

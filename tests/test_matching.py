@@ -1,6 +1,7 @@
 """Range joins, ranks by counting and greedy choices against plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,6 +43,15 @@ def test_overlap_join(spark):
     assert got == sorted((a[0], b[0]) for a in full for b in full if a[0] < b[0] and a[1] == b[1] and not (a[3] < b[2] or b[3] < a[2]))
 
 
+def test_long_intervals_are_not_copied_to_many_cells(spark):
+    """Copies of a row, as the plan's generator makes them, don't grow with the length of intervals."""
+    rows = spark.range(50).selectExpr("id", "1 AS g", "date'1990-01-01' AS s", "date_add(date'2020-01-01', cast(id AS int)) AS e")
+    out = ranges.overlap_join(rows, ["g"], "id", "s", "e")
+    assert out.count() == 50 * 49 // 2
+    width = max(int(n) for n in re.findall(r"/ (\d+)\.0", out._jdf.queryExecution().optimizedPlan().toString()))
+    assert 30 * 365 < width < 31 * 366
+
+
 def test_positions_and_percentiles(spark):
     rng = random.Random(6)
     rows = [("many", rng.gauss(0, 100)) for _ in range(3000)] + [("same", 7.0)] * 500 + [("two", 1.0), ("two", 2.0), ("one", 3.5), ("none", None), (None, 5.0), ("far", -1e300), ("far", 1e300), ("far", 0.0)]
