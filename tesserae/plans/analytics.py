@@ -101,7 +101,14 @@ def facts_pending_review(spark, d):  # M30
 
 @query("extraction_summary", "SELECT source_type, review_status, count(*) AS n, count(DISTINCT filing_id) AS filings, count(DISTINCT company_id) AS companies, min(confidence) AS least, max(confidence) AS most FROM facts GROUP BY ALL", "facts")
 def extraction_summary(spark, d):  # M30
-    return facts(spark, d).groupBy("source_type", "review_status").agg(F.count("*").alias("n"), F.count_distinct("filing_id").alias("filings"), F.count_distinct("company_id").alias("companies"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    # A filing's facts meet, then a company's filings, so distinct ones are counted without rows for each of the two counts.
+    by, span = ["source_type", "review_status"], [F.min("least").alias("least"), F.max("most").alias("most")]
+    f = facts(spark, d).select(*by, "filing_id", "company_id", F.col("confidence").alias("least"), F.col("confidence").alias("most")).repartition("filing_id")
+    f = f.groupBy(*by, "filing_id").agg(F.count("*").alias("n"), F.collect_set("company_id").alias("companies"), *span)
+    f = f.select(*by, "n", "least", "most", F.posexplode_outer("companies").alias("at", "company_id"))
+    first = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, c).otherwise(0)
+    f = f.groupBy(*by, "company_id").agg(F.sum(first(F.col("n"))).alias("n"), F.sum(first(F.lit(1))).alias("filings"), *span)
+    return f.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("filings").alias("filings"), F.count("company_id").alias("companies"), *span)
 
 
 @query("latest_classification", "SELECT img_id, decision, metric_id FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY ts DESC, decision_id DESC) AS rn FROM decisions) WHERE rn = 1", "decisions")

@@ -122,3 +122,7 @@ def test_texts_are_cut_and_read_once(spark, sf_dir):
     assert plan("chart_presence").count("from_json(") + plan("chart_presence").count("jsontostructs(") <= 1
     assert plan("percent_promotion").count("regexp_extract(") <= 6  # a number's six parts
     assert plan("respectively_pairs").count("split(") == 1
+
+
+def test_distinct_counts_without_a_row_for_each(spark, sf_dir):
+    assert "Expand" not in registry.QUERIES["extraction_summary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
