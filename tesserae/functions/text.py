@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
 from pyspark.sql import Column
@@ -122,8 +123,9 @@ SECTIONS = [
 
 def section_of(heading: Column) -> Column:
     """The section that a line opens, or null. Headings have 200 characters at most."""
-    line = F.translate(F.upper(collapse(heading)), "\u2019", "'")
-    return F.when(F.length(line) <= 200, F.coalesce(*[F.when(line.rlike(p), F.lit(s)) for s, p in SECTIONS]))
+    runs = [(s, "|".join(p for _, p in of)) for s, of in groupby(SECTIONS, lambda x: x[0])]  # neighbours of one section are one look
+    opened = lambda line: F.coalesce(*[F.when(line.rlike(p), F.lit(s)) for s, p in runs])
+    return let(F.translate(F.upper(collapse(heading)), "\u2019", "'"), lambda line: F.when(F.length(line) <= 200, opened(line)))
 
 
 # Industry codes and phrases of the issuer classes.

@@ -29,13 +29,11 @@ def presence(segments: DataFrame, key: str, before: list, after: list) -> DataFr
     same = [(m, *old[m]) for m in old if new.get(m) == old[m]]
     gone, come = [(m, *old[m]) for m in old if new.get(m) != old[m]], [(m, *new[m]) for m in new if old.get(m) != new[m]]
 
-    def found(metrics: list, was: bool, is_: bool):
-        hits = F.array_distinct(F.transform(catalogue.candidates(F.col("text"), metrics), lambda h: h["metric_id"]))
-        return F.transform(hits, lambda m: F.struct(m.alias("metric_id"), F.lit(was).alias("before"), F.lit(is_).alias("after")))
+    def entries(metrics: list, was: bool, is_: bool) -> list:
+        return [(*entry, F.struct(F.lit(entry[0]).alias("metric_id"), F.lit(was).alias("before"), F.lit(is_).alias("after"))) for entry in metrics]
 
-    versions = [found(m, was, is_) for m, was, is_ in ((same, True, True), (gone, True, False), (come, False, True)) if m]
-    any_ = segments.where(F.col("text").rlike(catalogue.any_pattern(same + gone + come)))
-    hits = catalogue.each(any_, "h", F.concat(*versions)).select(key, "h")
+    versions = entries(same, True, True) + entries(gone, True, False) + entries(come, False, True)
+    hits = catalogue.each(segments, "h", catalogue.named(F.col("text"), versions)).select(key, "h")
     return hits.groupBy(key, F.col("h.metric_id").alias("metric_id")).agg(F.bool_or("h.before").alias("before"), F.bool_or("h.after").alias("after"))
 
 

@@ -126,3 +126,48 @@ def test_texts_are_cut_and_read_once(spark, sf_dir):
 
 def test_distinct_counts_without_a_row_for_each(spark, sf_dir):
     assert "Expand" not in registry.QUERIES["extraction_summary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_that_every_match_holds():
+    assert catalogue.words_in(r"\bactive\s+customers?\b") == ["customer", "active"] and catalogue.words_in(r"\b(?:average\s+)?revenue\s+per\s+(?:user|account)\b") == ["revenue", "per"]
+    for unclear in (r"\ba1\b|\bb2\b", r"(?u)\bkg\b", r"(?x) a b", r"\x41bc", r"\p{L}ab", r"[a[bc]]de", "straße"):
+        assert catalogue.words_in(unclear) == []
+    assert catalogue.words_in(r"ab*c{0}d+[xy]ef\.gh(?!ij)") == ["ef", "gh"]
+    for m, patterns, _ in catalogue.METRICS:
+        assert all(map(catalogue.words_in, patterns)), m
+
+
+def test_texts_are_tried_for_the_metrics_whose_words_they_hold(spark):
+    """Hits and names are those that the patterns alone give, also in other letters, without the words, and in empty and null texts."""
+    rng = random.Random(5)
+    words = ["Active", "customers", "customer", "CHURN", "rate", "net", "new", "MAUs", "aov", "KARPU", "gross", "merchandise", "volume", "\n", "employee", "￿", "acquired", "12", "İ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(300)] + [None, ""]
+    metrics = [*catalogue.METRICS, ("odd", [r"\bnew\b|\b12\b"], [r"\brate\b"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    t = F.col("t")
+    alone = F.flatten(F.array(*[catalogue._hits(t, *entry) for entry in metrics]))
+    got = rows.select("k", catalogue.candidates(t, metrics).alias("hits"), alone.alias("want"), catalogue.named(t, [(*e, F.lit(e[0])) for e in metrics]).alias("names")).collect()
+    for r in got:
+        assert r.hits == r.want and set(r.names) == {h.metric_id for h in r.want or []}
+        assert all(texts[r.k][h.start : h.end] == h.match for h in r.hits or [])
+    assert sum(len(r.hits or []) for r in got) > 100
+
+
+def test_a_heading_is_prepared_once(spark):
+    from tesserae.functions import text as X
+
+    rows = spark.createDataFrame([("Management’s  discussion and analysis",), ("  business ",), ("Note 7 x",), ("Business plan",), ("MD&A " + "x" * 200,), (None,)], "t string")
+    got = rows.select(X.section_of(F.col("t")).alias("s"))
+    assert [r.s for r in got.collect()] == ["mda", "business", "notes", None, None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_values_are_bound_where_their_mention_is(spark, sf_dir):
+    """A mention's numbers are compared in its row: no shuffle, and copies of a filing are no rivals."""
+    from tesserae.plans import dataflow
+
+    text = "Active customers reached 5,000 at last. It was 7,000 before."
+    said = spark.createDataFrame([(1, 1, text, "mda")] * 2, "filing_id long, seq long, text string, section string")
+    got = dataflow.bindings(dataflow.candidates(said)).select("value", "confidence", "at").collect()
+    assert [tuple(r) for r in got] == [(5000.0, 0.5, 26)] * 2
+    assert "Exchange" not in registry.QUERIES["nearest_value"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
