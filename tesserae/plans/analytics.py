@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ranking import latest
-from .base import decisions, facts, pct, pct_sql, query, table
+from .base import decisions, facts, parted, pct, pct_sql, query, table
 
 CENTS = "decimal(18,2)"
 
@@ -30,7 +30,9 @@ def coverage_matrix(spark, d):  # C5, C2, D1: every company by every metric; the
 @query("company_disclosure", """+ p AS (SELECT company_id, metric_id, bool_or(source_type = 'text') AS t, bool_or(source_type = 'chart') AS i, count(DISTINCT filing_id) AS filings FROM facts WHERE confidence >= 0.95 GROUP BY ALL)
 SELECT company_id, count(DISTINCT metric_id) AS metrics, CAST(sum(CASE WHEN t AND i THEN 1 ELSE 0 END) AS BIGINT) AS in_both, CAST(max(filings) AS BIGINT) AS most_filings, array_to_string(list_sort(list(DISTINCT metric_id)), '|') AS metric_list FROM p GROUP BY company_id""", "facts")
 def company_disclosure(spark, d):  # D7, D8, D4
-    p = facts(spark, d).where("confidence >= 0.95").groupBy("company_id", "metric_id").agg(F.bool_or(F.col("source_type") == "text").alias("t"), F.bool_or(F.col("source_type") == "chart").alias("i"), F.count_distinct("filing_id").alias("filings"))
+    f = facts(spark, d).where("confidence >= 0.95").select("company_id", "metric_id", "filing_id", "source_type")
+    f = parted(f, table(spark, d, "lineitem").count(), "company_id")  # all that follows is within a company
+    p = f.groupBy("company_id", "metric_id").agg(F.bool_or(F.col("source_type") == "text").alias("t"), F.bool_or(F.col("source_type") == "chart").alias("i"), F.count_distinct("filing_id").alias("filings"))
     return p.groupBy("company_id").agg(F.count("*").alias("metrics"), F.count_if(F.col("t") & F.col("i")).alias("in_both"), F.max("filings").alias("most_filings"), F.array_join(F.array_sort(F.collect_set("metric_id")), "|").alias("metric_list"))
 
 

@@ -171,3 +171,15 @@ def test_values_are_bound_where_their_mention_is(spark, sf_dir):
     got = dataflow.bindings(dataflow.candidates(said)).select("value", "confidence", "at").collect()
     assert [tuple(r) for r in got] == [(5000.0, 0.5, 26)] * 2
     assert "Exchange" not in registry.QUERIES["nearest_value"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_follow_the_rows(spark, sf_dir, monkeypatch):
+    from tesserae.plans import base
+
+    want = sorted(map(tuple, registry.QUERIES["company_disclosure"](spark, sf_dir).collect()))
+    monkeypatch.setattr(base, "ROWS", 500)
+    got = registry.QUERIES["company_disclosure"](spark, sf_dir)
+    assert sorted(map(tuple, got.collect())) == want
+    lines = base.table(spark, sf_dir, "lineitem")
+    assert base.parted(lines, lines.count(), "l_orderkey").rdd.getNumPartitions() == -(-lines.count() // 500)
+    assert "hashpartitioning(company_id" in got._jdf.queryExecution().executedPlan().toString()
