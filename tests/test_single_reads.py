@@ -183,3 +183,24 @@ def test_partitions_follow_the_rows(spark, sf_dir, monkeypatch):
     lines = base.table(spark, sf_dir, "lineitem")
     assert base.parted(lines, lines.count(), "l_orderkey").rdd.getNumPartitions() == -(-lines.count() // 500)
     assert "hashpartitioning(company_id" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["marker_rows", "table_cells"])
+def test_memory_of_a_task_over_filings_follows_no_table(spark, sf_dir, monkeypatch, name):
+    """Orders are as many as the input has and aren't broadcast, and what is sorted after a shuffle is so many lines and no more."""
+    from tesserae.plans import base, dataflow
+
+    want = sorted(map(str, registry.QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(dataflow, "LINES", 500)
+    got = registry.QUERIES[name](spark, sf_dir)
+    assert sorted(map(str, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert f", {-(-base.table(spark, sf_dir, 'lineitem').count() // 500)})" in plan  # partitions of the shuffle of lines
+
+
+def test_texts_of_lines_are_made_behind_the_sorts(spark, sf_dir):
+    from tesserae.plans import dataflow
+
+    plan = dataflow.filings(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("active customers") < plan.index("Join Inner")  # the plan's top comes first
