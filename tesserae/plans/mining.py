@@ -31,10 +31,16 @@ def ngrams(spark, d):  # H8
 PHRASES_SQL = TOKENS_SQL + ", g AS (SELECT source, doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS phrase FROM t), p AS (SELECT source, phrase, count(DISTINCT doc_id) AS n FROM g GROUP BY ALL)"
 
 
-def _phrases(spark, d):
+def _said(docs, *keep):
     # A document, of which doc_id is the key, counts once: its repeats go before the shuffle, and counts combine there.
-    g = _tokens(spark, d).select("source", F.explode(F.array_distinct(X.ngrams(F.col("w"), 2))).alias("phrase"))
-    return g.groupBy("source", "phrase").agg(F.count("*").alias("n"))
+    return docs.select(*keep, F.explode(F.array_distinct(X.ngrams(F.col("w"), 2))).alias("phrase"))
+
+
+def _phrases(spark, d):
+    return _said(_tokens(spark, d), "source").groupBy("source", "phrase").agg(F.count("*").alias("n"))
+
+
+BITS = 64  # fixed value: of a long
 
 
 @query("top_phrases", f"WITH {PHRASES_SQL} SELECT source, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, phrase) AS rn FROM p WHERE n >= 2) WHERE rn <= 15")
@@ -44,8 +50,18 @@ def top_phrases(spark, d):  # E4: the floor applies before the cap
 
 @query("cross_metric_phrases", f"WITH {PHRASES_SQL} SELECT phrase, count(*) AS sources, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_sort(list(source))[1:5], '|') AS examples FROM p GROUP BY phrase HAVING count(*) >= 3")
 def cross_metric_phrases(spark, d):  # D17: five examples are what is shown
-    g = _phrases(spark, d).groupBy("phrase").agg(F.count("*").alias("sources"), F.sum("n").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), "|").alias("examples"))
-    return g.where("sources >= 3")
+    docs = _tokens(spark, d)
+    names = sorted(r.source for r in docs.select("source").where("source is not null").distinct().limit(BITS).collect())
+    if len(names) < BITS:
+        # A bit for each source, and one for none: phrases are grouped once, in buffers of two numbers.
+        bits = F.array(*[F.lit(1 << k if k < BITS - 1 else -(1 << k)).cast("long") for k in range(len(names) + 1)])
+        known = F.array(*map(F.lit, names)).cast("array<string>")
+        bit = F.get(bits, F.coalesce(F.nullif(F.array_position(known, F.col("source")), F.lit(0)) - 1, F.lit(len(names))).cast("int"))
+        g = _said(docs.select("w", bit.alias("bit")), "bit").groupBy("phrase").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+        g = g.select("phrase", F.bit_count("bits").cast("long").alias("sources"), "n", F.filter(known, lambda s, k: F.getbit("bits", k) == 1).alias("examples"))
+    else:
+        g = _phrases(spark, d).groupBy("phrase").agg(F.count("*").alias("sources"), F.sum("n").alias("n"), F.array_sort(F.collect_set("source")).alias("examples"))
+    return g.where("sources >= 3").withColumn("examples", F.array_join(F.slice("examples", 1, 5), "|"))
 
 
 @query("histogram_map", """+ n AS (SELECT reviewer, metric_id, count(*) AS n FROM decisions WHERE decision = 'reject' GROUP BY ALL) SELECT reviewer, string_agg(metric_id || '=' || CAST(n AS VARCHAR), ',' ORDER BY metric_id) AS histogram, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY reviewer""", "decisions")

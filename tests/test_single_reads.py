@@ -204,3 +204,17 @@ def test_texts_of_lines_are_made_behind_the_sorts(spark, sf_dir):
 
     plan = dataflow.filings(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("active customers") < plan.index("Join Inner")  # the plan's top comes first
+
+
+@pytest.mark.parametrize("sources", [0, 3, 63, 64, 70])
+def test_phrases_of_sources_are_grouped_once(spark, sf_dir, tmp_path, sources):
+    """A bit for each source up to 63 of them and one for none; more are grouped as rows."""
+    names = [f"s{k:02}" for k in range(sources)]
+    rows = [(k, "Alpha beta, alpha beta!", s) for k, s in enumerate([*names, None, *names[-1:]])]
+    rows += [(1000 + k, "gamma_1 delta", s) for k, s in enumerate([*names[-2:], None])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["cross_metric_phrases"](spark, str(tmp_path)).select("phrase", "sources", "n", "examples").collect()))
+    want = [(p, sources + 1, sources + 2, "|".join(names[:5])) for p in ("alpha beta", "beta alpha")] + [("gamma_1 delta", 3, 3, "|".join(names[-2:]))]
+    assert got == (want if sources else [])
+    plan = registry.QUERIES["cross_metric_phrases"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ObjectHashAggregate" not in plan
