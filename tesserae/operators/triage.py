@@ -1,7 +1,8 @@
 """Images of documents: class, relevance, what is to be read, and documents that are decks of scanned pages.
 
-A document's verdict needs all of its images: counts of file names and of page shapes are grouped sums joined back to the
-images, so a document of any number of images is spread over tasks; sections are carried forward from headings.
+What is read from the text near an image is read once and before any shuffle, so texts are neither sent nor sorted. A document's
+verdict needs all of its images: sections are carried forward from headings, and file names and page shapes counted, by
+windows over one shuffle of what was read.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import catalogue
 from ..functions import text as X
 
 # Thresholds, sizes in pixels, shares.
@@ -38,43 +40,47 @@ WORD, MOST_WORDS = 0.08, 0.3
 
 
 def says(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def named(text: Column, lower: Column, pattern: str) -> Column:
+    """Whether a text has an alternation of words. Most texts hold none of its letters, and are not searched for its bounds then."""
+    return catalogue.may_match(text, lower, pattern.removeprefix("(?i)").split("|")) & text.rlike(pattern)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator is a boundary that the optimiser doesn't copy expressions across."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def classified() -> Column:
-    """The class of an image of filename, nearby, width, height (0: unknown) and section, the first that fits."""
-    name, near, w, h = F.col("filename"), F.col("nearby"), F.col("width"), F.col("height")
+    """The class of an image of filename, nearby, low (nearby in lower case), both (plain file name and nearby, with both_low), type (of a
+    chart), width and height (0: unknown), the first that fits, or null; sections have a say where none does."""
+    name, near, low, w, h = F.col("filename"), F.col("nearby"), F.col("low"), F.col("width"), F.col("height")
     known, tiny = (w > 0) & (h > 0), (w < TINY) | (h < TINY)
     aspect = F.when(known, F.try_divide(w, h))
-    plain = F.regexp_replace(F.lower(name), "[_-]", " ")
-    both = F.concat_ws(" ", plain, near)
     small = known & (w <= LOGO_WIDTH) & (h <= LOGO_HEIGHT)
-    logo = ~(known & tiny) & (name.rlike(LOGO) | (small & (near.rlike(LOGO) | aspect.between(0.5, 2.0))))
-    signature = plain.rlike(SIGNATURE) | F.contains(F.lower(name), F.lit("sign")) | near.rlike(SIGNATURE)
-    table = says(F.lower(both), TABLE_WORDS) | (F.coalesce(aspect >= 2.0, F.lit(False)) & says(F.lower(near), FINANCIAL_WORDS))
+    logo = ~(known & tiny) & (name.rlike(LOGO) | (small & (named(near, low, LOGO) | aspect.between(0.5, 2.0))))
+    signature = F.col("plain").rlike(SIGNATURE) | F.contains(F.lower(name), F.lit("sign")) | named(near, low, SIGNATURE)
+    table = says(F.col("both_low"), TABLE_WORDS) | (F.coalesce(aspect >= 2.0, F.lit(False)) & says(low, FINANCIAL_WORDS))
     large = (w >= LARGE_WIDTH) | (h >= LARGE_HEIGHT) | ~((w > 0) | (h > 0))
-    chart = both.rlike(CHART) | says(F.lower(both), [x for _, words in CHART_TYPES for x in words]) | (large & says(F.lower(near), METRIC_WORDS))
-    decorative = name.rlike(DECORATIVE) | (known & (tiny | (aspect >= BANNER) | (aspect <= 0.1))) | F.col("section").isin("exhibits", "signatures")
+    chart = named(F.col("both"), F.col("both_low"), CHART) | (F.col("type") != "unknown") | (large & says(low, METRIC_WORDS))
+    decorative = name.rlike(DECORATIVE) | (known & (tiny | (aspect >= BANNER) | (aspect <= 0.1)))
     out = F.when(logo, "logo").when(signature, "signature").when(table, "table_image").when(chart, "chart")
-    return out.when(F.coalesce(decorative, F.lit(False)), "decorative").otherwise("unknown")
+    return out.when(F.coalesce(decorative, F.lit(False)), "decorative")
 
 
-def chart_type() -> Column:
-    both = F.lower(F.concat_ws(" ", F.regexp_replace("filename", "[_-]", " "), "nearby"))
-    return F.coalesce(*[F.when(says(both, words), F.lit(name)) for name, words in CHART_TYPES], F.lit("unknown"))
+def chart_type(text: Column) -> Column:
+    return F.coalesce(*[F.when(says(text, words), F.lit(name)) for name, words in CHART_TYPES], F.lit("unknown"))
 
 
-def relevance(kind: Column, section: Column, near: Column) -> Column:
-    """Base of the class, bonus of the section, and WORD for each word nearby until their sum reaches MOST_WORDS."""
+def relevance(kind: Column, section: Column, hits: Column) -> Column:
+    """Base of the class, bonus of the section, and WORD for each word nearby (``hits``) until their sum reaches MOST_WORDS."""
     base, bonus = F.lit(0.1), F.lit(0.0)
     for name, x in BASE.items():
         base = F.when(kind == name, x).otherwise(base)
     for name, x in SECTION.items():
         bonus = F.when(section == name, x).otherwise(bonus)
-    hits = sum([F.contains(F.lower(near), F.lit(w)).cast("int") for w in VALUE_WORDS], F.lit(0))
     most = -int(-MOST_WORDS / WORD // 1)  # the sum is tested after adding
     return F.round(F.least(F.lit(1.0), base + bonus + F.least(hits, F.lit(most)) * WORD), 4)
 
@@ -84,24 +90,41 @@ def page_shaped() -> Column:
     return (w <= 0) | (h <= 0) | (F.try_divide(w, h).between(*PAGE_ASPECT) & w.between(*PAGE_WIDTH))
 
 
+def looked_at(found: DataFrame, key: str) -> DataFrame:
+    """_key and what a document's verdict needs of its images and headings, without the texts: early (class before its section is known), type, hits
+    (words of values nearby) and page (shaped like one) of images, opened (section) of headings."""
+    image = F.col("kind") == "image"
+    texts = found.withColumnsRenamed({key: "_key", "text": "filename"}).withColumn("plain", F.regexp_replace(F.lower("filename"), "[_-]", " "))
+    texts = once(texts, "t", F.when(image, F.struct(F.lower("nearby").alias("low"), F.concat_ws(" ", "plain", "nearby").alias("both"))))
+    texts = texts.select("*", F.col("t.low").alias("low"), F.col("t.both").alias("both"))
+    texts = once(texts, "both_low", F.lower("both"))
+    # Charts' names are looked for in the file name as it is written, and so in lower case all the same.
+    texts = once(texts, "type", F.when(image, chart_type(F.col("both_low"))))
+    hits = F.size(F.filter(F.array(*map(F.lit, VALUE_WORDS)), lambda w: F.contains(F.col("low"), w)))
+    early, opened = F.when(image, classified()), F.when(~image, X.section_of(F.col("filename")))
+    seen = once(texts, "s", F.struct(early.alias("early"), F.when(image, hits).alias("hits"), F.when(image, page_shaped()).alias("page"), opened.alias("opened")))
+    return seen.select("_key", "seq", "kind", F.when(image, F.col("filename")).alias("filename"), "chars", "type", "s.*")
+
+
 def triage(found: DataFrame, key: str) -> DataFrame:
     """key, seq, filename, section, class, chart_type, relevance, queued and manual of the images among ``found`` (what
     ``html.images`` gives)."""
-    so_far = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(F.col("kind") == "heading", X.section_of(F.col("text")))
-    images = found.withColumn("section", F.coalesce(F.last(opened, ignorenulls=True).over(so_far), F.lit("unknown"))).where("kind = 'image'")
-    images = images.select(key, "seq", F.col("text").alias("filename"), "section", "nearby", "width", "height", "chars")
-    repeated = images.where("filename != ''").groupBy(F.col(key).alias("_k"), F.col("filename").alias("_f")).agg(F.count("*").alias("copies")).where(F.col("copies") > REPEATED)
-    n = F.count("*")
-    deck = (n >= PAGE_IMAGES) & (n / F.greatest(F.lit(1.0), F.max("chars") / PAGE_CHARS) >= PAGE_RATIO) & (F.count_if(page_shaped()) / n >= PAGE_SHARE)
-    decks = images.groupBy(F.col(key).alias("_d")).agg(deck.alias("deck"))
-    images = images.join(repeated, (F.col(key) == F.col("_k")) & (F.col("filename") == F.col("_f")), "left").join(decks, F.col(key) == F.col("_d"), "left")
-    often = F.col("copies").isNotNull()
-    images = images.withColumn("class", F.when(often, "decorative").otherwise(classified()))
-    images = images.withColumn("relevance", F.when(often, 0.0).otherwise(relevance(F.col("class"), F.col("section"), F.col("nearby"))))
-    scan = F.coalesce("deck", F.lit(False)) & page_shaped()
+    document = Window.partitionBy("_key")
+    so_far = document.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.coalesce(F.last("opened", ignorenulls=True).over(so_far), F.lit("unknown"))
+    images = looked_at(found, key).withColumn("section", section).where("kind = 'image'")
+    n = F.count("*").over(document)
+    deck = (n >= PAGE_IMAGES) & (n / F.greatest(F.lit(1.0), F.max("chars").over(document) / PAGE_CHARS) >= PAGE_RATIO) & (F.count_if("page").over(document) / n >= PAGE_SHARE)
+    images = images.withColumn("scan", F.coalesce(deck, F.lit(False)) & F.col("page"))
+    copies = F.count("*").over(Window.partitionBy("_key", "filename"))
+    often = F.col("often")
+    images = images.withColumn("often", F.coalesce((F.col("filename") != "") & (copies > REPEATED), F.lit(False)))
+    early = F.coalesce("early", F.when(F.col("section").isin("exhibits", "signatures"), "decorative"), F.lit("unknown"))
+    images = images.withColumn("class", F.when(often, "decorative").otherwise(early))
+    images = images.withColumn("relevance", F.when(often, 0.0).otherwise(relevance(F.col("class"), F.col("section"), F.col("hits"))))
+    scan = F.col("scan")
     manual = ~scan & ~often & (F.col("class") == "unknown") & (F.col("relevance") >= PROCESS) & (F.col("relevance") < AMBIGUOUS)
-    kind = F.when(F.col("class") == "chart", chart_type()).otherwise("unknown")
+    kind = F.when(F.col("class") == "chart", F.col("type")).otherwise("unknown")
     images = images.withColumns({"manual": manual, "chart_type": F.when(scan, "unknown").otherwise(kind), "queued": scan | (~often & (F.col("relevance") >= PROCESS))})
     images = images.withColumns({"class": F.when(scan, "full_page_scan").otherwise(F.col("class")), "relevance": F.when(scan, F.greatest("relevance", F.lit(BASE["full_page_scan"]))).otherwise(F.col("relevance"))})
-    return images.select(key, "seq", "filename", "section", "class", "chart_type", "relevance", "queued", "manual")
+    return images.select(F.col("_key").alias(key), "seq", "filename", "section", "class", "chart_type", "relevance", "queued", "manual")

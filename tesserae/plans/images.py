@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import triage
 from ..sources import html
 from .base import query, table
-from .dataflow import HEADINGS
+from .dataflow import HEADINGS, spread
 
 APART = "plain words go on and on here " * 20  # more than the text that counts as nearby
 FORMS = [  # file name, width, height, caption
@@ -27,17 +27,22 @@ FORMS = [  # file name, width, height, caption
 def illustrated(spark, d) -> DataFrame:
     """filing_id and html of every order: of every fifth all images are page scans, of every fifth they share one file. Other
     files are numbered by their place in the filing, since a line's number may occur in an order any number of times."""
-    o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    form = F.when(o % 5 == 0, 8).otherwise((o + n) % len(FORMS)).cast("int")
-    pick = lambda k: F.get(F.array(*[F.lit(f[k]) for f in FORMS]), form)
-    name = F.when(o % 5 == 1, "spacer.gif").otherwise(pick(0))
-    heading = F.get(F.array(*map(F.lit, HEADINGS)), (n % len(HEADINGS)).cast("int"))
-    block = F.concat(
-        F.lit("<h2>"), heading, F.lit(f"</h2><p>{APART}</p><p>"), pick(3), F.lit('</p><img src="/a/'), name, F.lit('?v=1" width="'), pick(1).cast("string"), F.lit('px" height="'), pick(2).cast("string"), F.lit(f'"><p>{APART}</p>'),
-    )
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    body = lines.groupBy(o.alias("filing_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", block.alias("b")))).alias("blocks"))
-    return body.select("filing_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("blocks", lambda x, i: F.replace(x["b"], F.lit("{n}"), i.cast("string"))), ""), F.lit("</body></html>")).alias("html"))
+    # Only numbers of lines are sorted for the groups; texts are made of them behind it, a page at a time.
+    lines = table(spark, d, "lineitem")
+    body = spread(lines, "l_orderkey", lines.count()).groupBy(F.col("l_orderkey").alias("filing_id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
+    body = body.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id")).hint("merge"), "filing_id")
+    o = F.col("filing_id")
+
+    def block(n, i):
+        form = F.when(o % 5 == 0, 8).otherwise((o + n) % len(FORMS)).cast("int")
+        pick = lambda k: F.get(F.array(*[F.lit(f[k]) for f in FORMS]), form)
+        name = F.when(o % 5 == 1, "spacer.gif").otherwise(F.replace(pick(0), F.lit("{n}"), i.cast("string")))
+        heading = F.get(F.array(*map(F.lit, HEADINGS)), (n % len(HEADINGS)).cast("int"))
+        return F.concat(
+            F.lit("<h2>"), heading, F.lit(f"</h2><p>{APART}</p><p>"), pick(3), F.lit('</p><img src="/a/'), name, F.lit('?v=1" width="'), pick(1).cast("string"), F.lit('px" height="'), pick(2).cast("string"), F.lit(f'"><p>{APART}</p>'),
+        )
+
+    return body.select("filing_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("lines", block), ""), F.lit("</body></html>")).alias("html"))
 
 
 # A filing has some 1,210 characters a line besides captions, so images outnumber its pages of text by 1.6.

@@ -76,3 +76,19 @@ def test_lines_of_one_number_are_files_of_their_own(spark, tmp_path):
     assert got == {4: ("table_image", 6), 3: ("unknown", 1)}
     names = html.images(images.illustrated(spark, str(tmp_path)), "filing_id").where("kind = 'image'")
     assert names.groupBy("filing_id", "text").count().where("count > 1").count() == 0
+
+
+def test_pages_are_read_once_and_their_texts_not_sent(spark, sf_dir):
+    from tesserae.plans import images
+
+    plan = images.image_triage(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1  # the parser ran three times: for the images, their repeated files and the decks
+    sent = triage.looked_at(html.images(spark.createDataFrame([(1, picture("a.png"))], "page long, html string"), "page"), "page")
+    assert "nearby" not in sent.columns
+
+
+def test_lines_make_the_page_behind_their_groups(spark, sf_dir):
+    from tesserae.plans import images
+
+    plan = images.illustrated(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "plain words" not in plan[plan.index("Aggregate") :]  # blocks of 1,300 characters were sorted and collected
