@@ -176,6 +176,6 @@ def html_segments(spark, d):  # A4, M1
 
 @query("table_grid")
 def table_grid(spark, d):  # M3: of the tables in filings, as pages have none; filing_tables is its counterpart with SQL
-    return html.table_grid(filings(spark, d).select("filing_id", "html"), "filing_id").drop("header_path", "stub_path")
+    return html.table_grid(filings(spark, d).select("filing_id", "html"), "filing_id", columns=["row", "col", "text", "is_header", "is_stub"])
 
 
