@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue
 from ..functions import text as X
+from ..functions.catalogue import once
 
 # Thresholds, sizes in pixels, shares.
 PROCESS, AMBIGUOUS, REPEATED = 0.3, 0.5, 5
@@ -48,11 +49,6 @@ def named(text: Column, lower: Column, pattern: str) -> Column:
     return catalogue.may_match(text, lower, pattern.removeprefix("(?i)").split("|")) & text.rlike(pattern)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row: a generator is a boundary that the optimiser doesn't copy expressions across."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def classified() -> Column:
     """The class of an image of filename, nearby, low (nearby in lower case), both (plain file name and nearby, with both_low), type (of a
     chart), width and height (0: unknown), the first that fits, or null; sections have a say where none does."""

@@ -218,3 +218,18 @@ def test_phrases_of_sources_are_grouped_once(spark, sf_dir, tmp_path, sources):
     assert got == (want if sources else [])
     plan = registry.QUERIES["cross_metric_phrases"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "ObjectHashAggregate" not in plan
+
+
+def test_spelled_numbers_need_the_name_of_a_scale(spark):
+    said = ["about two million", "Nearly Twelve THOUSAND", "three", "one hundredth", "zero hundred", "five billion €", "two mil about lion", "ten-million", "7 million"]
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    got = {r.t: r.n and (r.n.value, r.n.unit) for r in rows.select("t", numbers.cell_number(F.col("t")).alias("n")).collect()}
+    assert got == {said[0]: (2e6, "count"), said[1]: (12e3, "count"), said[2]: None, said[3]: None, said[4]: (0.0, "count"), said[5]: (5e9, "currency"), said[6]: None, said[7]: None, said[8]: (7e6, "count")}
+
+
+def test_what_is_computed_once_is_computed_before_the_generator(spark):
+    # A generator with a lambda evaluates all of its expression node by node; a projection is compiled.
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
+    seen = catalogue.once(rows, "n", F.size(F.filter(F.split("t", " "), lambda x: x != "a")))
+    assert seen.count() == 2 and [r.n for r in seen.collect() if r.id == 1] == [1]
+    assert seen.columns == ["id", "t", "n"] and "Generate explode(array(_once#" in seen._jdf.queryExecution().optimizedPlan().toString()
